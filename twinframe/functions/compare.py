@@ -135,39 +135,48 @@ class Comparator:
             return raw & (a.isNull() | b.isNull() | (F.abs(a - b) > limit))
         return raw & ~self.form(a).eqNullSafe(self.form(b))
 
-    def labels(self, value: Column, side: str) -> Column:
+    def position(self, value: Column) -> Column:
+        """Where a cell lies on the axis of a distance comparator; other cells as they are."""
+        return epoch_micros(value, self.dtype) if self.by_distance else value
+
+    def labels(self, position: Column, side: str) -> Column:
         """Array of labels for a distance comparator; side ``a`` covers its neighbourhood, ``b`` marks its place."""
-        return near_labels(epoch_micros(value, self.dtype), tolerated_micros(self.tolerance), side)
+        return near_labels(position, tolerated_micros(self.tolerance), side)
 
 
-LABEL_TYPE = "array<struct<level:int,node:bigint>>"
+LABELS = "array<bigint>"
+NO_VALUE = -1
+# All timestamps (years 1 to 9999) lie within ±2^58 microseconds of 1970.
+SPAN_BITS = 58
 
 
 def near_labels(micros: Column, reach: int, side: str) -> Column:
     """Labels by which points of two sides that lie within ``reach`` meet exactly once.
 
-    Node ``n`` of level ``l`` stands for the stretch [n·2^l, (n+1)·2^l). Side ``a`` splits [t-reach, t+reach] into the
-    fewest such stretches, which are disjoint; side ``b`` lists the stretch around t on each level. A point of ``b``
-    inside the neighbourhood lies in one of the disjoint stretches, so it shares one label, otherwise none.
+    A label names a stretch of the axis: those of level l are 2^l long and do not overlap. Side ``a`` splits
+    [t-reach, t+reach] into the fewest stretches, which are disjoint; side ``b`` lists the one around t on each level. A
+    point of ``b`` inside the neighbourhood lies in exactly one of the pieces, so it shares one label, otherwise none.
     There are about 2·log2(reach) labels. NULL meets only NULL.
     """
-    levels = range((2 * reach + 1).bit_length())
+    axis = 1 << SPAN_BITS
+    levels = range(min((2 * reach + 1).bit_length(), SPAN_BITS + 2))
 
-    def node(level: int, index: Column) -> Column:
-        return F.struct(F.lit(level).alias("level"), index.cast("long").alias("node"))
+    def stretch(level: int, index: Column) -> Column:
+        return index + F.lit(axis >> level << 2)
 
+    place = micros + F.lit(axis)
     if side == "b":
-        found = F.array(*[node(level, F.shiftright(micros, level)) for level in levels])
+        found = F.array(*[stretch(level, F.shiftright(place, level)) for level in levels])
     else:
+        start = F.greatest(place - F.lit(reach), F.lit(0))
+        stop = F.least(place + F.lit(reach), F.lit(2 * axis - 1)) + F.lit(1)
         candidates = []
         for level in levels:
-            first = -F.shiftright(-(micros - reach), level)
-            end = F.shiftright(micros + reach + 1, level)
-            candidates.append(F.when((first < end) & (first % 2 != 0), node(level, first)))
-            candidates.append(F.when((first < end) & (end % 2 != 0), node(level, end - 1)))
+            first, end = -F.shiftright(-start, level), F.shiftright(stop, level)
+            candidates.append(F.when((first < end) & (first % 2 == 1), stretch(level, first)))
+            candidates.append(F.when((first < end) & (end % 2 == 1), stretch(level, end - 1)))
         found = F.array_compact(F.array(*candidates))
-    nothing = F.array(node(-1, F.lit(0)))
-    return F.when(micros.isNull(), nothing.cast(LABEL_TYPE)).otherwise(found.cast(LABEL_TYPE))
+    return F.when(micros.isNull(), F.array(F.lit(NO_VALUE)).cast(LABELS)).otherwise(found.cast(LABELS))
 
 
 def resolve(dtype: T.DataType, tolerance: Tolerance | None, default_precision: int | None) -> Comparator:

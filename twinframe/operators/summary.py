@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.functions.compare import LABEL_TYPE, any_of
+from twinframe.functions.compare import LABELS, any_of
 from twinframe.operators.keys import pair_count, total
 from twinframe.operators.pairs import with_flags
 from twinframe.operators.sides import Layout, Side, has_null
@@ -82,13 +82,17 @@ def from_groups(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFra
         for i in loose:
             comparator = layout.comparators[i]
             forms[f"tol{i}"] = comparator.labels(values[i], side) if i in distant else comparator.form(values[i])
+        # Below the explode, so that a position on the time axis is computed once per row.
+        placed = {name: layout.comparators[i].position(F.col(name)) for i, name in enumerate(layout.value(side))}
         table = rows.where(~has_null(layout.key(side))).select(
-            *keys, *values, F.explode(F.array(*[F.lit(number[q]) for q in questions])).alias("question")
+            *keys,
+            *[position.alias(name) for name, position in placed.items()],
+            F.explode(F.array(*[F.lit(number[q]) for q in questions])).alias("question"),
         )
         table = table.withColumns({label: F.when(asked(label), form) for label, form in forms.items()})
         table = table.drop(*layout.value(side))
         for i in distant:
-            unasked = F.array(F.lit(None)).cast(LABEL_TYPE)
+            unasked = F.array(F.lit(None)).cast(LABELS)
             table = table.withColumn(f"tol{i}", F.explode(F.coalesce(F.col(f"tol{i}"), unasked)))
         return table.withColumns({"in_a": F.lit(int(side == "a")), "in_b": F.lit(int(side == "b"))})
 
