@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.operators.schema import quoted
-from twinframe.sources.files import FORMATS
+from twinframe.sources.files import CSV_DIALECT, FORMATS
 
 EXPORT_FORMATS = ("csv", "parquet", "json")
 
@@ -45,7 +45,7 @@ def export(
     counted = Observation()
     writer = out.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, **CSV_DIALECT).csv(path)
     elif fmt == "json":
         writer.option("ignoreNullFields", False).options(**FULL_PRECISION).json(path)
     else:

@@ -15,6 +15,10 @@ from twinframe.operators.schema import quoted
 FORMATS = {".parquet": "parquet", ".pq": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json"}
 # URI schemes and the Hadoop file system that serves each.
 SCHEMES = {"s3": "s3a", "s3a": "s3a", "gs": "gs", "file": "file", "hdfs": "hdfs", "abfss": "abfss", "dbfs": "dbfs"}
+# Characters that may separate CSV fields; the first is assumed when none occurs.
+SEPARATORS = (",", "|", ";", "\t")
+# Quotes are doubled inside quoted fields, and spaces belong to the values.
+CSV_DIALECT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def detect_format(uri: str) -> str:
@@ -52,8 +56,9 @@ def read_source(
 ) -> DataFrame:
     """Read a table from ``uri``; the format follows from its ending unless given.
 
-    With ``schema``, CSV and JSON are read in one distributed pass; without, types are inferred in a pass before. JSON is
-    one object per line unless the file starts with ``[`` (or ``multi_line`` says so); such files cannot be split.
+    With ``schema``, CSV and JSON are read in one distributed pass; without, types are inferred in a pass before. Files
+    whose records span lines (``multi_line``) cannot be split. If it is not given, CSV is searched for quoted line breaks
+    in a pass before, and JSON spans lines if it starts with ``[``; so give it, and a schema, for large inputs.
     """
     fmt = (fmt or detect_format(uri)).lower()
     path = resolve_uri(uri)
@@ -61,20 +66,42 @@ def read_source(
         reader = spark.read.options(**options)
         return (reader.schema(schema) if schema else reader).parquet(path)
     if fmt == "csv":
-        return read_csv(spark, path, schema, **options)
+        return read_csv(spark, path, schema, multi_line, **options)
     if fmt == "json":
         return read_json(spark, path, schema, multi_line, **options)
     raise ValueError(f"Unsupported format {fmt!r}: use csv, parquet or json")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    multi_line: bool | None = None,
+    sep: str | None = None,
+    **options,
+) -> DataFrame:
     """CSV with header. Inferred integers are widened to ``bigint``; inferred timestamps carry no zone."""
-    reader = spark.read.options(**({"header": True, "enforceSchema": False} | options))
+    lines = spark.read.text(path)
+    if sep is None:
+        sep = _separator(lines)
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+        multi_line = not lines.where(quotes % 2 == 1).isEmpty()
+    reader = spark.read.options(
+        **({"header": True, "enforceSchema": False, "multiLine": multi_line, "sep": sep} | CSV_DIALECT | options)
+    )
     if schema:
         return reader.schema(schema).csv(path)
     return _canonical(reader.option("inferSchema", True).csv(path))
 
 
+def _separator(lines: DataFrame) -> str:
+    """The candidate that occurs most often, outside quotes, in the first line."""
+    first = lines.first()
+    unquoted = "".join(first.value.split('"')[::2]) if first else ""
+    return max(SEPARATORS, key=unquoted.count)
+
+
 def read_json(
     spark: SparkSession,
     path: str,
