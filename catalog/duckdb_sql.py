@@ -139,7 +139,7 @@ class Join:
             f"{diffs} AS rows_with_diffs, {minor} AS rows_minor, {compared} - {diffs} - {minor} AS rows_identical"
         )
 
-    def cell_changes(self, extra=""):
+    def cell_changes(self):
         keys = ", ".join(f"pk_{k}_a AS pk_{k}" for k in self.keys)
         parts = [
             f"SELECT {keys}, '{c}' AS \"column\", {c}_a::VARCHAR AS a, {c}_b::VARCHAR AS b, "
@@ -260,12 +260,7 @@ SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(reg
 FROM events
 """
 
-RANKED_CHANGES = f"WITH c AS ({customers().cell_changes()}) SELECT pk_c_custkey, \"column\", "
-
-
-def char_parts(join: Join, kept: str) -> str:
-    key = f"pk_{join.keys[0]}"
-    return f"WITH c AS ({join.cell_changes()}) SELECT {key}, \"column\", a AS text_a, b AS text_b, {kept} AS kept_chars FROM c"
+CHAR_PARTS = 'WITH c AS ({cells}) SELECT {key}, "column", a AS text_a, b AS text_b{kept} FROM c'
 
 
 ORACLES: dict[str, str] = {
@@ -336,7 +331,11 @@ ORACLES: dict[str, str] = {
     "json_page": f"SELECT to_json({{o_orderkey: o_orderkey, o_custkey: o_custkey, o_orderstatus: o_orderstatus, "
     f"o_orderpriority: o_orderpriority}})::VARCHAR AS row FROM ({only_in('a', orders())}) ORDER BY o_orderkey LIMIT 50",
     "cell_changes": tolerant().cell_changes(),
-    "char_diff": char_parts(customers(), "(length(a) - 1)::INTEGER"),
+    # One letter of each changed name is replaced, so all others are kept.
+    "char_diff": CHAR_PARTS.format(
+        cells=customers().cell_changes(), key="pk_c_custkey", kept=", (length(a) - 1)::INTEGER AS kept_chars"
+    ),
+    "document_char_diff": CHAR_PARTS.format(cells=documents().cell_changes(), key="pk_doc_id", kept=""),
     "document_text_stats": documents({"text": lower_trim("text")}).column_stats(),
     "conversation_text_tolerance": Join(
         "SELECT * FROM conversations",

@@ -108,7 +108,7 @@ def char_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_char_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined_parts(documents(spark, sf).char_changes())
+    return _joined_parts(documents(spark, sf).char_changes()).drop("kept_chars")
 
 
 def _joined_parts(changes: DataFrame) -> DataFrame:
