@@ -1,0 +1,154 @@
+"""All ways to compute an answer agree with each other and with a brute-force comparison."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
+from conftest import overview_of
+
+from twinframe import CaseInsensitive, Precision, Seconds, Whitespace, compare
+
+SCHEMA = "k string, j int, n double, t timestamp_ntz, u timestamp_ntz, s string, w string"
+TOLERANCES = {"n": Precision(0), "t": Seconds(2.5), "u": Seconds(10), "s": CaseInsensitive(), "w": Whitespace()}
+COLUMNS = ["n", "t", "u", "s", "w"]
+T0 = datetime(2024, 2, 29, 23, 59, 50)
+
+PLAIN = {"hot_key_rows": 10**9, "pair_budget": 1e9}
+SETTINGS = {
+    "pairs": PLAIN,
+    "groups": {"hot_key_rows": 10**9, "pair_budget": 0.0},
+    "hot keys": {"hot_key_rows": 3, "pair_budget": 1e9},
+    "every key hot": {"hot_key_rows": 1, "pair_budget": 1e9},
+    "more hot keys than allowed": {"hot_key_rows": 2, "max_hot_keys": 2, "pair_budget": 1e9},
+}
+
+
+def random_rows(seed: int, size: int) -> list[tuple]:
+    rng = random.Random(seed)
+
+    def moment():
+        return rng.choice([None, T0 + timedelta(seconds=rng.choice([0, 1, 2.5, 2.500001, 5, 11, -3]))])
+
+    return [
+        (
+            # Half of the rows share one key, some have none.
+            rng.choice(["hot"] * 6 + ["p", "q", f"u{rng.randrange(8)}", None]),
+            rng.choice([1, 1, 1, 2, None]),
+            rng.choice([None, 1.1, 1.9, 2.0, -0.5, float("inf")]),
+            moment(),
+            moment(),
+            rng.choice(["a", "A", "b", None]),
+            rng.choice(["x", " x", "x ", "y"]),
+        )
+        for _ in range(size)
+    ]
+
+
+def differs(column: str, x, y) -> bool:
+    if x is None or y is None:
+        return (x is None) != (y is None)
+    match column:
+        case "n":
+            return (int(x) if abs(x) < 1e9 else x) != (int(y) if abs(y) < 1e9 else y)
+        case "t":
+            return abs(x - y) > timedelta(seconds=2.5)
+        case "u":
+            return abs(x - y) > timedelta(seconds=10)
+        case "s":
+            return x.lower() != y.lower()
+    return x.strip(" ") != y.strip(" ")
+
+
+def brute_force(a: list[tuple], b: list[tuple]) -> dict:
+    pairs = [(x, y) for x in a for y in b if None not in x[:2] and x[:2] == y[:2]]
+    flags = [
+        ([differs(c, p[0][i + 2], p[1][i + 2]) for i, c in enumerate(COLUMNS)], [p[0][i] != p[1][i] for i in range(2, 7)])
+        for p in pairs
+    ]
+    keys_a, keys_b = {x[:2] for x in a if None not in x[:2]}, {y[:2] for y in b if None not in y[:2]}
+    return {
+        "pairs": Counter((*x, *y) for x, y in pairs),
+        "diffs": Counter((*x, *y) for (x, y), (d, _) in zip(pairs, flags, strict=True) if any(d)),
+        "columns": {
+            c: (sum(d[i] for d, _ in flags), sum(r[i] and not d[i] for d, r in flags)) for i, c in enumerate(COLUMNS)
+        },
+        "overview": {
+            "total_rows_a": len(a),
+            "total_rows_b": len(b),
+            "exclusive_a": sum(x[:2] not in keys_b for x in a),
+            "exclusive_b": sum(y[:2] not in keys_a for y in b),
+            "duplicate_pks_a": sum(n > 1 for n in Counter(x[:2] for x in a).values()),
+            "duplicate_pks_b": sum(n > 1 for n in Counter(y[:2] for y in b).values()),
+            "null_pks_a": sum(None in x[:2] for x in a),
+            "null_pks_b": sum(None in y[:2] for y in b),
+            "total_compared": len(pairs),
+            "rows_with_diffs": sum(any(d) for d, _ in flags),
+            "rows_minor": sum(any(r) and not any(d) for d, r in flags),
+            "rows_identical": sum(not any(r) for _, r in flags),
+        },
+        "only_a": Counter(x for x in a if x[:2] not in keys_b),
+        "only_b": Counter(y for y in b if y[:2] not in keys_a),
+        "both_a": Counter(x for x in a if x[:2] in keys_b),
+    }
+
+
+@pytest.fixture(scope="module", params=[1, 2])
+def case(request, spark):
+    rows_a, rows_b = random_rows(request.param, 45), random_rows(100 + request.param, 40)
+    a, b = spark.createDataFrame(rows_a, SCHEMA), spark.createDataFrame(rows_b, SCHEMA)
+    return a, b, brute_force(rows_a, rows_b)
+
+
+@pytest.mark.parametrize("name", SETTINGS)
+def test_strategies_agree_with_brute_force(case, name):
+    a, b, expected = case
+    comparison = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES, **SETTINGS[name])
+    assert overview_of(comparison) == expected["overview"]
+    found = comparison.column_stats().collect()
+    assert {r["name"]: (r.diff_count, r.minor_count) for r in found} == expected["columns"]
+
+    def rows(df):
+        names = [f"pk_{c}_{s}" for s in "ab" for c in ("k", "j")]
+        order = names[:2] + [f"{c}_a" for c in COLUMNS] + names[2:] + [f"{c}_b" for c in COLUMNS]
+        return Counter(tuple(r) for r in df.select(*order).collect())
+
+    assert rows(comparison.rows("all")) == expected["pairs"]
+    assert rows(comparison.rows("diffs")) == expected["diffs"]
+    joined = comparison.diff_join()
+    alone = expected["only_a"].total() + expected["only_b"].total()
+    assert joined.count() == expected["pairs"].total() + alone
+    assert Counter(map(tuple, comparison.only_in("a").collect())) == expected["only_a"]
+    assert Counter(map(tuple, comparison.only_in("b").collect())) == expected["only_b"]
+    assert Counter(map(tuple, comparison.in_both("a").collect())) == expected["both_a"]
+
+
+def test_flags_never_exceed_raw_flags(case):
+    a, b, _ = case
+    flat = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES).diff_join()
+    wrong = " OR ".join(f"is_diff_{c} > is_raw_diff_{c}" for c in COLUMNS)
+    assert flat.where(wrong).isEmpty()
+
+
+def test_materialized_comparison_gives_the_same_answers(case):
+    a, b, expected = case
+    direct = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES)
+    kept = direct.materialize()
+    assert overview_of(kept) == expected["overview"]
+    for which in ("all", "diffs", "minor", "same"):
+        one, other = direct.rows(which), kept.rows(which)
+        assert one.columns == other.columns and one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+    assert kept.diff_join().exceptAll(direct.diff_join()).isEmpty()
+
+
+def test_counting_survives_huge_multiplicities(spark):
+    """A key with a million rows on each side has 10^12 pairs, which only counting can handle."""
+    a = spark.range(1_000_000).selectExpr("'k' as k", "id % 10 as v")
+    b = spark.range(1_000_000).selectExpr("'k' as k", "id % 5 as v")
+    comparison = compare(a, b, pk_columns=["k"])
+    row = comparison.column_stats().first()
+    assert (row.total, row.diff_count) == (10**12, 10**12 - 5 * 100_000 * 200_000)
+    assert overview_of(comparison)["rows_identical"] == 10**11
+    assert comparison.only_in("a").isEmpty()
