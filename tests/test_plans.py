@@ -6,6 +6,7 @@ import pytest
 
 from catalog.spark_queries import QUERIES, orders, tolerant_orders
 from twinframe import compare
+from twinframe.operators.keys import key_profile
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,9 +35,9 @@ def test_statistics_scan_each_side_once_and_shuffle_on_the_key(spark, no_broadca
     assert "SortMergeJoin" in text and "Inner" in text
 
 
-def test_one_column_question_reads_only_what_it_shows(spark):
-    text = plan(orders(spark, SF, ignored_columns=[], column_tolerances={}).stats().select("d0"))
-    assert "o_orderpriority" not in text
+def test_one_column_question_reads_only_what_it_needs(spark):
+    text = plan(orders(spark, SF).stats().select("d0"))
+    assert "o_custkey" in text and "o_orderpriority" not in text
 
 
 def test_row_filter_reaches_the_scan(spark):
@@ -53,14 +54,31 @@ def test_page_is_a_top_k(spark):
     assert "TakeOrderedAndProject(limit=150" in plan(tolerant_orders(spark, SF).page("diffs", page=2).rows)
 
 
-def test_only_bounded_tables_are_broadcast_on_hot_keys(spark, no_broadcast):
+def test_only_the_hot_key_table_is_broadcast(spark, no_broadcast):
     a = spark.range(2000).selectExpr("id % 3 as k", "id as v")
     comparison = compare(a, a, pk_columns=["k"], hot_key_rows=100)
     assert comparison._hot.table.count() == 3
-    for df in (comparison.stats(), comparison.only_in("a")):
-        for line in plan(df).splitlines():
-            if "BroadcastExchange" in line:
-                assert "[k0" in line or "HashedRelationBroadcastMode" in line
+    for df in (comparison.stats(), comparison.only_in("a"), comparison.rows("diffs")):
+        text = plan(df)
+        assert text.count("BroadcastExchange") == text.count("BroadcastHashJoin") > 0
+        below = text.split("BroadcastExchange")[1:]
+        assert all("hot-keys" in part.split("BroadcastHashJoin")[0] for part in below)
+
+
+def test_bucketed_tables_are_compared_without_a_shuffle(spark, no_broadcast):
+    source = spark.read.parquet(f"{SF}/orders.parquet")
+    for name in ("bucketed_a", "bucketed_b"):
+        source.write.bucketBy(4, "o_orderkey").sortBy("o_orderkey").mode("overwrite").saveAsTable(name)
+    comparison = compare(spark.table("bucketed_a"), spark.table("bucketed_b"), pk_columns=["o_orderkey"])
+    profile = key_profile(comparison.a, comparison.b, comparison.config)
+    for df in (profile, comparison.stats(), comparison.only_in("a"), comparison.diff_join(), comparison.rows("diffs")):
+        assert "Exchange hashpartitioning" not in plan(df)
+
+
+def test_tables_without_null_keys_are_not_searched_for_them(spark, no_broadcast):
+    comparison = orders(spark, SF)
+    assert plan(comparison.only_in("a")).count("FileScan") == 2
+    assert plan(comparison.diff_join()).count("FileScan") == 2
 
 
 def test_hot_pairs_are_split_into_many_cells(spark):

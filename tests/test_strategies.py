@@ -10,19 +10,22 @@ import pytest
 from conftest import overview_of
 
 from twinframe import CaseInsensitive, Precision, Seconds, Whitespace, compare
+from twinframe.operators import keys
 
 SCHEMA = "k string, j int, n double, t timestamp_ntz, u timestamp_ntz, s string, w string"
 TOLERANCES = {"n": Precision(0), "t": Seconds(2.5), "u": Seconds(10), "s": CaseInsensitive(), "w": Whitespace()}
 COLUMNS = ["n", "t", "u", "s", "w"]
 T0 = datetime(2024, 2, 29, 23, 59, 50)
 
-PLAIN = {"hot_key_rows": 10**9, "pair_budget": 1e9}
+# Settings and the strategy they lead to.
 SETTINGS = {
-    "pairs": PLAIN,
-    "groups": {"hot_key_rows": 10**9, "pair_budget": 0.0},
-    "hot keys": {"hot_key_rows": 3, "pair_budget": 1e9},
-    "every key hot": {"hot_key_rows": 1, "pair_budget": 1e9},
-    "more hot keys than allowed": {"hot_key_rows": 2, "max_hot_keys": 2, "pair_budget": 1e9},
+    "joined": ({"hot_key_rows": 10**9, "pair_budget": 1e9}, "pairs"),
+    "grouped": ({"hot_key_rows": 10**9, "pair_budget": 0.0}, "groups"),
+    "hot keys in a grid": ({"hot_key_rows": 3, "pair_budget": 1e9}, "pairs"),
+    "every key in a grid": ({"hot_key_rows": 1, "pair_budget": 1e9}, "pairs"),
+    "more hot keys than allowed": ({"hot_key_rows": 2, "max_hot_keys": 2, "pair_budget": 1e9}, "pairs"),
+    "hot keys grouped": ({"hot_key_rows": 3, "pair_budget": 0.1}, "split"),
+    "too many hot keys to split off": ({"hot_key_rows": 1, "max_hot_keys": 1, "pair_budget": 0.1}, "groups"),
 }
 
 
@@ -95,7 +98,7 @@ def brute_force(a: list[tuple], b: list[tuple]) -> dict:
     }
 
 
-@pytest.fixture(scope="module", params=[1, 2])
+@pytest.fixture(scope="module", params=[1, 2], ids=["seed1", "seed2"])
 def case(request, spark):
     rows_a, rows_b = random_rows(request.param, 45), random_rows(100 + request.param, 40)
     a, b = spark.createDataFrame(rows_a, SCHEMA), spark.createDataFrame(rows_b, SCHEMA)
@@ -105,7 +108,9 @@ def case(request, spark):
 @pytest.mark.parametrize("name", SETTINGS)
 def test_strategies_agree_with_brute_force(case, name):
     a, b, expected = case
-    comparison = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES, **SETTINGS[name])
+    settings, strategy = SETTINGS[name]
+    comparison = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES, **settings).run()
+    assert comparison.strategy == strategy
     assert overview_of(comparison) == expected["overview"]
     found = comparison.column_stats().collect()
     assert {r["name"]: (r.diff_count, r.minor_count) for r in found} == expected["columns"]
@@ -132,15 +137,27 @@ def test_flags_never_exceed_raw_flags(case):
     assert flat.where(wrong).isEmpty()
 
 
-def test_materialized_comparison_gives_the_same_answers(case):
+@pytest.mark.parametrize("by_key", [False, True])
+def test_materialized_comparison_gives_the_same_answers(case, by_key):
     a, b, expected = case
     direct = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES)
-    kept = direct.materialize()
+    kept = direct.materialize(by_key=by_key)
     assert overview_of(kept) == expected["overview"]
     for which in ("all", "diffs", "minor", "same"):
         one, other = direct.rows(which), kept.rows(which)
-        assert one.columns == other.columns and one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
-    assert kept.diff_join().exceptAll(direct.diff_join()).isEmpty()
+        assert one.columns == other.columns
+        assert Counter(map(tuple, one.collect())) == Counter(map(tuple, other.collect()))
+    assert Counter(map(tuple, kept.diff_join().collect())) == Counter(map(tuple, direct.diff_join().collect()))
+
+
+@pytest.mark.parametrize("settings", [{}, {"hot_key_rows": 3}])
+def test_lone_rows_are_found_by_key_first_in_large_tables(case, monkeypatch, settings):
+    a, b, expected = case
+    monkeypatch.setattr(keys, "NARROW_FIRST_ROWS", 0)
+    monkeypatch.setattr(keys, "NARROW_FIRST_SHARE", 1.0)
+    comparison = compare(a, b, pk_columns=["k", "j"], **settings)
+    assert Counter(map(tuple, comparison.only_in("a").collect())) == expected["only_a"]
+    assert Counter(map(tuple, comparison.only_in("b").collect())) == expected["only_b"]
 
 
 def test_counting_survives_huge_multiplicities(spark):
@@ -151,4 +168,5 @@ def test_counting_survives_huge_multiplicities(spark):
     row = comparison.column_stats().first()
     assert (row.total, row.diff_count) == (10**12, 10**12 - 5 * 100_000 * 200_000)
     assert overview_of(comparison)["rows_identical"] == 10**11
+    assert comparison.strategy == "split"
     assert comparison.only_in("a").isEmpty()

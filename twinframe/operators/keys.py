@@ -8,10 +8,8 @@ on skew. Joins downstream use its result to keep hot keys out of plain key-parti
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from twinframe.config import DiffConfig
@@ -23,16 +21,17 @@ from twinframe.session import stored
 HOT_KEY_BYTES = 64 * 1024 * 1024
 # Most parts one hot key is split into on one side; more would only add tasks.
 MAX_PARTS = 10_000
+# From this size on, rows without partner are found by key first if they are at most this share of their table.
+NARROW_FIRST_ROWS = 10_000_000
+NARROW_FIRST_SHARE = 0.05
 
 
-def pair_count(k: str, m: str) -> Column:
-    """k·m without overflow."""
-    return F.col(k).cast("decimal(19,0)") * F.col(m).cast("decimal(19,0)")
+PAIRS = "CAST(in_a AS DECIMAL(19,0)) * CAST(in_b AS DECIMAL(19,0))"
 
 
-def total(value: Column, when: Column | None = None) -> Column:
-    """Sum of ``value`` (where ``when``), 0 for no rows."""
-    return F.coalesce(F.sum(value if when is None else F.when(when, value)), F.lit(0))
+def total(value: str, when: str | None = None) -> str:
+    """SQL text of a sum (over rows where ``when``) that is 0 for no rows."""
+    return f"coalesce(sum({value}){f' FILTER (WHERE {when})' if when else ''}, 0)"
 
 
 def key_counts(a: Side, b: Side, filtered: bool = True) -> DataFrame:
@@ -50,46 +49,51 @@ def key_names(side: Side) -> list[str]:
     return [f"k{i}" for i in range(len(side.key_columns))]
 
 
-def _is_hot(names: list[str], config: DiffConfig) -> Column:
-    return ~has_null(names) & (F.greatest("in_a", "in_b") >= config.hot_key_rows)
+def _null_key(names: list[str]) -> str:
+    return "(" + " OR ".join(f"{name} IS NULL" for name in names) + ")"
+
+
+def _is_hot(names: list[str], config: DiffConfig) -> str:
+    return f"NOT {_null_key(names)} AND greatest(in_a, in_b) >= {config.hot_key_rows}"
+
+
+def _named(texts: dict[str, str]) -> list[str]:
+    return [f"{text} AS {name}" for name, text in texts.items()]
 
 
 def key_profile(a: Side, b: Side, config: DiffConfig) -> DataFrame:
     """One row of totals over :func:`key_counts`: rows, exclusive rows, duplicate and NULL keys, pairs, hot keys."""
     names = key_names(a)
-    in_a, in_b = F.col("in_a"), F.col("in_b")
-    null_key = has_null(names)
-    all_null = reduce(and_, [F.col(name).isNull() for name in names])
-    matched = ~null_key & (in_a > 0) & (in_b > 0)
+    all_null = " AND ".join(f"{name} IS NULL" for name in names)
+    matched = f"NOT {_null_key(names)} AND in_a > 0 AND in_b > 0"
     hot = _is_hot(names, config)
-    pairs = pair_count("in_a", "in_b")
-    return key_counts(a, b).agg(
-        total(in_a).alias("total_rows_a"),
-        total(in_b).alias("total_rows_b"),
-        total(in_a, ~matched).alias("exclusive_a"),
-        total(in_b, ~matched).alias("exclusive_b"),
-        *_problem_counts(names),
-        total(in_a, all_null).alias("all_null_a"),
-        total(in_b, all_null).alias("all_null_b"),
-        total(pairs, matched).alias("pairs"),
-        total(pairs, matched & ~hot).alias("cold_pairs"),
-        F.count_if(hot).alias("hot_keys"),
-    )
+    totals = {
+        "total_rows_a": total("in_a"),
+        "total_rows_b": total("in_b"),
+        "exclusive_a": total("in_a", f"NOT ({matched})"),
+        "exclusive_b": total("in_b", f"NOT ({matched})"),
+        **_problem_counts(names),
+        "all_null_a": total("in_a", all_null),
+        "all_null_b": total("in_b", all_null),
+        "pairs": total(PAIRS, matched),
+        "cold_pairs": total(PAIRS, f"{matched} AND NOT ({hot})"),
+        "hot_keys": f"count_if({hot})",
+    }
+    return key_counts(a, b).selectExpr(*_named(totals))
 
 
 def unfiltered_problem_counts(a: Side, b: Side) -> DataFrame:
     """Duplicate and NULL key counts of the tables as given, before the row filter."""
-    return key_counts(a, b, filtered=False).agg(*_problem_counts(key_names(a)))
+    return key_counts(a, b, filtered=False).selectExpr(*_named(_problem_counts(key_names(a))))
 
 
-def _problem_counts(names: list[str]) -> list[Column]:
-    null_key = has_null(names)
-    return [
-        F.count_if(F.col("in_a") > 1).alias("duplicate_pks_a"),
-        F.count_if(F.col("in_b") > 1).alias("duplicate_pks_b"),
-        total(F.col("in_a"), null_key).alias("null_pks_a"),
-        total(F.col("in_b"), null_key).alias("null_pks_b"),
-    ]
+def _problem_counts(names: list[str]) -> dict[str, str]:
+    return {
+        "duplicate_pks_a": "count_if(in_a > 1)",
+        "duplicate_pks_b": "count_if(in_b > 1)",
+        "null_pks_a": total("in_a", _null_key(names)),
+        "null_pks_b": total("in_b", _null_key(names)),
+    }
 
 
 @dataclass(frozen=True)
@@ -146,33 +150,43 @@ def _parts(count: str, config: DiffConfig) -> Column:
     return F.least(F.greatest(needed, F.lit(1)), F.lit(MAX_PARTS)).cast("int")
 
 
-def with_partner(one: Side, other: Side, hot: HotKeys | None, how: str) -> DataFrame:
+def with_partner(one: Side, other: Side, totals: Row, hot: HotKeys | None, how: str) -> DataFrame:
     """Rows of ``one`` whose key occurs (``left_semi``) or does not occur (``left_anti``) in ``other``.
 
     The rows keep their own columns. Rows with a NULL key part match nothing and bypass the join; rows of hot keys
-    bypass it too, since the hot-key table already says whether the other side has the key.
+    bypass it too, since the hot-key table already says whether the other side has the key. When a large table has few
+    rows without partner, their keys are looked up first and only then the rows, which saves shuffling wide rows.
     """
     own = [f"{SOURCE_KEY}{i}" for i in range(len(one.key_columns))]
     theirs = key_names(other)
     keyed = one.keyed()
     rows = keyed.where(~has_null(own))
-    keys = other.keys_of(other.filtered).where(~has_null(theirs))
-    equal = [F.col(x) == F.col(y) for x, y in zip(own, theirs, strict=True)]
+    size, nulls = totals[f"total_rows_{one.name}"], totals[f"null_pks_{one.name}"]
+    lone = totals[f"exclusive_{one.name}"] - nulls
+    if how == "left_anti" and size >= NARROW_FIRST_ROWS and lone <= size * NARROW_FIRST_SHARE:
+        keys, match = stored(_lone_keys(one, other), "lone-keys"), "left_semi"
+    else:
+        keys, match = other.keys_of(other.filtered).where(~has_null(theirs)), how
+    keys = keys.select(*[F.col(name).alias(f"other_{name}") for name in theirs])
+    equal = [F.col(x) == F.col(f"other_{y}") for x, y in zip(own, theirs, strict=True)]
     if hot is None:
-        found = rows.join(keys, equal, how)
+        found = rows.join(keys, equal, match)
     else:
         partners = F.col(f"in_{other.name}")
         known = hot.hot(rows, own).where(partners > 0 if how == "left_semi" else partners == 0)
-        aliased = keys.select(*[F.col(name).alias(f"other_{name}") for name in theirs])
-        cold_keys = hot.cold(aliased, aliased.columns).select(
-            *[F.col(f"other_{name}").alias(name) for name in theirs]
-        )
-        found = hot.cold(rows, own).join(cold_keys, equal, how).unionAll(known.select(*keyed.columns))
-    if how == "left_anti":
+        cold = hot.cold(rows, own).join(hot.cold(keys, keys.columns), equal, match)
+        found = cold.unionAll(known.select(*keyed.columns))
+    if how == "left_anti" and nulls:
         found = found.unionAll(keyed.where(has_null(own)))
     return found.drop(*own)
 
 
+def _lone_keys(one: Side, other: Side) -> DataFrame:
+    a, b = (one, other) if one.name == "a" else (other, one)
+    lone = f"NOT {_null_key(key_names(one))} AND in_{one.name} > 0 AND in_{other.name} = 0"
+    return key_counts(a, b).where(lone).select(*key_names(one))
+
+
 def duplicate_keys(side: Side, config: DiffConfig) -> DataFrame:
     """Key values that occur more than once, with their ``count``. NULL is a value like any other here."""
     source = side.source if config.where_scope == "join" else side.filtered

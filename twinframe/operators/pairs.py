@@ -7,7 +7,7 @@ plain join: rows with a NULL key part (they match nothing, and would all meet in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from twinframe.functions.compare import any_of
@@ -31,9 +31,16 @@ def cold_pairs(a: Side, b: Side, layout: Layout, hot: HotKeys) -> DataFrame:
     return rows_a.join(rows_b, _equal(layout), "inner")
 
 
-def diff_join(a: Side, b: Side, layout: Layout, hot: HotKeys | None) -> DataFrame:
+def diff_join(a: Side, b: Side, layout: Layout, totals: Row, hot: HotKeys | None) -> DataFrame:
     """All pairs plus the rows without partner, with presence flags ``in_a`` and ``in_b``."""
-    rows_a, rows_b = a.rows.where(~has_null(layout.key("a"))), b.rows.where(~has_null(layout.key("b")))
+    rows_a, rows_b = a.rows, b.rows
+    parts = []
+    if totals.null_pks_a:
+        parts.append(_alone(rows_a.where(has_null(layout.key("a"))), "a"))
+        rows_a = rows_a.where(~has_null(layout.key("a")))
+    if totals.null_pks_b:
+        parts.append(_alone(rows_b.where(has_null(layout.key("b"))), "b"))
+        rows_b = rows_b.where(~has_null(layout.key("b")))
     if hot is not None:
         rows_a, rows_b = hot.cold(rows_a, layout.key("a")), hot.cold(rows_b, layout.key("b"))
     joined = (
@@ -41,11 +48,6 @@ def diff_join(a: Side, b: Side, layout: Layout, hot: HotKeys | None) -> DataFram
         .join(rows_b.withColumn("in_b", F.lit(True)), _equal(layout), "full_outer")
         .withColumns({flag: F.coalesce(F.col(flag), F.lit(False)) for flag in PRESENT})
     )
-    parts = [
-        joined,
-        _alone(a.rows.where(has_null(layout.key("a"))), "a"),
-        _alone(b.rows.where(has_null(layout.key("b"))), "b"),
-    ]
     if hot is not None:
         both = {flag: F.lit(True) for flag in PRESENT}
         parts += [
@@ -53,8 +55,8 @@ def diff_join(a: Side, b: Side, layout: Layout, hot: HotKeys | None) -> DataFram
             _alone(_hot_rows(a, layout, hot, F.col("in_b") == 0).select(*layout.all("a")), "a"),
             _alone(_hot_rows(b, layout, hot, F.col("in_a") == 0).select(*layout.all("b")), "b"),
         ]
-    result = parts[0]
-    for part in parts[1:]:
+    result = joined
+    for part in parts:
         result = result.unionByName(part, allowMissingColumns=True)
     return result.select(*layout.all("a"), *layout.all("b"), *PRESENT)
 

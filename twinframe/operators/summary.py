@@ -16,8 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.functions.compare import LABELS, any_of
-from twinframe.operators.keys import pair_count, total
+from twinframe.functions.compare import LABELS
+from twinframe.operators.keys import PAIRS, total
 from twinframe.operators.pairs import with_flags
 from twinframe.operators.sides import Layout, Side, has_null
 
@@ -39,20 +39,19 @@ def aggregate_flags(flagged: DataFrame, layout: Layout) -> DataFrame:
     """One statistics row from flagged, matched pairs."""
     # A column compared exactly has one flag for both questions, so only the others are counted twice.
     loose = [i for i, comparator in enumerate(layout.comparators) if not comparator.exact]
-    differs = any_of([F.col(flag) for flag in layout.flags])
-    changed = differs | any_of([F.col(f"r{i}") for i in loose])
-    minor = {
-        i: F.count_if(F.col(f"r{i}") & ~F.col(f"d{i}")) if i in loose else F.lit(0).cast("long")
-        for i in range(len(layout.compared))
+    differs = " OR ".join(["false", *layout.flags])
+    changed = " OR ".join([differs, *[f"r{i}" for i in loose]])
+    counts = {
+        "pairs": "count(1)",
+        "rows_with_diffs": f"count_if({differs})",
+        "rows_minor": f"count_if(({changed}) AND NOT ({differs}))",
+        "rows_identical": f"count_if(NOT ({changed}))",
     }
-    return flagged.agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.count_if(differs).alias("rows_with_diffs"),
-        F.count_if(changed & ~differs).alias("rows_minor"),
-        F.count_if(~changed).alias("rows_identical"),
-        *[F.count_if(F.col(flag)).alias(flag) for flag in layout.flags],
-        *[value.alias(f"m{i}") for i, value in minor.items()],
-    )
+    counts |= {flag: f"count_if({flag})" for flag in layout.flags}
+    counts |= {
+        f"m{i}": f"count_if(r{i} AND NOT d{i})" if i in loose else "0L" for i in range(len(layout.compared))
+    }
+    return flagged.selectExpr(*[f"{text} AS {name}" for name, text in counts.items()])
 
 
 def from_groups(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFrame:
@@ -104,28 +103,22 @@ def from_groups(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFra
         .agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
         .where((F.col("in_a") > 0) & (F.col("in_b") > 0))
     )
-    equal_pairs = met.agg(
-        *[
-            total(pair_count("in_a", "in_b"), F.col("question") == position).alias(f"q_{question}")
-            for question, position in number.items()
-        ]
+    equal_pairs = met.selectExpr(
+        *[f"{total(PAIRS, f'question = {position}')} AS {question}" for question, position in number.items()]
     )
 
-    def equal(question: str) -> Column:
-        return F.col(f"q_{question}")
-
-    def tolerant(i: int | str) -> Column:
-        return equal(f"tol{i}") if i in loose or (i == "" and loose) else equal(f"raw{i}")
+    def tolerant(i: int | str) -> str:
+        return f"tol{i}" if i in loose or (i == "" and loose) else f"raw{i}"
 
     answers = {
-        "pairs": equal("pairs"),
-        "rows_with_diffs": equal("pairs") - tolerant(""),
-        "rows_minor": tolerant("") - equal("raw"),
-        "rows_identical": equal("raw"),
+        "pairs": "pairs",
+        "rows_with_diffs": f"pairs - {tolerant('')}",
+        "rows_minor": f"{tolerant('')} - raw",
+        "rows_identical": "raw",
     }
-    answers |= {f"d{i}": equal("pairs") - tolerant(i) for i in range(n)}
-    answers |= {f"m{i}": tolerant(i) - equal(f"raw{i}") for i in range(n)}
-    return equal_pairs.select(*[answers[name].cast("long").alias(name) for name in stat_columns(layout)])
+    answers |= {f"d{i}": f"pairs - {tolerant(i)}" for i in range(n)}
+    answers |= {f"m{i}": f"{tolerant(i)} - raw{i}" for i in range(n)}
+    return equal_pairs.selectExpr(*[f"CAST({answers[name]} AS BIGINT) AS {name}" for name in stat_columns(layout)])
 
 
 def added(parts: list[DataFrame], layout: Layout) -> DataFrame:

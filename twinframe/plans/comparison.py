@@ -26,6 +26,7 @@ class Comparison:
         self.config = config
         self.a, self.b, self.layout = prepare(a, b, config)
         self._stored: DataFrame | None = None
+        self._statistics: DataFrame | None = None
 
     # Keys
 
@@ -49,12 +50,12 @@ class Comparison:
     def only_in(self, side: str) -> DataFrame:
         """Rows of side ``a`` or ``b`` without partner, with the columns of that table."""
         one, other = self._sides(side)
-        return keys.with_partner(one, other, self._hot, "left_anti")
+        return keys.with_partner(one, other, self.key_totals, self._hot, "left_anti")
 
     def in_both(self, side: str) -> DataFrame:
         """Rows of side ``a`` or ``b`` with a partner, each once."""
         one, other = self._sides(side)
-        return keys.with_partner(one, other, self._hot, "left_semi")
+        return keys.with_partner(one, other, self.key_totals, self._hot, "left_semi")
 
     def duplicate_keys(self, side: str) -> DataFrame:
         """Repeated key values of a side with their ``count``."""
@@ -67,26 +68,45 @@ class Comparison:
 
     # Statistics
 
+    @cached_property
+    def strategy(self) -> str:
+        """How statistics are computed: from joined ``pairs``, from value ``groups``, or hot keys from groups (``split``)."""
+        totals = self.key_totals
+        rows = totals.total_rows_a + totals.total_rows_b
+        budget = self.config.pair_budget * rows * (len(self.layout.compared) + 1)
+        if totals.pairs <= budget:
+            return "pairs"
+        if totals.cold_pairs <= budget and self._hot is not None and self._hot.table.count() == totals.hot_keys:
+            return "split"
+        return "groups"
+
     def stats(self) -> DataFrame:
         """One row with every count over matched pairs; :meth:`overview` and :meth:`column_stats` unfold it."""
+        if self._statistics is not None:
+            return self._statistics
+        layout = self.layout
         if self._stored is not None:
-            matched = self._stored.where("in_a and in_b")
-            return summary.aggregate_flags(drill.positional(matched, self.layout), self.layout)
-        rows_a, rows_b, layout = self.a.rows, self.b.rows, self.layout
-        totals = self.key_totals
-        rows = totals.total_rows_a + totals.total_rows_b
-        if totals.cold_pairs > self.config.pair_budget * rows * (len(layout.compared) + 1):
+            matched = drill.positional(self._stored.where("in_a and in_b"), layout)
+            return summary.aggregate_flags(matched, layout)
+        rows_a, rows_b = self.a.rows, self.b.rows
+        if self.strategy == "pairs":
+            return summary.from_pairs(pairs.matched_pairs(self.a, self.b, layout, self._hot), layout)
+        if self.strategy == "groups":
             return summary.from_groups(rows_a, rows_b, layout)
         hot = self._hot
-        if hot is None:
-            return summary.from_pairs(pairs.matched_pairs(self.a, self.b, layout, None), layout)
-        if totals.hot_keys > self.config.max_hot_keys:
-            return summary.from_groups(rows_a, rows_b, layout)
-        keys_a, keys_b = layout.key("a"), layout.key("b")
+        hot_a = hot.hot(rows_a, layout.key("a")).select(*rows_a.columns)
+        hot_b = hot.hot(rows_b, layout.key("b")).select(*rows_b.columns)
         cold = pairs.cold_pairs(self.a, self.b, layout, hot)
-        hot_rows = (hot.hot(rows_a, keys_a).select(rows_a.columns), hot.hot(rows_b, keys_b).select(rows_b.columns))
-        parts = [summary.from_pairs(cold, layout), summary.from_groups(*hot_rows, layout)]
-        return summary.added(parts, layout)
+        return summary.added([summary.from_pairs(cold, layout), summary.from_groups(hot_a, hot_b, layout)], layout)
+
+    def run(self) -> Comparison:
+        """Compute the statistics now, so that :meth:`overview` and :meth:`column_stats` share one pass over the data.
+
+        What is kept is a single row of counts.
+        """
+        stats = self.stats()
+        self._statistics = self.a.source.sparkSession.createDataFrame([stats.first()], stats.schema)
+        return self
 
     def column_stats(self) -> DataFrame:
         """Differing, minor and matching cells of each compared column."""
@@ -135,7 +155,7 @@ class Comparison:
         return pairs.with_flags(pairs.matched_pairs(self.a, self.b, self.layout, self._hot), self.layout)
 
     def _flagged_join(self) -> DataFrame:
-        return pairs.with_flags(pairs.diff_join(self.a, self.b, self.layout, self._hot), self.layout)
+        return pairs.with_flags(pairs.diff_join(self.a, self.b, self.layout, self.key_totals, self._hot), self.layout)
 
     def diff_join(self) -> DataFrame:
         """Matched pairs and rows without partner: keys, values and flags of both sides."""
@@ -178,15 +198,19 @@ class Comparison:
 
     # Storage
 
-    def materialize(self, path: str | None = None) -> Comparison:
+    def materialize(self, path: str | None = None, by_key: bool = False) -> Comparison:
         """Store the diff join as Parquet (``path``, or the shared folder) and answer row questions from it.
 
         Worth it for several look-ups; a single one is cheaper without, as it reads and shuffles only what it needs.
+        With ``by_key`` the files are sorted by key, so that key ranges and keyset pages read a few of them only.
         """
-        flagged = self._flagged_join()
+        flat = drill.flat(self._flagged_join(), self.layout, extra=pairs.PRESENT)
+        if by_key:
+            order = [F.col(quoted(name)) for name in self.order]
+            flat = flat.repartitionByRange(*order).sortWithinPartitions(*order)
         kept = Comparison(self.a.source, self.b.source, self.config)
         kept.__dict__["key_totals"] = self.key_totals
-        kept._stored = stored(drill.flat(flagged, self.layout, extra=pairs.PRESENT), "diff-join", path)
+        kept._stored = stored(flat, "diff-join", path)
         return kept
 
 

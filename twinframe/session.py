@@ -32,3 +32,19 @@ def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     target = path or fresh_path(df.sparkSession, label)
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def recommended_settings(input_bytes: int, columns: int = 0) -> dict[str, str]:
+    """Spark settings for a comparison of ``input_bytes`` of data with up to ``columns`` columns.
+
+    Shuffle partitions of about 200 MB fit executor memory; adaptive execution merges those that turn out small and
+    splits skewed ones, but cannot add more. Wide joins stay compiled if the field limit covers both sides.
+    """
+    partitions = max(200, -(-input_bytes // (200 * 1024 * 1024)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "134217728",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.codegen.maxFields": str(max(100, 4 * columns + 20)),
+    }
