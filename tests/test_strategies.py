@@ -10,7 +10,7 @@ import pytest
 from conftest import overview_of
 
 from twinframe import CaseInsensitive, Precision, Seconds, Whitespace, compare
-from twinframe.operators import keys
+from twinframe.operators import keys, pairs
 
 SCHEMA = "k string, j int, n double, t timestamp_ntz, u timestamp_ntz, s string, w string"
 TOLERANCES = {"n": Precision(0), "t": Seconds(2.5), "u": Seconds(10), "s": CaseInsensitive(), "w": Whitespace()}
@@ -25,7 +25,8 @@ SETTINGS = {
     "every key in a grid": ({"hot_key_rows": 1, "pair_budget": 1e9}, "pairs"),
     "more hot keys than allowed": ({"hot_key_rows": 2, "max_hot_keys": 2, "pair_budget": 1e9}, "pairs"),
     "hot keys grouped": ({"hot_key_rows": 3, "pair_budget": 0.1}, "split"),
-    "too many hot keys to split off": ({"hot_key_rows": 1, "max_hot_keys": 1, "pair_budget": 0.1}, "groups"),
+    "hottest keys grouped": ({"hot_key_rows": 1, "max_hot_keys": 4, "pair_budget": 0.2}, "split"),
+    "cold keys have too many pairs": ({"hot_key_rows": 8, "pair_budget": 0.005}, "groups"),
 }
 
 
@@ -160,6 +161,32 @@ def test_lone_rows_are_found_by_key_first_in_large_tables(case, monkeypatch, set
     assert Counter(map(tuple, comparison.only_in("b").collect())) == expected["only_b"]
 
 
+def test_outer_join_of_large_keys_is_taken_apart(case, monkeypatch):
+    a, b, _ = case
+    expected = Counter(map(tuple, compare(a, b, pk_columns=["k", "j"]).diff_join().collect()))
+    monkeypatch.setattr(pairs, "FULL_OUTER_ROWS", 0)
+    for settings in ({}, {"hot_key_rows": 3}):
+        found = compare(a, b, pk_columns=["k", "j"], **settings).diff_join()
+        assert Counter(map(tuple, found.collect())) == expected
+
+
+def test_line_between_cold_and_hot_keys(spark):
+    # Keys 0…9 with 1, 2, 4, …, 512 rows.
+    a = spark.range(1023).selectExpr("CAST(floor(log2(id + 1.5)) AS int) AS k", "id AS v")
+    sizes = [r["count"] for r in a.groupBy("k").count().orderBy("k").collect()]
+
+    def totals(**settings):
+        return compare(a, a, pk_columns=["k"], **settings).key_totals
+
+    assert totals().hot_keys == 0
+    few = totals(hot_key_rows=100)
+    assert (few.hot_from, few.hot_keys) == (100, sum(n >= 100 for n in sizes))
+    fewer = totals(hot_key_rows=1, max_hot_keys=3)
+    assert (fewer.hot_from, fewer.hot_keys) == (128, sum(n >= 128 for n in sizes))
+    assert fewer.pairs == sum(n * n for n in sizes)
+    assert fewer.cold_pairs == sum(n * n for n in sizes if n < 128)
+
+
 def test_counting_survives_huge_multiplicities(spark):
     """A key with a million rows on each side has 10^12 pairs, which only counting can handle."""
     a = spark.range(1_000_000).selectExpr("'k' as k", "id % 10 as v")

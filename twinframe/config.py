@@ -72,8 +72,8 @@ class DiffConfig:
     ``where_scope="join"`` counts duplicate and NULL keys before the row filter instead of after it.
     ``null_keys="both_sides"`` counts a row whose whole key is NULL as exclusive on both sides.
 
-    ``hot_key_rows`` is the number of rows from which one key is treated as hot and ``max_hot_keys`` bounds how many
-    such keys are broadcast. ``pair_budget`` is the number of joined pairs, per input row and compared column, above
+    ``hot_key_rows`` is the number of rows on one side from which a key is treated as hot; it is raised as far as needed
+    to have at most ``max_hot_keys`` such keys, which are broadcast. ``pair_budget`` is the number of joined pairs, per input row and compared column, above
     which statistics are counted from grouped values instead of joined pairs.
     """
 
@@ -87,7 +87,7 @@ class DiffConfig:
     on_duplicates: str = "pairs"
     where_scope: str = "all"
     null_keys: str = "once"
-    hot_key_rows: int = 10_000
+    hot_key_rows: int = 100_000
     max_hot_keys: int = 20_000
     pair_budget: float = 1.0
 

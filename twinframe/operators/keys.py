@@ -19,6 +19,8 @@ from twinframe.session import stored
 
 # Broadcast bound of the hot-key table, next to DiffConfig.max_hot_keys: its keys take at most this many bytes.
 HOT_KEY_BYTES = 64 * 1024 * 1024
+# Rows of each side that meet in one cell of a split hot key.
+CELL_ROWS = 10_000
 # Most parts one hot key is split into on one side; more would only add tasks.
 MAX_PARTS = 10_000
 # From this size on, rows without partner are found by key first if they are at most this share of their table.
@@ -53,20 +55,22 @@ def _null_key(names: list[str]) -> str:
     return "(" + " OR ".join(f"{name} IS NULL" for name in names) + ")"
 
 
-def _is_hot(names: list[str], config: DiffConfig) -> str:
-    return f"NOT {_null_key(names)} AND greatest(in_a, in_b) >= {config.hot_key_rows}"
-
-
 def _named(texts: dict[str, str]) -> list[str]:
     return [f"{text} AS {name}" for name, text in texts.items()]
 
 
 def key_profile(a: Side, b: Side, config: DiffConfig) -> DataFrame:
-    """One row of totals over :func:`key_counts`: rows, exclusive rows, duplicate and NULL keys, pairs, hot keys."""
+    """Totals over :func:`key_counts` by size class of the keys, a few dozen rows at most.
+
+    Class 0 holds the keys with fewer than ``hot_key_rows`` rows on either side; each further class starts at twice the
+    size of the one before, so class c > 0 starts at hot_key_rows · 2^(c-1).
+    """
     names = key_names(a)
+    null_key = _null_key(names)
     all_null = " AND ".join(f"{name} IS NULL" for name in names)
-    matched = f"NOT {_null_key(names)} AND in_a > 0 AND in_b > 0"
-    hot = _is_hot(names, config)
+    matched = f"NOT {null_key} AND in_a > 0 AND in_b > 0"
+    size, first = "greatest(in_a, in_b)", config.hot_key_rows
+    size_class = f"CASE WHEN {null_key} OR {size} < {first} THEN 0 ELSE length(bin({size} DIV {first})) END"
     totals = {
         "total_rows_a": total("in_a"),
         "total_rows_b": total("in_b"),
@@ -76,10 +80,54 @@ def key_profile(a: Side, b: Side, config: DiffConfig) -> DataFrame:
         "all_null_a": total("in_a", all_null),
         "all_null_b": total("in_b", all_null),
         "pairs": total(PAIRS, matched),
-        "cold_pairs": total(PAIRS, f"{matched} AND NOT ({hot})"),
-        "hot_keys": f"count_if({hot})",
+        "keys": "count(1)",
     }
-    return key_counts(a, b).selectExpr(*_named(totals))
+    classed = key_counts(a, b).selectExpr("*", f"{size_class} AS size_class")
+    return classed.groupBy("size_class").agg(*[F.expr(text).alias(name) for name, text in totals.items()])
+
+
+@dataclass(frozen=True)
+class KeyTotals:
+    """What is known about the keys of a comparison before it is made."""
+
+    total_rows_a: int
+    total_rows_b: int
+    exclusive_a: int
+    exclusive_b: int
+    duplicate_pks_a: int
+    duplicate_pks_b: int
+    null_pks_a: int
+    null_pks_b: int
+    all_null_a: int
+    all_null_b: int
+    pairs: int
+    hot_from: int
+    """Rows of one side from which a key is hot."""
+    hot_keys: int
+    cold_pairs: int
+    """Pairs of keys that are not hot."""
+
+    def of(self, fact: str, side: str) -> int:
+        return getattr(self, f"{fact}_{side}")
+
+
+def key_totals(profile: list[Row], config: DiffConfig) -> KeyTotals:
+    """Sum up a fetched :func:`key_profile` and draw the line between cold and hot keys.
+
+    It is drawn at ``hot_key_rows``, or at the lowest size class that leaves at most ``max_hot_keys`` above it.
+    """
+    summed = ["total_rows", "exclusive", "duplicate_pks", "null_pks", "all_null"]
+    names = [f"{fact}_{side}" for fact in summed for side in "ab"] + ["pairs"]
+    sums = {name: sum(int(row[name]) for row in profile) for name in names}
+    line = 1
+    while sum(row["keys"] for row in profile if row.size_class >= line) > config.max_hot_keys:
+        line += 1
+    return KeyTotals(
+        **sums,
+        hot_from=config.hot_key_rows << (line - 1),
+        hot_keys=sum(row["keys"] for row in profile if row.size_class >= line),
+        cold_pairs=sum(int(row.pairs) for row in profile if row.size_class < line),
+    )
 
 
 def unfiltered_problem_counts(a: Side, b: Side) -> DataFrame:
@@ -100,8 +148,8 @@ def _problem_counts(names: list[str]) -> dict[str, str]:
 class HotKeys:
     """The hottest keys with their exact row counts: ``k0…, in_a, in_b``, and the parts to split each side into.
 
-    At most ``max_hot_keys`` rows and ``HOT_KEY_BYTES`` of keys, so it can be broadcast. A key it leaves out holds less
-    than 1/n of all rows when it has n rows.
+    At most ``max_hot_keys`` rows and ``HOT_KEY_BYTES`` of keys, so it can be broadcast. A key outside a table of n rows
+    holds less than 1/n of all rows.
     """
 
     table: DataFrame
@@ -119,14 +167,15 @@ class HotKeys:
         return df.join(F.broadcast(self.table), self._on(keys), "inner").drop(*self.names)
 
 
-def hot_keys(a: Side, b: Side, config: DiffConfig) -> HotKeys:
+def hot_keys(a: Side, b: Side, totals: KeyTotals) -> HotKeys:
     names = key_names(a)
+    hot = f"NOT {_null_key(names)} AND greatest(in_a, in_b) >= {totals.hot_from}"
     hottest = (
         key_counts(a, b)
-        .where(_is_hot(names, config))
+        .where(hot)
         .withColumn("size", F.greatest("in_a", "in_b"))
         .orderBy(F.col("size").desc(), *names)
-        .limit(config.max_hot_keys)
+        .limit(totals.hot_keys)
     )
     # The window sees at most max_hot_keys rows.
     by_size = Window.partitionBy(F.lit(0)).orderBy(F.col("size").desc(), *names)
@@ -134,23 +183,18 @@ def hot_keys(a: Side, b: Side, config: DiffConfig) -> HotKeys:
     table = (
         hottest.withColumn("bytes", F.sum(key_bytes).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
         .where(F.col("bytes") <= HOT_KEY_BYTES)
-        .select(
-            *names,
-            "in_a",
-            "in_b",
-            _parts("in_a", config).alias("parts_a"),
-            _parts("in_b", config).alias("parts_b"),
-        )
+        .select(*names, "in_a", "in_b", _parts("in_a", totals), _parts("in_b", totals))
     )
     return HotKeys(stored(table, "hot-keys"), names)
 
 
-def _parts(count: str, config: DiffConfig) -> Column:
-    needed = F.ceil(F.col(count) / F.lit(config.hot_key_rows))
-    return F.least(F.greatest(needed, F.lit(1)), F.lit(MAX_PARTS)).cast("int")
+def _parts(count: str, totals: KeyTotals) -> Column:
+    needed = F.ceil(F.col(count) / F.lit(min(CELL_ROWS, totals.hot_from)))
+    parts = F.least(F.greatest(needed, F.lit(1)), F.lit(MAX_PARTS)).cast("int")
+    return parts.alias(count.replace("in_", "parts_"))
 
 
-def with_partner(one: Side, other: Side, totals: Row, hot: HotKeys | None, how: str) -> DataFrame:
+def with_partner(one: Side, other: Side, totals: KeyTotals, hot: HotKeys | None, how: str) -> DataFrame:
     """Rows of ``one`` whose key occurs (``left_semi``) or does not occur (``left_anti``) in ``other``.
 
     The rows keep their own columns. Rows with a NULL key part match nothing and bypass the join; rows of hot keys
@@ -161,8 +205,8 @@ def with_partner(one: Side, other: Side, totals: Row, hot: HotKeys | None, how:
     theirs = key_names(other)
     keyed = one.keyed()
     rows = keyed.where(~has_null(own))
-    size, nulls = totals[f"total_rows_{one.name}"], totals[f"null_pks_{one.name}"]
-    lone = totals[f"exclusive_{one.name}"] - nulls
+    size, nulls = totals.of("total_rows", one.name), totals.of("null_pks", one.name)
+    lone = totals.of("exclusive", one.name) - nulls
     if how == "left_anti" and size >= NARROW_FIRST_ROWS and lone <= size * NARROW_FIRST_SHARE:
         keys, match = stored(_lone_keys(one, other), "lone-keys"), "left_semi"
     else:

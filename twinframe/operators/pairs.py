@@ -7,56 +7,88 @@ plain join: rows with a NULL key part (they match nothing, and would all meet in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.functions.compare import any_of
-from twinframe.operators.keys import HotKeys
+from twinframe.operators.keys import HotKeys, KeyTotals
 from twinframe.operators.sides import Layout, Side, has_null
 from twinframe.session import stored
 
 PRESENT = ("in_a", "in_b")
+# Most rows of one key and side that a full outer join is trusted with.
+FULL_OUTER_ROWS = 100_000
 
 
-def matched_pairs(a: Side, b: Side, layout: Layout, hot: HotKeys | None) -> DataFrame:
-    """All pairs of rows with equal keys, each once."""
-    if hot is None:
-        return a.rows.join(b.rows, _equal(layout), "inner")
-    return cold_pairs(a, b, layout, hot).unionByName(_hot_pairs(a, b, layout, hot))
+def cold_pairs(a: Side, b: Side, layout: Layout, hot: HotKeys | None) -> DataFrame:
+    """All pairs of rows with equal keys, those of hot keys left out."""
+    rows_a, rows_b = a.rows, b.rows
+    if hot is not None:
+        rows_a, rows_b = hot.cold(rows_a, layout.key("a")), hot.cold(rows_b, layout.key("b"))
+    return rows_a.join(rows_b, _equal(layout), "inner")
 
 
-def cold_pairs(a: Side, b: Side, layout: Layout, hot: HotKeys) -> DataFrame:
-    """Pairs of keys that are not hot."""
-    rows_a, rows_b = hot.cold(a.rows, layout.key("a")), hot.cold(b.rows, layout.key("b"))
-    return rows_a.join(rows_b, _equal(layout), "inner")
+def hot_pairs(a: Side, b: Side, layout: Layout, hot: HotKeys) -> DataFrame:
+    """Pairs of hot keys by a grid: rows of A take a line, rows of B a column, and each copy meets in one cell.
+
+    A row's place follows from its position in its task. The rows are stored first, so that a task run again reads them
+    in the same order and places them alike.
+    """
+    partnered = (F.col("in_a") > 0) & (F.col("in_b") > 0)
+    rows = {}
+    for side, own, other in ((a, "parts_a", "parts_b"), (b, "parts_b", "parts_a")):
+        kept = _hot_rows(side, layout, hot, partnered).select(*layout.all(side.name), own, other)
+        rows[side.name] = (
+            stored(kept, f"hot-rows-{side.name}")
+            .withColumn(f"{side.name}_own", F.pmod(F.monotonically_increasing_id(), F.col(own)).cast("int"))
+            .withColumn(f"{side.name}_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .drop(own, other)
+        )
+    cell = [F.col("a_own") == F.col("b_other"), F.col("a_other") == F.col("b_own")]
+    joined = rows["a"].join(rows["b"], [*_equal(layout), *cell], "inner")
+    return joined.select(*layout.all("a"), *layout.all("b"))
 
 
-def diff_join(a: Side, b: Side, layout: Layout, totals: Row, hot: HotKeys | None) -> DataFrame:
-    """All pairs plus the rows without partner, with presence flags ``in_a`` and ``in_b``."""
+def cold_join(a: Side, b: Side, layout: Layout, totals: KeyTotals, hot: HotKeys | None) -> DataFrame:
+    """Pairs and rows without partner of all keys that are not hot, with presence flags ``in_a`` and ``in_b``."""
     rows_a, rows_b = a.rows, b.rows
-    parts = []
+    alone = []
     if totals.null_pks_a:
-        parts.append(_alone(rows_a.where(has_null(layout.key("a"))), "a"))
+        alone.append(_alone(rows_a.where(has_null(layout.key("a"))), "a"))
         rows_a = rows_a.where(~has_null(layout.key("a")))
     if totals.null_pks_b:
-        parts.append(_alone(rows_b.where(has_null(layout.key("b"))), "b"))
+        alone.append(_alone(rows_b.where(has_null(layout.key("b"))), "b"))
         rows_b = rows_b.where(~has_null(layout.key("b")))
     if hot is not None:
         rows_a, rows_b = hot.cold(rows_a, layout.key("a")), hot.cold(rows_b, layout.key("b"))
-    joined = (
-        rows_a.withColumn("in_a", F.lit(True))
-        .join(rows_b.withColumn("in_b", F.lit(True)), _equal(layout), "full_outer")
-        .withColumns({flag: F.coalesce(F.col(flag), F.lit(False)) for flag in PRESENT})
-    )
-    if hot is not None:
-        both = {flag: F.lit(True) for flag in PRESENT}
-        parts += [
-            _hot_pairs(a, b, layout, hot).withColumns(both),
-            _alone(_hot_rows(a, layout, hot, F.col("in_b") == 0).select(*layout.all("a")), "a"),
-            _alone(_hot_rows(b, layout, hot, F.col("in_a") == 0).select(*layout.all("b")), "b"),
-        ]
-    result = joined
-    for part in parts:
+    if totals.hot_from <= FULL_OUTER_ROWS:
+        joined = (
+            rows_a.withColumn("in_a", F.lit(True))
+            .join(rows_b.withColumn("in_b", F.lit(True)), _equal(layout), "full_outer")
+            .withColumns({flag: F.coalesce(F.col(flag), F.lit(False)) for flag in PRESENT})
+        )
+    else:
+        # A full outer join holds all rows of a key in memory; an outer join of one side and the rest of the other do not.
+        joined = rows_a.join(rows_b.withColumn("in_b", F.lit(True)), _equal(layout), "left_outer").withColumns(
+            {"in_a": F.lit(True), "in_b": F.coalesce(F.col("in_b"), F.lit(False))}
+        )
+        alone.append(_alone(rows_b.join(rows_a.select(*layout.key("a")), _equal(layout), "left_anti"), "b"))
+    return _united([joined, *alone], layout)
+
+
+def hot_join(a: Side, b: Side, layout: Layout, hot: HotKeys, paired: DataFrame) -> DataFrame:
+    """The same for hot keys, whose pairs are given."""
+    parts = [
+        paired.withColumns({flag: F.lit(True) for flag in PRESENT}),
+        _alone(_hot_rows(a, layout, hot, F.col("in_b") == 0).select(*layout.all("a")), "a"),
+        _alone(_hot_rows(b, layout, hot, F.col("in_a") == 0).select(*layout.all("b")), "b"),
+    ]
+    return _united(parts, layout)
+
+
+def _united(parts: list[DataFrame], layout: Layout) -> DataFrame:
+    result = parts[0]
+    for part in parts[1:]:
         result = result.unionByName(part, allowMissingColumns=True)
     return result.select(*layout.all("a"), *layout.all("b"), *PRESENT)
 
@@ -90,24 +122,3 @@ def _alone(rows: DataFrame, side: str) -> DataFrame:
 
 def _hot_rows(side: Side, layout: Layout, hot: HotKeys, which: Column) -> DataFrame:
     return hot.hot(side.rows, layout.key(side.name)).where(which)
-
-
-def _hot_pairs(a: Side, b: Side, layout: Layout, hot: HotKeys) -> DataFrame:
-    """Pairs of hot keys by a grid: rows of A take a line, rows of B a column, and each copy meets in one cell.
-
-    A cell holds about hot_key_rows rows of each side. A row's place follows from its position in its task. The rows
-    are stored first, so that a task run again reads them in the same order and places them alike.
-    """
-    partnered = (F.col("in_a") > 0) & (F.col("in_b") > 0)
-    rows = {}
-    for side, own, other in ((a, "parts_a", "parts_b"), (b, "parts_b", "parts_a")):
-        kept = _hot_rows(side, layout, hot, partnered).select(*layout.all(side.name), own, other)
-        rows[side.name] = (
-            stored(kept, f"hot-rows-{side.name}")
-            .withColumn(f"{side.name}_own", F.pmod(F.monotonically_increasing_id(), F.col(own)).cast("int"))
-            .withColumn(f"{side.name}_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop(own, other)
-        )
-    cell = [F.col("a_own") == F.col("b_other"), F.col("a_other") == F.col("b_own")]
-    joined = rows["a"].join(rows["b"], [*_equal(layout), *cell], "inner")
-    return joined.select(*layout.all("a"), *layout.all("b"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from functools import cached_property
+from types import SimpleNamespace
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.config import DiffConfig
 from twinframe.operators import drill, keys, pairs, summary
-from twinframe.operators.keys import HotKeys
+from twinframe.operators.keys import HotKeys, KeyTotals
 from twinframe.operators.schema import compare_schemas, quoted
 from twinframe.operators.sides import prepare
 from twinframe.session import stored
@@ -31,9 +32,10 @@ class Comparison:
     # Keys
 
     @cached_property
-    def key_totals(self) -> Row:
-        """Counts of rows, exclusive rows, duplicate and NULL keys and pairs (one row, fetched once)."""
-        totals = keys.key_profile(self.a, self.b, self.config).first()
+    def key_totals(self) -> KeyTotals:
+        """Counts of rows, exclusive rows, duplicate and NULL keys, pairs and hot keys (a few rows, fetched once)."""
+        profile = keys.key_profile(self.a, self.b, self.config).collect()
+        totals = keys.key_totals(profile, self.config)
         if self.config.on_duplicates == "error" and (totals.duplicate_pks_a or totals.duplicate_pks_b):
             raise ValueError(
                 f"Keys repeat: {totals.duplicate_pks_a} key values in A, {totals.duplicate_pks_b} in B"
@@ -42,7 +44,11 @@ class Comparison:
 
     @cached_property
     def _hot(self) -> HotKeys | None:
-        return keys.hot_keys(self.a, self.b, self.config) if self.key_totals.hot_keys else None
+        return keys.hot_keys(self.a, self.b, self.key_totals) if self.key_totals.hot_keys else None
+
+    @cached_property
+    def _hot_pairs(self) -> DataFrame:
+        return pairs.hot_pairs(self.a, self.b, self.layout, self._hot)
 
     def schema(self) -> DataFrame:
         return compare_schemas(self.a.source, self.b.source)
@@ -90,7 +96,7 @@ class Comparison:
             return summary.aggregate_flags(matched, layout)
         rows_a, rows_b = self.a.rows, self.b.rows
         if self.strategy == "pairs":
-            return summary.from_pairs(pairs.matched_pairs(self.a, self.b, layout, self._hot), layout)
+            return summary.from_pairs(self._pairs(), layout)
         if self.strategy == "groups":
             return summary.from_groups(rows_a, rows_b, layout)
         hot = self._hot
@@ -120,7 +126,7 @@ class Comparison:
         totals = self.key_totals
         problems = totals
         if self.config.where_scope == "join" and self.config.row_filter:
-            problems = keys.unfiltered_problem_counts(self.a, self.b).first()
+            problems = SimpleNamespace(**keys.unfiltered_problem_counts(self.a, self.b).first().asDict())
         exclusive_a, exclusive_b, compared = totals.exclusive_a, totals.exclusive_b, F.col("pairs")
         identical = F.col("rows_identical")
         if self.config.null_keys == "both_sides":
@@ -138,7 +144,7 @@ class Comparison:
             known(exclusive_a, "exclusive_a"),
             known(exclusive_b, "exclusive_b"),
             *[
-                known(problems[name], name)
+                known(getattr(problems, name), name)
                 for name in ("duplicate_pks_a", "duplicate_pks_b", "null_pks_a", "null_pks_b")
             ],
             compared.alias("total_compared"),
@@ -149,13 +155,20 @@ class Comparison:
 
     # Rows
 
+    def _pairs(self) -> DataFrame:
+        cold = pairs.cold_pairs(self.a, self.b, self.layout, self._hot)
+        return cold if self._hot is None else cold.unionByName(self._hot_pairs)
+
     def _flagged_pairs(self) -> DataFrame:
         if self._stored is not None:
             return drill.positional(self._stored.where("in_a and in_b"), self.layout)
-        return pairs.with_flags(pairs.matched_pairs(self.a, self.b, self.layout, self._hot), self.layout)
+        return pairs.with_flags(self._pairs(), self.layout)
 
     def _flagged_join(self) -> DataFrame:
-        return pairs.with_flags(pairs.diff_join(self.a, self.b, self.layout, self.key_totals, self._hot), self.layout)
+        joined = pairs.cold_join(self.a, self.b, self.layout, self.key_totals, self._hot)
+        if self._hot is not None:
+            joined = joined.unionByName(pairs.hot_join(self.a, self.b, self.layout, self._hot, self._hot_pairs))
+        return pairs.with_flags(joined, self.layout)
 
     def diff_join(self) -> DataFrame:
         """Matched pairs and rows without partner: keys, values and flags of both sides."""
