@@ -260,6 +260,7 @@ SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(reg
 FROM events
 """
 
+DISPLAYED = orders({c: precision(c, 1) for c in ("o_custkey", "o_totalprice")})
 CHAR_PARTS = 'WITH c AS ({cells}) SELECT {key}, "column", a AS text_a, b AS text_b{kept} FROM c'
 
 
@@ -286,6 +287,7 @@ ORACLES: dict[str, str] = {
     "duplicate_pairs_grouped": lineitem().column_stats(),
     "duplicate_pairs_hot_keys": lineitem().column_stats(),
     "duplicate_pairs_flat": lineitem().flat(),
+    "duplicate_pairs_flat_hot_keys": lineitem().flat(),
     "low_cardinality_key_overview": low_cardinality().overview(),
     "low_cardinality_key_stats": low_cardinality().column_stats(),
     "expression_key_overview": orders(
@@ -331,6 +333,13 @@ ORACLES: dict[str, str] = {
     "json_page": f"SELECT to_json({{o_orderkey: o_orderkey, o_custkey: o_custkey, o_orderstatus: o_orderstatus, "
     f"o_orderpriority: o_orderpriority}})::VARCHAR AS row FROM ({only_in('a', orders())}) ORDER BY o_orderkey LIMIT 50",
     "cell_changes": tolerant().cell_changes(),
+    "cell_changes_display": f"WITH c AS ({DISPLAYED.cell_changes()}) SELECT pk_o_orderkey, \"column\", class, "
+    + ", ".join(
+        f"CASE WHEN \"column\" = 'o_totalprice' AND {x}::DOUBLE % 1 <> 0 "
+        f"THEN printf('%.1f', trunc({x}::DOUBLE, 1)) ELSE {x} END AS {x}"
+        for x in "ab"
+    )
+    + " FROM c",
     # One letter of each changed name is replaced, so all others are kept.
     "char_diff": CHAR_PARTS.format(
         cells=customers().cell_changes(), key="pk_c_custkey", kept=", (length(a) - 1)::INTEGER AS kept_chars"

@@ -155,8 +155,7 @@ def roundtrip(fmt: str) -> Query:
 def export_diff_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Exported differing rows, read back."""
     path = f"{fresh_path(spark, 'export')}.csv"
-    changed = tolerant_orders(spark, sf)
-    export(changed.rows("diffs", flags=False), path, "csv", order=changed.order)
+    tolerant_orders(spark, sf).export(path)
     return read_source(spark, path)
 
 
@@ -272,7 +271,8 @@ QUERIES: dict[str, Query] = {
     "composite_key_column_stats": lambda s, d: lineitem(s, d).column_stats(),
     "duplicate_pairs_grouped": lambda s, d: lineitem(s, d, pair_budget=0.0).column_stats(),
     "duplicate_pairs_hot_keys": lambda s, d: lineitem(s, d, hot_key_rows=5).column_stats(),
-    "duplicate_pairs_flat": lambda s, d: lineitem(s, d, hot_key_rows=5).diff_join(),
+    "duplicate_pairs_flat": lambda s, d: lineitem(s, d).diff_join(),
+    "duplicate_pairs_flat_hot_keys": lambda s, d: lineitem(s, d, hot_key_rows=5).diff_join(),
     "low_cardinality_key_overview": lambda s, d: events(
         s, d, "event_type", column_tolerances={"ts": Seconds(60), "value": Precision(0)}
     ).overview(),
@@ -315,6 +315,7 @@ QUERIES: dict[str, Query] = {
     "diff_rows_keyset_page": keyset_page,
     "json_page": json_page,
     "cell_changes": lambda s, d: tolerant_orders(s, d).cell_changes(),
+    "cell_changes_display": lambda s, d: orders(s, d, tolerance=1).cell_changes(display_precision=1),
     "char_diff": char_diff,
     "document_char_diff": document_char_diff,
     "document_text_stats": lambda s, d: documents(

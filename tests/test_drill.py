@@ -7,6 +7,7 @@ import pytest
 
 from twinframe import CaseInsensitive, Precision, compare
 from twinframe.functions import chars
+from twinframe.operators.audit import ActivityLog
 from twinframe.operators.drill import page_after, page_of
 
 SCHEMA = "id int, amount double, status string"
@@ -107,6 +108,27 @@ def test_cell_changes(comparison):
     assert comparison.cell_changes(minor=False).count() == 2
 
 
+def test_cell_changes_with_display_precision(frame):
+    a, b = frame("id int, v double", (1, 1.999), (2, 5.0)), frame("id int, v double", (1, -1.25), (2, 6.0))
+    found = compare(a, b, pk_columns=["id"]).cell_changes(display_precision=1)
+    assert sorted((r.a, r.b) for r in found.collect()) == [("1.9", "-1.2"), ("5.0", "6.0")]
+
+
+def test_export_and_log(spark, frame, tmp_path):
+    a, b = frame("id int, v int", (2, 1), (1, 1), (3, 1)), frame("id int, v int", (1, 2), (2, 3), (3, 1))
+    log = ActivityLog(spark)
+    comparison = compare(a, b, pk_columns=["id"], where_clause="id > 0", log=log).run()
+    assert comparison.export(str(tmp_path / "d.json")) == 2
+    assert comparison.export(str(tmp_path / "s"), "parquet", which="same") == 1
+    comparison.materialize()
+    with pytest.raises(ValueError):
+        comparison.export(str(tmp_path / "x"), "xlsx")
+    entries = [(r.operation, r.sql, r.rows_affected) for r in log.entries().collect()]
+    assert [e[0] for e in entries] == ["statistics", "export", "export", "materialize", "export"]
+    assert [e[2] for e in entries] == [3, 2, 1, None, None]
+    assert entries[0][1] == "KEY id WHERE id > 0"
+
+
 def test_char_changes(comparison):
     for row in comparison.char_changes().collect():
         a, b = row.a or "NULL", row.b or "NULL"

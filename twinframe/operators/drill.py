@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.functions.chars import char_diff
+from twinframe.functions.compare import displayed, is_numeric
 from twinframe.operators.pairs import row_class
 from twinframe.operators.schema import quoted
 from twinframe.operators.sides import Layout
@@ -118,23 +119,34 @@ def page_after(df: DataFrame, order: list[str], last: dict[str, Any], page_size:
 CELL_CHANGE = "column:string,a:string,b:string,class:string"
 
 
-def cell_changes(flagged: DataFrame, layout: Layout, minor: bool = True) -> DataFrame:
-    """Long form, one row per changed cell: the key of A, ``column``, both values as text, ``diff`` or ``minor``."""
+def cell_changes(
+    flagged: DataFrame, layout: Layout, minor: bool = True, display_precision: int | None = None
+) -> DataFrame:
+    """Long form, one row per changed cell: the key of A, ``column``, both values as text, ``diff`` or ``minor``.
+
+    With ``display_precision``, numbers with a fraction are shown truncated to that many decimals.
+    """
     cells = []
-    for i, name in enumerate(layout.compared):
+    for i, (name, comparator) in enumerate(zip(layout.compared, layout.comparators, strict=True)):
+
+        def shown(value: Column, numeric: bool = is_numeric(comparator.dtype)) -> Column:
+            if display_precision is None or not numeric:
+                return value.cast("string")
+            return F.when(value % 1 != 0, displayed(value, display_precision)).otherwise(value.cast("string"))
+
         kind = F.when(F.col(f"d{i}"), "diff")
         if minor:
             kind = kind.when(F.col(f"r{i}"), "minor")
         cells.append(
             F.struct(
                 F.lit(name).alias("column"),
-                F.col(f"av{i}").cast("string").alias("a"),
-                F.col(f"bv{i}").cast("string").alias("b"),
+                shown(F.col(f"av{i}")).alias("a"),
+                shown(F.col(f"bv{i}")).alias("b"),
                 kind.alias("class"),
             )
         )
     keys = [F.col(f"ak{i}").alias(f"pk_{name}") for i, name in enumerate(layout.keys)]
-    wanted = selected(flagged, layout, "all").where(row_class(layout) != "same")
+    wanted = flagged.where(row_class(layout) != "same")
     listed = F.array(*cells).cast(f"array<struct<{CELL_CHANGE}>>")
     return wanted.select(*keys, F.inline(listed)).where(F.col("class").isNotNull())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from functools import cached_property
 from types import SimpleNamespace
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from twinframe.config import DiffConfig
 from twinframe.operators import drill, keys, pairs, summary
+from twinframe.operators.audit import ActivityLog, Outcome
 from twinframe.operators.keys import HotKeys, KeyTotals
 from twinframe.operators.schema import compare_schemas, quoted
 from twinframe.operators.sides import prepare
 from twinframe.session import stored
+from twinframe.sources.export import export
 
 
 class Comparison:
@@ -23,8 +26,9 @@ class Comparison:
     and so how to compute the rest. :meth:`materialize` stores the diff join for many look-ups.
     """
 
-    def __init__(self, a: DataFrame, b: DataFrame, config: DiffConfig) -> None:
+    def __init__(self, a: DataFrame, b: DataFrame, config: DiffConfig, log: ActivityLog | None = None) -> None:
         self.config = config
+        self.log = log
         self.a, self.b, self.layout = prepare(a, b, config)
         self._stored: DataFrame | None = None
         self._statistics: DataFrame | None = None
@@ -110,8 +114,11 @@ class Comparison:
 
         What is kept is a single row of counts.
         """
-        stats = self.stats()
-        self._statistics = self.a.source.sparkSession.createDataFrame([stats.first()], stats.schema)
+        with self._logged("statistics") as outcome:
+            stats = self.stats()
+            row = stats.first()
+            outcome.rows = row.pairs
+        self._statistics = self.a.source.sparkSession.createDataFrame([row], stats.schema)
         return self
 
     def column_stats(self) -> DataFrame:
@@ -201,13 +208,13 @@ class Comparison:
         by_key = [F.col(quoted(name)) for name in found.columns if name != "count"]
         return drill.page_of(found, [F.col("count").desc(), *by_key], page, page_size)
 
-    def cell_changes(self, minor: bool = True) -> DataFrame:
+    def cell_changes(self, minor: bool = True, display_precision: int | None = None) -> DataFrame:
         """One row per changed cell of matched rows."""
-        return drill.cell_changes(self._flagged_pairs(), self.layout, minor)
+        return drill.cell_changes(self._flagged_pairs(), self.layout, minor, display_precision)
 
-    def char_changes(self, minor: bool = True) -> DataFrame:
+    def char_changes(self, minor: bool = True, display_precision: int | None = None) -> DataFrame:
         """Changed cells with their character-level parts on both sides."""
-        return drill.with_char_diff(self.cell_changes(minor))
+        return drill.with_char_diff(self.cell_changes(minor, display_precision))
 
     # Storage
 
@@ -221,12 +228,32 @@ class Comparison:
         if by_key:
             order = [F.col(quoted(name)) for name in self.order]
             flat = flat.repartitionByRange(*order).sortWithinPartitions(*order)
-        kept = Comparison(self.a.source, self.b.source, self.config)
+        kept = Comparison(self.a.source, self.b.source, self.config, self.log)
         kept.__dict__["key_totals"] = self.key_totals
-        kept._stored = stored(flat, "diff-join", path)
+        with self._logged("materialize"):
+            kept._stored = stored(flat, "diff-join", path)
         return kept
 
+    def export(
+        self, path: str, fmt: str | None = None, which: str = "diffs", column: str | None = None, **options
+    ) -> int:
+        """Write matched rows of a class, without flags and sorted by key, and return their number.
 
-def compare(a: DataFrame, b: DataFrame, config: DiffConfig | None = None, **settings) -> Comparison:
-    """Compare two tables; settings are those of :class:`twinframe.DiffConfig`."""
-    return Comparison(a, b, config or DiffConfig(**settings))
+        Options are those of :func:`twinframe.sources.export.export`.
+        """
+        with self._logged("export") as outcome:
+            outcome.rows = export(self.rows(which, column, flags=False), path, fmt, self.order, **options)
+        return outcome.rows
+
+    def _logged(self, operation: str):
+        """Record an operation in the log, if there is one, with the key and row filter that define it."""
+        key = self.config.key_expression or ", ".join(self.config.pk_columns)
+        where = f" WHERE {self.config.row_filter}" if self.config.row_filter else ""
+        return self.log.record(operation, f"KEY {key}{where}") if self.log else nullcontext(Outcome())
+
+
+def compare(
+    a: DataFrame, b: DataFrame, config: DiffConfig | None = None, log: ActivityLog | None = None, **settings
+) -> Comparison:
+    """Compare two tables; settings are those of :class:`twinframe.DiffConfig`. Operations go to ``log`` if given."""
+    return Comparison(a, b, config or DiffConfig(**settings), log)
