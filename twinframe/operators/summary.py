@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.functions.compare import LABELS
@@ -55,56 +55,70 @@ def aggregate_flags(flagged: DataFrame, layout: Layout) -> DataFrame:
 
 
 def from_groups(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFrame:
-    """One statistics row counted from value groups; ``rows_a`` and ``rows_b`` are positional rows of each side."""
+    """One statistics row counted from value groups; ``rows_a`` and ``rows_b`` are positional rows of each side.
+
+    First, rows with the same key and values are merged over both sides into one row with two counts. Each then takes
+    part in several questions, and per question the counts are added up by key and label.
+    """
     n = len(layout.compared)
+    values = [f"v{i}" for i in range(n)]
     loose = [i for i, comparator in enumerate(layout.comparators) if not comparator.exact]
     distant = [i for i in loose if layout.comparators[i].by_distance]
 
-    # What each question groups by, besides the key: raw values, tolerant forms, or both kinds for whole rows.
-    questions: dict[str, set[str]] = {"pairs": set()}
-    for i in range(n):
-        questions[f"raw{i}"] = {f"raw{i}"}
-    for i in loose:
-        questions[f"tol{i}"] = {f"tol{i}"}
-    questions["raw"] = {f"raw{i}" for i in range(n)}
+    # What each question groups by, besides the key: one column, or whole rows within tolerances.
+    labels_of: dict[str, list[str]] = {"pairs": [], "raw": []}
+    labels_of |= {f"raw{i}": [f"raw{i}"] for i in range(n)}
+    labels_of |= {f"tol{i}": [f"tol{i}"] for i in loose}
     if loose:
-        questions["tol"] = {f"tol{i}" if i in loose else f"raw{i}" for i in range(n)}
-    number = {question: position for position, question in enumerate(questions)}
-
-    def asked(label: str) -> Column:
-        return F.col("question").isin([number[q] for q, labels in questions.items() if label in labels])
-
-    def labelled(rows: DataFrame, side: str) -> DataFrame:
-        keys = [F.col(name).alias(f"k{i}") for i, name in enumerate(layout.key(side))]
-        values = [F.col(name) for name in layout.value(side)]
-        forms = {f"raw{i}": c.comparable_raw(values[i]) for i, c in enumerate(layout.comparators)}
-        for i in loose:
-            comparator = layout.comparators[i]
-            forms[f"tol{i}"] = comparator.labels(values[i], side) if i in distant else comparator.form(values[i])
-        # Below the explode, so that a position on the time axis is computed once per row.
-        placed = {name: layout.comparators[i].position(F.col(name)) for i, name in enumerate(layout.value(side))}
-        table = rows.where(~has_null(layout.key(side))).select(
-            *keys,
-            *[position.alias(name) for name, position in placed.items()],
-            F.explode(F.array(*[F.lit(number[q]) for q in questions])).alias("question"),
+        labels_of["tol"] = [f"tol{i}" if i in loose else f"raw{i}" for i in range(n)]
+    number = {question: position for position, question in enumerate(labels_of)}
+    # Labels of a distance depend on the side, so these questions take each side of a merged row by itself.
+    by_side = {q for q, labels in labels_of.items() if any(f"tol{i}" in labels for i in distant)}
+
+    merged = _merged(rows_a, rows_b, layout)
+    keys = [name for name in merged.columns if name.startswith("k")]
+    asked = [
+        F.struct(F.lit(number[q]).alias("question"), F.lit(side).alias("side"))
+        for q in labels_of
+        for side in (("a", "b") if q in by_side else ("both",))
+    ]
+    table = (
+        merged.select("*", F.inline(F.array(*asked)))
+        .where("NOT (side = 'a' AND in_a = 0) AND NOT (side = 'b' AND in_b = 0)")
+        .withColumns(
+            {
+                # Merged rows are the groups of the question for equal rows, so its answer needs no further grouping.
+                "met": F.expr(f"CASE WHEN question = {number['raw']} THEN {PAIRS} ELSE 0 END"),
+                "in_a": F.expr(f"CASE WHEN side = 'b' OR question = {number['raw']} THEN 0L ELSE in_a END"),
+                "in_b": F.expr(f"CASE WHEN side = 'a' OR question = {number['raw']} THEN 0L ELSE in_b END"),
+            }
         )
-        table = table.withColumns({label: F.when(asked(label), form) for label, form in forms.items()})
-        table = table.drop(*layout.value(side))
-        for i in distant:
-            unasked = F.array(F.lit(None)).cast(LABELS)
-            table = table.withColumn(f"tol{i}", F.explode(F.coalesce(F.col(f"tol{i}"), unasked)))
-        return table.withColumns({"in_a": F.lit(int(side == "a")), "in_b": F.lit(int(side == "b"))})
-
-    tagged_a, tagged_b = labelled(rows_a, "a"), labelled(rows_b, "b")
-    group = [name for name in tagged_a.columns if name not in ("in_a", "in_b")]
-    met = (
-        tagged_a.unionByName(tagged_b)
-        .groupBy(*group)
-        .agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
-        .where((F.col("in_a") > 0) & (F.col("in_b") > 0))
     )
-    equal_pairs = met.selectExpr(
-        *[f"{total(PAIRS, f'question = {position}')} AS {question}" for question, position in number.items()]
+    for label in sorted({label for labels in labels_of.values() for label in labels}):
+        i = int(label[3:])
+        comparator, value = layout.comparators[i], F.col(values[i])
+        if label.startswith("raw"):
+            form = value
+        elif i in distant:
+            form = F.when(F.col("side") == "a", comparator.labels(value, "a")).otherwise(comparator.labels(value, "b"))
+        else:
+            form = comparator.form(value)
+        answering = [number[q] for q, labels in labels_of.items() if label in labels]
+        table = table.withColumn(label, F.when(F.col("question").isin(answering), form))
+    for i in distant:
+        unasked = F.array(F.lit(None)).cast(LABELS)
+        table = table.withColumn(f"tol{i}", F.explode(F.coalesce(F.col(f"tol{i}"), unasked)))
+    group = [*keys, "question", *[name for name in table.columns if name.startswith(("raw", "tol"))]]
+    grouped = (
+        table.groupBy(*group)
+        .agg(*[F.sum(name).alias(name) for name in ("in_a", "in_b", "met")])
+        .where("in_a > 0 AND in_b > 0 OR met > 0")
+    )
+    equal_pairs = grouped.selectExpr(
+        *[
+            f"{total('met' if question == 'raw' else PAIRS, f'question = {position}')} AS {question}"
+            for question, position in number.items()
+        ]
     )
 
     def tolerant(i: int | str) -> str:
@@ -121,6 +135,23 @@ def from_groups(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFra
     return equal_pairs.selectExpr(*[f"CAST({answers[name]} AS BIGINT) AS {name}" for name in stat_columns(layout)])
 
 
+def _merged(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFrame:
+    """Distinct rows of both sides, ``k0…, v0…``, with their number on each side; rows with NULL keys left out."""
+
+    def tagged(rows: DataFrame, side: str) -> DataFrame:
+        keys = [F.col(name).alias(f"k{i}") for i, name in enumerate(layout.key(side))]
+        values = [
+            comparator.comparable_raw(comparator.position(F.col(name))).alias(f"v{i}")
+            for i, (name, comparator) in enumerate(zip(layout.value(side), layout.comparators, strict=True))
+        ]
+        flags = [F.lit(int(side == own)).alias(f"in_{own}") for own in "ab"]
+        return rows.where(~has_null(layout.key(side))).select(*keys, *values, *flags)
+
+    both = tagged(rows_a, "a").unionAll(tagged(rows_b, "b"))
+    content = [name for name in both.columns if name not in ("in_a", "in_b")]
+    return both.groupBy(*content).agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
+
+
 def added(parts: list[DataFrame], layout: Layout) -> DataFrame:
     """Sum of several statistics rows over disjoint sets of pairs."""
     if len(parts) == 1:
