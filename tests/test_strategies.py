@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -99,7 +100,11 @@ def brute_force(a: list[tuple], b: list[tuple]) -> dict:
     }
 
 
-@pytest.fixture(scope="module", params=[1, 2], ids=["seed1", "seed2"])
+# More seeds, separated by commas, can be named in the environment.
+SEEDS = [int(seed) for seed in os.environ.get("TWINFRAME_TEST_SEEDS", "1").split(",")]
+
+
+@pytest.fixture(scope="module", params=SEEDS, ids=[f"seed{seed}" for seed in SEEDS])
 def case(request, spark):
     rows_a, rows_b = random_rows(request.param, 45), random_rows(100 + request.param, 40)
     a, b = spark.createDataFrame(rows_a, SCHEMA), spark.createDataFrame(rows_b, SCHEMA)
