@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import json
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from twinframe import CaseInsensitive, Precision, compare
 from twinframe.functions import chars
@@ -162,3 +165,10 @@ def test_edit_scripts_are_shortest(monkeypatch, table_bits):
         assert "".join(p["text"] for p in parts if p["kind"] != "removed") == b
         assert sum(len(p["text"]) for p in parts if p["kind"] == "kept") == longest_common(a, b)
         assert all(x["kind"] != y["kind"] for x, y in zip(parts, parts[1:], strict=False))
+
+
+def test_edit_script_runs_where_the_package_is_not_installed(tmp_path):
+    (tmp_path / "f.pickle").write_bytes(cloudpickle.dumps(chars.edit_parts))
+    code = "import pickle; print(pickle.load(open('f.pickle', 'rb'))('ab', 'b'))"
+    out = subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert "'kind': 'removed'" in out.stdout, out.stderr
