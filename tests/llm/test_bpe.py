@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from twinframe.llm import bpe
+from twinframe.llm.queries import op10_bpe
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(PATH)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(library, text: str) -> list[int]:
+    return library.encode(text, add_special_tokens=False).ids
+
+
+PIECES = st.sampled_from(["a", "é", " ", "  ", "\n", "'s", "'", "the", " the", "12", "<|endoftext|>", "<|endof", "text|>", "日本", "👩‍👩‍👧", "...", "\t", "İ", "x" * 40, " " * 30, "ab" * 25])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PIECES, max_size=60), st.integers(1, 40))
+def test_any_cut_gives_the_ids_of_the_library(codec, library, pieces, leaf):
+    text = "".join(pieces)
+    assert codec.encode(text, leaf).tolist() == ids_of(library, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=200), st.integers(1, 30))
+def test_any_text(codec, library, text, leaf):
+    ids = codec.encode(text, leaf)
+    assert ids.tolist() == ids_of(library, text)
+    assert codec.decode(ids) == library.decode(ids.tolist(), skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, " " * 50_000 + "b", "abcdefg" * 20_000, "日" * 30_000, "<|endoftext|>" * 5_000, "\n" * 40_000])
+def test_long_unsplit(codec, library, text):
+    assert codec.encode(text).tolist() == ids_of(library, text)
+
+
+def test_rows(frame):
+    docs = frame("doc_id bigint, text string, ids string, n_tokens string", (1, None, "x", "y"), (2, "", None, None), (3, "hi  there", "", ""), (3, "hi  there", "", ""), (None, "é", "", ""))
+    rows = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in rows) == [(0, 1, "é"), (1, 0, ""), (2, 0, ""), (3, 3, "hi  there"), (3, 3, "hi  there")]
+    assert bpe.encode(docs.limit(0), PATH).count() == 0
+    assert bpe.decode(bpe.encode(docs, PATH).withColumn("ids", bpe.F.lit(None).cast("binary")), PATH).first().decoded is None
+
+
+def test_query(spark, library):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op10_bpe(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = ids_of(library, texts[r.doc_id])
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
