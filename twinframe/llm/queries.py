@@ -3,15 +3,34 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import bpe
+from twinframe.llm import bpe, language, toxicity
 from twinframe.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``divisor``: which rows are held out from learning."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.where(remainder(5) != 0), table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (remainder(5) == 0).alias("held_out"), toxicity.score("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(remainder(3) != 1))
+    found = docs.select("doc_id", (remainder(3) == 1).alias("held_out"), language.predict("text", model).alias("x"))
+    return found.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), F.col("x.score").alias("score"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BPE_FILE)
     done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -19,5 +38,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op9_language": op9_language,
     "op10_bpe": op10_bpe,
 }
