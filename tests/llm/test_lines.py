@@ -1,0 +1,46 @@
+from __future__ import annotations
+
+import pytest
+
+from twinframe.llm.lines import dedup_lines
+
+SCHEMA = "doc_id bigint, text string, n_lines string, row string"
+
+
+def brute(rows: list[tuple]) -> dict:
+    """(id, text) -> cleaned text, for rows without repeats."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        if not text:
+            out[doc_id] = text
+            continue
+        lines = text.split("\n")
+        gone = set()
+        for at in range(max(len(lines) - 3, 0) + 1):
+            window = tuple(x.strip(" ") for x in lines[at : at + 3])
+            if any(window):
+                if window in seen:
+                    gone |= set(range(at, min(at + 3, len(lines))))
+                seen.add(window)
+        out[doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "a\nb\nc\nd"), (2, "x\nb\nc\nd\ny"), (3, "a\nb\nc\nd"), (4, "d"), (5, "d"), (6, "d\ne"), (7, "d \n e")],
+    [(1, "a\n" * 9), (2, "\n\n\n\n"), (3, ""), (4, None), (5, "a\nb\na\nb\na\nb"), (6, "\n\nq\n\n"), (7, "\n\nq\n\n")],
+    [(i, "shared one\nshared two\nshared three\nown " + str(i)) for i in range(60)],
+])
+def test_against_brute_force(frame, rows):
+    docs = frame(SCHEMA, *[(*r, "x", "y") for r in rows])
+    found = dedup_lines(docs).collect()
+    assert {r.doc_id: r.text for r in found} == brute(rows)
+    assert all(r.row == "y" for r in found)
+
+
+def test_edges(frame):
+    docs = frame(SCHEMA, (1, "a\nb\nc", "", ""), (1, "a\nb\nc", "", ""), (None, "p\nq\nr", "", ""), (2, "p\nq\nr", "", ""), (3, "a\nb\nc", "", ""), (4, "x" * 200_000, "", ""))
+    found = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs).collect())
+    assert found == [(0, "p\nq\nr", 3, 0), (1, "a\nb\nc", 3, 0), (1, "a\nb\nc", 3, 0), (2, "", 3, 3), (3, "", 3, 3), (4, "x" * 200_000, 1, 0)]
+    assert dedup_lines(docs.limit(0)).columns == ["doc_id", "text", "row", "n_lines", "n_removed"]
+    assert dedup_lines(docs.limit(0)).count() == 0

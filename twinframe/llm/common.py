@@ -34,6 +34,13 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, longer if a column has it already."""
+    while name.lower() in [c.lower() for c in columns]:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finisher of the public SplitMix64 generator: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -2,4 +2,31 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+LINE_DEDUP = """
+WITH split AS (
+    SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE length(text) > 0
+), placed AS (
+    SELECT doc_id, lines, unnest(range(0, greatest(len(lines) - 3, 0) + 1)) AS pos FROM split
+), windows AS (
+    SELECT doc_id, pos, array_to_string(list_transform(lines[pos + 1 : pos + 3], lambda x: trim(x, ' ')), chr(10)) AS win FROM placed
+), full_windows AS (
+    SELECT * FROM windows WHERE length(replace(win, chr(10), '')) > 0
+), ranked AS (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS nth FROM full_windows
+), covered AS (
+    SELECT doc_id, list(DISTINCT pos) AS starts FROM ranked WHERE nth > 1 GROUP BY doc_id
+), marked AS (
+    SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS lines, c.starts,
+        list_distinct(list_filter(flatten(list_transform(c.starts, lambda x: [x, x + 1, x + 2])), lambda y: y < len(string_split(d.text, chr(10))))) AS gone
+    FROM documents d LEFT JOIN covered c ON d.doc_id = c.doc_id
+)
+SELECT doc_id,
+    CASE WHEN starts IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(0, len(lines)), lambda x: NOT list_contains(gone, x)), lambda x: lines[x + 1]), chr(10)), '') END AS text,
+    CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(lines) END AS n_lines,
+    CASE WHEN starts IS NULL THEN 0 ELSE len(gone) END AS n_removed
+FROM marked
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": LINE_DEDUP,
+}
