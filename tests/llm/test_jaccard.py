@@ -95,3 +95,15 @@ def test_components(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op2_ngram_join(spark, SF).collect()} == brute(rows, 3, 90)
+
+
+def test_one_of_each_group_stays(frame, spark):
+    rows = corpus(random.Random(9), 150)
+    wanted = {i for i, (_, c) in brute(rows, 5, 80).items() if i == c}
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, label string")
+    kept = jaccard.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
+    docs = frame("doc_id bigint, text string, t string", (1, "", ""), (1, "", ""), (2, None, ""), (3, "a b", ""), (3, "a b", ""), (None, "a b", ""), (None, "c d", ""), (None, "c d", ""), (4, "A b", ""))
+    assert sorted((r.doc_id or 0, r.text or "") for r in jaccard.without_near_duplicates(docs).collect()) == [(0, "c d"), (1, ""), (1, ""), (2, ""), (3, "a b")]
+    assert jaccard.without_near_duplicates(docs.limit(0)).count() == 0

@@ -67,7 +67,8 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray
     with np.errstate(over="ignore"):
         grams = np.zeros(len(words), np.uint64)
         for k in range(n):
-            grams[: len(words) - k] = mix(grams[: len(words) - k] * _FIRST + words[k:] + np.uint64(k + 1))
+            whole = max(0, len(words) - k)
+            grams[:whole] = mix(grams[:whole] * _FIRST + words[k:] + np.uint64(k + 1))
         out = []
         for first, last in zip(bounds[:-1], bounds[1:], strict=True):
             if last - first >= n:
@@ -262,7 +263,7 @@ def _verified(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): per row its ``id``, set size ``n`` and class ``node`` (null if the set is empty); per linked pair of classes both, as ``a`` and ``b``."""
+    """(members, links): per row its ``id``, text hash ``t``, set size ``n`` and class ``node`` (null if the set is empty); per linked pair of classes both, as ``a`` and ``b``."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(text_col).alias("t"))
     members = stored(_members(rows, n), "members")
     classes = members.where("n > 0").groupBy("a", "b", "n").agg(F.min("t").alias("t"))
@@ -288,7 +289,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     dealt = placed.select("cluster", "node", "block", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "items")
     grouped = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return members.select("id", "n", F.when(F.col("n") > 0, _node()).alias("node")), stored(_verified(grouped, percent), "links")
+    return members.select("id", "t", "n", F.when(F.col("n") > 0, _node()).alias("node")), stored(_verified(grouped, percent), "links")
 
 
 def _node():
@@ -307,3 +308,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     firsts = labelled.groupBy("label").agg(F.min("first").alias("component"))
     known = labelled.join(firsts, "label").select("node", "n_links", "component")
     return members.join(known, "node", "left").select("id", "n", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "id").alias("component"))
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id (null comes last), then text hash; with its columns. Texts without words stay."""
+    members, links = jaccard_links(docs, n, percent, id_col, text_col)
+    labels = components(links).select("node", "label")
+    rows = members.where("node IS NOT NULL").join(labels, "node", "left").select("id", "t", F.coalesce("label", "node").alias("label"))
+    rows = stored(rows, "labels").withColumn("order", F.struct(F.col("id").isNull(), "id", "t"))
+    groups = rows.groupBy("label").agg(F.min("order").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("label", "first")
+    grouped = stored(rows.join(groups, "label").select("id", "t", (F.col("order") == F.col("first")).alias("stays")), "grouped")
+    gone = grouped.where("NOT stays").select("id", "t").distinct()
+    twice = grouped.where("stays").groupBy("id", "t").count().where("count > 1").select("id", "t")
+    if grouped.count() <= BROADCAST_ROWS:
+        gone, twice = F.broadcast(gone), F.broadcast(twice)
+    same = lambda keys: docs[id_col].eqNullSafe(keys["id"]) & (F.xxhash64(docs[text_col]) == keys["t"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, same(twice), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twice, same(twice), "left_anti").unionByName(again)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import bpe, jaccard, language, lines, toxicity
+from twinframe.llm import bpe, decontaminate, jaccard, language, lines, toxicity
 from twinframe.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -29,6 +29,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "first_word", "n_words", "n_equal")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -49,6 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
