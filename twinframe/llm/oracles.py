@@ -27,6 +27,31 @@ SELECT doc_id,
 FROM marked
 """
 
+QUALITY = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), places AS (
+    SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS pos FROM texts WHERE len(words) >= 3
+), windows AS (
+    SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, words[pos], words[pos + 1], words[pos + 2]) AS n FROM places
+), covered AS (
+    SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS word FROM windows WHERE n > 1) GROUP BY doc_id
+), counts AS (
+    SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+    FROM texts t LEFT JOIN covered c ON t.doc_id = c.doc_id
+), judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_dup_lines > 6 * n_lines) AS kept
+FROM judged
+"""
+
 ORACLES: dict[str, str] = {
+    "op6_quality_cascade": QUALITY,
     "op7_line_dedup": LINE_DEDUP,
 }

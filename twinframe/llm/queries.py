@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import bpe, decontaminate, jaccard, language, lines, toxicity
+from twinframe.llm import bpe, decontaminate, jaccard, language, lines, quality, sharding, toxicity
 from twinframe.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -34,10 +34,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "first_word", "n_words", "n_equal")
 
 
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = [r for r, _, _ in quality.ordered(docs, [*quality.base_rules(), *quality.own_rules()])]
+    judged = quality.cascade(quality.measured(docs), rules)
+    base_failed = quality.base_rules()[0].rejects | quality.base_rules()[1].rejects
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(table(spark, sf_dir, "documents"), sharding.tree(24), sharding.tree(25))
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(remainder(3) != 1))
@@ -55,7 +68,9 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op6_quality_cascade": op6_quality_cascade,
     "op7_line_dedup": op7_line_dedup,
+    "op8_sharding": op8_sharding,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
 }
