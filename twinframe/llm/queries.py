@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import bpe, decontaminate, jaccard, language, licenses, lines, quality, sharding, toxicity
+from twinframe.llm import bpe, decontaminate, html, jaccard, language, licenses, lines, quality, sharding, toxicity
 from twinframe.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -17,6 +17,12 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = pages.select("page_id", "url", html.extract("html", html.fit(pages)).alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -82,6 +88,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
