@@ -11,9 +11,9 @@ segment. A set emits, under its own band's scheme and that of the band below, a
 2 one more for each deletion. How many segments get allowance 2 is chosen per band by cost: signatures written against
 the chance matches expected among the band's classes, counted over the whole corpus.
 
-Candidates. Signatures are grouped with map-side aggregation, keeping the smallest and largest class of each: chained,
-that ties everything sharing a signature into clusters (connected components), which hold all partners whatever their
-number.
+Candidates. A task ties its classes that share a signature to one of them and passes each signature on once, so that one
+of a third of all texts is a row per task. After a shuffle by signature, those rows are tied alike. All ties together make
+clusters (connected components), which hold all partners whatever their number.
 
 Verification. A cluster's sets are dealt by hash into blocks of ``BLOCK`` elements; every pair of blocks is a group of its
 own, small enough for any executor, in which intersections are counted by one matrix product. Only links leave it. A
@@ -47,6 +47,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK = 16_384
 #: For the cost only: the chance that two unrelated sets of like size agree on one element, and the cost of a false candidate in signatures.
 SHARED, CANDIDATE = 0.25, 4.0
+#: Signatures that a task combines at a time.
+FLUSH = 2_000_000
 #: Text hashes (8 bytes each) that may be broadcast to pick the texts of candidates; beyond it Spark shuffles.
 BROADCAST_ROWS = 2_000_000
 _FIRST, _SECOND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -156,28 +158,68 @@ def _members(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, t bigint, n bigint, a bigint, b bigint")
 
 
+def combined(signs: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature rows of a task, combined: each signature once, with the same class twice, and ties of the other classes to that one under signatures of their own."""
+    order = np.argsort(signs, kind="stable")
+    signs, owners = signs[order], owners[order]
+    fresh = np.append(True, signs[1:] != signs[:-1])
+    hub = owners[np.maximum.accumulate(np.where(fresh, np.arange(len(signs)), 0))]
+    tied = ~fresh & (owners != hub)
+    ties = np.unique(np.stack([owners[tied], hub[tied]]), axis=1)
+    with np.errstate(over="ignore"):
+        spread = mix(ties[0].view(np.uint64) * _FIRST + ties[1].view(np.uint64)).view(np.int64)
+    return np.concatenate([signs[fresh], spread]), np.concatenate([owners[fresh], ties[0]]), np.concatenate([owners[fresh], ties[1]])
+
+
 def _signed(docs: DataFrame, n: int, bounds: list[int], schemes: list[Scheme]) -> DataFrame:
-    """(signature, class) rows; a task emits a class once."""
+    """Rows (s, a, b): class ``a`` has signature ``s`` (b = a), or is tied to class ``b``. A task combines what it has, ``FLUSH`` signatures at a time."""
     edges = np.array(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
+        signs, owners, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = combined(np.concatenate(signs), np.concatenate(owners))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["s", "a", "b"])
+
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
-                out, owner = [], []
                 for items in ngram_sets(data, offsets, n):
                     if not len(items) or (d := digest(items)) in done:
                         continue
                     done.add(d)
                     band = int(np.searchsorted(edges, len(items), "right")) - 1
-                    for of in (band, band - 1):
-                        if of >= 0:
-                            out.append(signatures(items, of, schemes[of]))
-                            owner.append(np.full(len(out[-1]), d[0], np.int64))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner))], ["s", "a"])
+                    for of in range(max(0, band - 1), band + 1):
+                        signs.append(signatures(items, of, schemes[of]).view(np.int64))
+                        owners.append(np.full(len(signs[-1]), d[0], np.int64))
+                        held += len(signs[-1])
+                if held > FLUSH:
+                    yield flush()
+                    signs, owners, held = [], [], 0
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "s bigint, a bigint, b bigint")
+
+
+def _ties(signed: DataFrame) -> DataFrame:
+    """Distinct ties (a, b) of classes that share a signature, each to one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub = None, 0
+        for batch in batches:
+            s, a, b = (np.asarray(batch.column(c)) for c in ("s", "a", "b"))
+            if not len(s):
+                continue
+            fresh = np.append(last is None or s[0] != last, s[1:] != s[:-1])
+            at = np.maximum.accumulate(np.where(fresh, np.arange(len(s)), -1))
+            to = np.where(b != a, b, np.where(at >= 0, a[at], hub))
+            last, hub = s[-1], to[-1]
+            kept = a != to
+            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(to[kept])], ["a", "b"])
 
-    return docs.select("text").mapInArrow(run, "s bigint, a bigint")
+    return signed.repartition("s").sortWithinPartitions("s").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -272,10 +314,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     counts = {r.band: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
     schemes = allocate(bounds, counts, percent)
 
-    signed = _signed(rows, n, bounds, schemes)
-    shared = signed.groupBy("s").agg(F.min("a").alias("hub"), F.max("a").alias("last")).where("hub != last").select("s", "hub")
-    shared = stored(shared, "signatures")
-    ties = signed.join(shared, "s").where("a != hub").select("a", F.col("hub").alias("b")).distinct()
+    ties = _ties(_signed(rows, n, bounds, schemes))
     clusters = components(ties).select(F.col("node").alias("a"), F.col("label").alias("cluster"))
 
     near = stored(classes.join(clusters, "a"), "near")
