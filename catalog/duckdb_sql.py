@@ -190,6 +190,14 @@ def low_cardinality() -> Join:
     )
 
 
+def page_after(join: Join, n: int) -> str:
+    """The 50 differing rows after the first ``n``, by keys of A and then all columns."""
+    names = join.names().split(", ")
+    first = [f"pk_{k}_a" for k in join.keys]
+    order = ", ".join(f"{c} NULLS FIRST" for c in [*first, *[c for c in names if c not in first]])
+    return f"{join.diffs()} ORDER BY {order} LIMIT 50 OFFSET {n}"
+
+
 def only_in(side: str, join: Join, tail: str = "") -> str:
     other = {"a": "b", "b": "a"}[side]
     on = " AND ".join(f"{side}.{k} = {other}.{k}" for k in join.keys)
@@ -261,6 +269,17 @@ FROM events
 """
 
 DISPLAYED = orders({c: precision(c, 1) for c in ("o_custkey", "o_totalprice")})
+ACTIVITY_LOG = (
+    "SELECT event_id AS timestamp, event_type AS operation, "
+    "concat('SET SECRET ', QUOTED, ' WHERE v = ', user_id) AS sql, 0::BIGINT AS duration_ms, event_id AS rows_affected, "
+    "CASE WHEN event_id % 10 = 0 THEN concat('failed with KEY ', QUOTED) END AS error FROM events"
+).replace("QUOTED", "chr(39) || '***' || chr(39)")
+FIRST_USER = "SELECT user_id::VARCHAR FROM events ORDER BY event_id LIMIT 1"
+# Either every "e" of a text changes, or every character that lower() changes; none of them occurs on side B.
+DOCUMENT_KEPT = (
+    ", CASE WHEN pk_doc_id % 10 = 1 THEN length(a) - (length(a) - length(replace(a, 'e', ''))) "
+    "ELSE length(list_aggregate(list_filter(string_split(a, ''), lambda c: lower(c) = c), 'string_agg', '')) END::INTEGER AS kept_chars"
+)
 CHAR_PARTS = 'WITH c AS ({cells}) SELECT {key}, "column", a AS text_a, b AS text_b{kept} FROM c'
 
 
@@ -281,6 +300,7 @@ ORACLES: dict[str, str] = {
     "seconds_fraction": events(
         "event_id", ["ts", "user_id", "event_type", "value", "props"], {"ts": seconds("ts", 1_500_000)}
     ).column_stats(),
+    "seconds_zoned": orders({"o_orderdate": seconds("o_orderdate", 5_000_000)}).column_stats(),
     "diff_join_flat": tolerant(columns=[c for c in ORDERS if c != "o_custkey"], ignored=["o_custkey"]).flat(),
     "composite_key_overview": lineitem().overview(),
     "composite_key_column_stats": lineitem().column_stats(),
@@ -290,6 +310,13 @@ ORACLES: dict[str, str] = {
     "duplicate_pairs_flat_hot_keys": lineitem().flat(),
     "low_cardinality_key_overview": low_cardinality().overview(),
     "low_cardinality_key_stats": low_cardinality().column_stats(),
+    "low_cardinality_two_distances": Join(
+        duckdb_text(P.EVENTS_TWO_TIMES_A),
+        duckdb_text(P.EVENTS_TWO_TIMES_B),
+        ["event_type"],
+        ["ts", "done"],
+        {"ts": seconds("ts", 30_000_000), "done": seconds("done", 60_000_000)},
+    ).overview(),
     "expression_key_overview": orders(
         columns=["o_orderkey", *ORDERS], keys=["expr"], key_expression="CAST(o_orderkey AS VARCHAR)"
     ).overview(),
@@ -303,7 +330,7 @@ ORACLES: dict[str, str] = {
         duckdb_text(P.PARTLY_NULL_KEYS_A),
         duckdb_text(P.PARTLY_NULL_KEYS_B),
         ["o_orderkey", "o_custkey"],
-        ["o_orderstatus", "o_totalprice"],
+        ["o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     ).overview(),
     "type_mismatch_coerce": retyped(skip=False),
     "type_mismatch_skip": retyped(skip=True),
@@ -329,8 +356,10 @@ ORACLES: dict[str, str] = {
     "rows_minor_one_column": tolerant().rows("is_diff_o_totalprice = 0 AND is_raw_diff_o_totalprice = 1"),
     "rows_materialized": tolerant().diffs(),
     "diff_rows_page": f"{tolerant().diffs()} ORDER BY pk_o_orderkey_a LIMIT 50 OFFSET 100",
-    "diff_rows_keyset_page": f"{tolerant().diffs()} AND pk_o_orderkey_a > 1000 ORDER BY pk_o_orderkey_a LIMIT 50",
+    "diff_rows_keyset_page": page_after(tolerant(), 100),
+    "keyset_page_repeated_keys": page_after(lineitem(), 60),
     "json_page": f"SELECT to_json({{o_orderkey: o_orderkey, o_custkey: o_custkey, o_orderstatus: o_orderstatus, "
+    f"o_totalprice: o_totalprice, o_orderdate: strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g'), "
     f"o_orderpriority: o_orderpriority}})::VARCHAR AS row FROM ({only_in('a', orders())}) ORDER BY o_orderkey LIMIT 50",
     "cell_changes": tolerant().cell_changes(),
     "cell_changes_display": f"WITH c AS ({DISPLAYED.cell_changes()}) SELECT pk_o_orderkey, \"column\", class, "
@@ -344,7 +373,7 @@ ORACLES: dict[str, str] = {
     "char_diff": CHAR_PARTS.format(
         cells=customers().cell_changes(), key="pk_c_custkey", kept=", (length(a) - 1)::INTEGER AS kept_chars"
     ),
-    "document_char_diff": CHAR_PARTS.format(cells=documents().cell_changes(), key="pk_doc_id", kept=""),
+    "document_char_diff": CHAR_PARTS.format(cells=documents().cell_changes(), key="pk_doc_id", kept=DOCUMENT_KEPT),
     "document_text_stats": documents({"text": lower_trim("text")}).column_stats(),
     "conversation_text_tolerance": Join(
         "SELECT * FROM conversations",
@@ -368,16 +397,26 @@ ORACLES: dict[str, str] = {
         ["vec_id"],
         ["embedding", "label"],
     ).column_stats(),
+    "map_column_diff": "SELECT 0::INTEGER AS ordinal, 'maps' AS name, d AS diff_count, 0::BIGINT AS minor_count, n - d AS match_count, "
+    "n AS total, (n - d)::DOUBLE / n * 100.0 AS match_pct, d::DOUBLE / n * 100.0 AS diff_pct "
+    "FROM (SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 20 = 0) AS d FROM events)",
     "display_precision": "SELECT o_orderkey, printf('%.1f', trunc(o_totalprice, 1)) AS shown FROM orders",
     "csv_roundtrip_diff": tolerant().column_stats(ordinal=False),
     "json_roundtrip_diff": tolerant().column_stats(ordinal=False),
     "parquet_export_diff": tolerant().column_stats(ordinal=False),
+    "json_array_roundtrip": customers().column_stats(ordinal=False),
+    "csv_zoned_roundtrip": tolerant().column_stats(ordinal=False),
     "export_diff_rows": tolerant().diffs(flags=False),
     "typed_load": "SELECT event_id, ts, user_id::DOUBLE AS user_id, event_type, value, props, "
     "CAST(NULL AS BOOLEAN) AS missing FROM events",
     "history_latest": UPSERTED,
     "history_retained": f"SELECT * FROM ({UPSERTED}) QUALIFY row_number() OVER "
     "(PARTITION BY connection_id ORDER BY last_used_at DESC) <= 3 ORDER BY last_used_at DESC LIMIT 500",
+    "history_read": f"SELECT * FROM ({UPSERTED}) WHERE connection_id = ({FIRST_USER}) ORDER BY last_used_at DESC",
+    "history_deleted": f"SELECT * FROM ({UPSERTED}) QUALIFY row_number() OVER "
+    "(ORDER BY last_used_at DESC, connection_id, query) > 1",
+    "history_cleared": f"SELECT * FROM ({UPSERTED}) WHERE connection_id IS DISTINCT FROM ({FIRST_USER})",
+    "activity_log": ACTIVITY_LOG,
     "history_top_per_group": "SELECT * FROM events QUALIFY row_number() OVER "
     "(PARTITION BY user_id ORDER BY ts DESC, event_id) <= 50",
     "history_top_global": "SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 500",

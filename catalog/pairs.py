@@ -39,12 +39,14 @@ SELECT CASE WHEN o_orderkey % 700 = 0 THEN NULL ELSE o_orderkey END AS o_orderke
 
 PARTLY_NULL_KEYS_A = """
 SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 0 THEN NULL ELSE o_custkey END AS o_custkey, o_orderstatus,
-  o_totalprice FROM {orders}
+  o_totalprice, o_orderdate, o_orderpriority FROM {orders}
 """
 
 PARTLY_NULL_KEYS_B = """
 SELECT o_orderkey, CASE WHEN o_orderkey % 700 = 0 THEN NULL ELSE o_custkey END AS o_custkey, o_orderstatus,
-  CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 0.5 ELSE o_totalprice END AS o_totalprice FROM {orders}
+  CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 0.5 ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate + INTERVAL '1' DAY ELSE o_orderdate END AS o_orderdate,
+  CASE WHEN o_orderkey % 8 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS o_orderpriority FROM {orders}
 """
 
 CUSTOMER_B = """
@@ -59,6 +61,15 @@ SELECT event_id, CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL '1500' MILLISECON
 FROM {events}
 """
 
+EVENTS_TWO_TIMES_A = """
+SELECT event_id, event_type, ts, ts + INTERVAL '7' SECOND AS done FROM {events}
+"""
+
+EVENTS_TWO_TIMES_B = """
+SELECT event_id, event_type, CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL '20' SECOND ELSE ts END AS ts,
+  CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL '90' SECOND ELSE ts END AS done FROM {events}
+"""
+
 DOCUMENTS_B = """
 SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN concat(' ', lower(text), ' ')
                     WHEN doc_id % 10 = 1 THEN replace(text, 'e', 'é') ELSE text END AS text, lang, source, n_chars

@@ -23,8 +23,18 @@ from twinframe import (
 )
 from twinframe.functions.compare import displayed
 from twinframe.functions.text import redacted
-from twinframe.operators.drill import page_after, page_of
-from twinframe.operators.history import insert_new, newest, newest_per_group, retained, upserted
+from twinframe.operators.audit import show_log
+from twinframe.operators.drill import page_of
+from twinframe.operators.history import (
+    cleared,
+    insert_new,
+    newest,
+    newest_per_group,
+    read_history,
+    retained,
+    upserted,
+    without_entry,
+)
 from twinframe.session import fresh_path
 from twinframe.sources.export import export
 from twinframe.sources.files import read_source
@@ -108,7 +118,7 @@ def char_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_char_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined_parts(documents(spark, sf).char_changes()).drop("kept_chars")
+    return _joined_parts(documents(spark, sf).char_changes())
 
 
 def _joined_parts(changes: DataFrame) -> DataFrame:
@@ -226,9 +236,102 @@ def inserted(part: int) -> Query:
 
 
 def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
-    """The page of differing rows that follows order 1000."""
-    changed = tolerant_orders(spark, sf)
-    return page_after(changed.rows("diffs"), changed.order, {"pk_o_orderkey_a": 1000})
+    """The page of differing rows that follows the first 100."""
+    return _page_after_first(tolerant_orders(spark, sf), 100)
+
+
+def keyset_page_repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where keys, and pairs of rows, repeat."""
+    return _page_after_first(lineitem(spark, sf, on_duplicates="pairs"), 60)
+
+
+def _page_after_first(comparison: Comparison, n: int) -> DataFrame:
+    """The page after the first ``n`` differing rows, found from the last of them."""
+    first = comparison.page("diffs", page_size=n).rows.collect()
+    seen = next((i for i in range(1, len(first)) if first[-i - 1] != first[-1]), len(first))
+    return comparison.page_after(first[-1].asDict(), seen=seen)
+
+
+def seconds_zoned(spark: SparkSession, sf: str) -> DataFrame:
+    """Order dates as moments: a distance in seconds, whatever the session zone."""
+    a, b = table(spark, sf, "orders"), derived(spark, sf, P.ORDERS_B)
+    moments = [side.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")) for side in (a, b)]
+    compared = compare(*moments, pk_columns=["o_orderkey"], column_tolerances={"o_orderdate": Seconds(5)})
+    return compared.column_stats()
+
+
+def two_distances(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = derived(spark, sf, P.EVENTS_TWO_TIMES_A), derived(spark, sf, P.EVENTS_TWO_TIMES_B)
+    tolerances = {"ts": Seconds(30), "done": Seconds(60)}
+    return compare(a, b, pk_columns=["event_type"], column_tolerances=tolerances, ignored_columns=["event_id"]).overview()
+
+
+def map_column_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The properties of events as maps within an array; entry order does not count."""
+    events = table(spark, sf, "events")
+    changed = F.when(F.col("event_id") % 20 == 0, F.concat("props", F.lit("!"))).otherwise(F.col("props"))
+    listed = F.create_map(F.lit("p"), "props", F.lit("t"), "event_type")
+    turned = F.create_map(F.lit("t"), "event_type", F.lit("p"), changed)
+    a = events.select("event_id", F.array(listed).alias("maps"))
+    b = events.select("event_id", F.array(turned).alias("maps"))
+    return compare(a, b, pk_columns=["event_id"]).column_stats()
+
+
+def json_array_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers written as arrays over several lines, beside a file of one object per line, read back and compared."""
+    customers = table(spark, sf, "customer")
+    path = f"{fresh_path(spark, 'arrays')}.json"
+    row = F.to_json(F.struct(*customers.columns), {"ignoreNullFields": "false"})
+    nation = F.col("c_nationkey")
+    thousand = F.floor(F.col("c_custkey") / 1000).alias("thousand")
+    listed = customers.where(nation >= 5).groupBy(thousand).agg(F.array_join(F.collect_list(row), ",\n").alias("rows"))
+    arrays = listed.select(F.concat(F.lit("[\n"), "rows", F.lit("\n]")).alias("value"))
+    arrays.write.option("maxRecordsPerFile", 1).text(path)
+    customers.where(nation < 5).select(row.alias("value")).write.mode("append").text(path)
+    return compare(read_source(spark, path), derived(spark, sf, P.CUSTOMER_B), pk_columns=["c_custkey"]).column_stats().drop("ordinal")
+
+
+def csv_zoned_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written as CSV with offsets in their dates, read back as moments and compared as such."""
+    path = f"{fresh_path(spark, 'zoned')}.csv"
+    zoned = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+05:30"))
+    export(table(spark, sf, "orders").withColumn("o_orderdate", zoned), path, "csv")
+    a, b = read_source(spark, path), derived(spark, sf, P.ORDERS_B).withColumn("o_orderdate", zoned.cast("timestamp"))
+    compared = compare(a, b, pk_columns=["o_orderkey"], column_tolerances=ORDER_TOLERANCES)
+    return compared.column_stats().orderBy("name").drop("ordinal")
+
+
+def history_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of the user of the first event."""
+    user = table(spark, sf, "events").orderBy("event_id").first().user_id
+    return read_history(upserted(event_log(spark, sf)), str(user)).drop("id")
+
+
+def history_deleted(spark: SparkSession, sf: str) -> DataFrame:
+    """Without the newest entry of all, deleted by its id."""
+    kept = upserted(event_log(spark, sf))
+    newest_id = kept.orderBy(F.col("last_used_at").desc(), F.col("connection_id"), F.col("query")).first().id
+    return without_entry(kept, newest_id).drop("id")
+
+
+def history_cleared(spark: SparkSession, sf: str) -> DataFrame:
+    """Without the entries of the user of the first event."""
+    user = table(spark, sf, "events").orderBy("event_id").first().user_id
+    return cleared(upserted(event_log(spark, sf)), str(user)).drop("id")
+
+
+def activity_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events seen as log rows whose statements and errors hold secrets."""
+    events = table(spark, sf, "events")
+    log = events.select(
+        F.col("event_id").alias("timestamp"),
+        F.col("event_type").alias("operation"),
+        F.concat(F.lit("SET SECRET '"), "props", F.lit("' WHERE v = "), F.col("user_id")).alias("sql"),
+        F.lit(0).cast("bigint").alias("duration_ms"),
+        F.col("event_id").alias("rows_affected"),
+        F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("failed with KEY '"), "props", F.lit("'"))).alias("error"),
+    )
+    return show_log(log)
 
 
 def display_precision(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,8 +339,8 @@ def display_precision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_page(spark: SparkSession, sf: str) -> DataFrame:
-    rows = orders(spark, sf).only_in("a").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return page_of(rows, ["o_orderkey"]).json()
+    """A page as JSON text, with all columns."""
+    return page_of(orders(spark, sf).only_in("a"), ["o_orderkey"]).json()
 
 
 QUERIES: dict[str, Query] = {
@@ -266,19 +369,21 @@ QUERIES: dict[str, Query] = {
         column_tolerances={"o_orderstatus": Precision(3), "o_totalprice": Seconds(5), "o_custkey": Whitespace()},
     ).column_stats(),
     "seconds_fraction": lambda s, d: events(s, d, "event_id", column_tolerances={"ts": Seconds(1.5)}).column_stats(),
+    "seconds_zoned": seconds_zoned,
     "diff_join_flat": lambda s, d: tolerant_orders(s, d, ignored_columns=["o_custkey"]).diff_join(),
     "composite_key_overview": lambda s, d: lineitem(s, d).overview(),
     "composite_key_column_stats": lambda s, d: lineitem(s, d).column_stats(),
     "duplicate_pairs_grouped": lambda s, d: lineitem(s, d, pair_budget=0.0).column_stats(),
     "duplicate_pairs_hot_keys": lambda s, d: lineitem(s, d, hot_key_rows=5).column_stats(),
-    "duplicate_pairs_flat": lambda s, d: lineitem(s, d).diff_join(),
-    "duplicate_pairs_flat_hot_keys": lambda s, d: lineitem(s, d, hot_key_rows=5).diff_join(),
+    "duplicate_pairs_flat": lambda s, d: lineitem(s, d, on_duplicates="pairs").diff_join(),
+    "duplicate_pairs_flat_hot_keys": lambda s, d: lineitem(s, d, hot_key_rows=5, on_duplicates="pairs").diff_join(),
     "low_cardinality_key_overview": lambda s, d: events(
         s, d, "event_type", column_tolerances={"ts": Seconds(60), "value": Precision(0)}
     ).overview(),
     "low_cardinality_key_stats": lambda s, d: events(
         s, d, "event_type", column_tolerances={"ts": Seconds(60), "value": Precision(0)}
     ).column_stats(),
+    "low_cardinality_two_distances": two_distances,
     "expression_key_overview": lambda s, d: orders(s, d, pk_expression="CAST(o_orderkey AS STRING)").overview(),
     "where_filter_overview": lambda s, d: tolerant_orders(s, d, where_clause="o_orderstatus = 'O'").overview(),
     "where_filter_unfiltered_keys": lambda s, d: lineitem(
@@ -313,6 +418,7 @@ QUERIES: dict[str, Query] = {
     "rows_materialized": materialized_rows,
     "diff_rows_page": lambda s, d: tolerant_orders(s, d).page("diffs", page=2, page_size=50).rows,
     "diff_rows_keyset_page": keyset_page,
+    "keyset_page_repeated_keys": keyset_page_repeated_keys,
     "json_page": json_page,
     "cell_changes": lambda s, d: tolerant_orders(s, d).cell_changes(),
     "cell_changes_display": lambda s, d: orders(s, d, tolerance=1).cell_changes(display_precision=1),
@@ -328,14 +434,21 @@ QUERIES: dict[str, Query] = {
     "suggest_keys": lambda s, d: suggest_keys(table(s, d, "documents"), table(s, d, "labels")),
     "table_meta": lambda s, d: table_meta(table(s, d, "lineitem")),
     "array_column_diff": array_column_diff,
+    "map_column_diff": map_column_diff,
     "display_precision": display_precision,
     "csv_roundtrip_diff": roundtrip("csv"),
     "json_roundtrip_diff": roundtrip("json"),
     "parquet_export_diff": roundtrip("parquet"),
+    "json_array_roundtrip": json_array_roundtrip,
+    "csv_zoned_roundtrip": csv_zoned_roundtrip,
     "export_diff_rows": export_diff_rows,
     "typed_load": typed_events,
     "history_latest": history_latest,
     "history_retained": history_retained,
+    "history_read": history_read,
+    "history_deleted": history_deleted,
+    "history_cleared": history_cleared,
+    "activity_log": activity_log,
     "history_top_per_group": history_top_per_group,
     "history_top_global": history_top_global,
     "redact_sql": redact_sql,

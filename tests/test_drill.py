@@ -62,8 +62,8 @@ def test_pages(comparison, spark):
     assert first.total == 4
     assert [r.pk_id_a for r in comparison.page("all", page=1, page_size=3).rows.collect()] == [4]
     wide = spark.range(5000)
-    assert page_of(wide, ["id"], 0, 4000).rows.count() == 1000
-    assert page_of(wide, ["id"], 4, 4000).rows.first().id == 4000
+    assert page_of(wide, ["id"], 0, 4000).rows.count() == 4000
+    assert page_of(wide, ["id"], 1, 4000).rows.first().id == 4000
     with pytest.raises(ValueError, match="page"):
         page_of(wide, ["id"], -1)
 
@@ -94,10 +94,25 @@ def test_keyset_paging_walks_over_all_rows(frame):
 def test_pages_of_repeated_keys_do_not_overlap(frame):
     a = frame("id int, v int", *[(1, i) for i in range(10)])
     b = frame("id int, v int", *[(1, i + 100) for i in range(10)])
-    comparison = compare(a, b, pk_columns=["id"])
+    comparison = compare(a, b, pk_columns=["id"], on_duplicates="pairs")
     pages = [comparison.page("diffs", page=n, page_size=30).rows.collect() for n in range(4)]
     assert [len(p) for p in pages] == [30, 30, 30, 10]
     assert len({tuple(r) for p in pages for r in p}) == 100
+    walked = list(pages[0])
+    while rest := comparison.page_after(walked[-1].asDict(), page_size=7).collect():
+        walked += rest
+    assert walked == [r for p in pages for r in p]
+    with pytest.raises(ValueError, match="not total"):
+        page_after(comparison.rows(), comparison.order, {"pk_id_a": 1})
+
+
+def test_keyset_pages_split_equal_rows(frame):
+    df = frame("k int, s string", *[(1, "x")] * 5, (2, "y"), *[(3, "z")] * 2)
+    walked, seen = page_of(df, ["k", "s"], 0, 2).rows.collect(), 2
+    while rest := page_after(df, ["k", "s"], walked[-1].asDict(), 2, seen).collect():
+        walked += rest
+        seen = next(i for i in range(1, len(walked) + 1) if i == len(walked) or walked[-i - 1] != walked[-1])
+    assert walked == df.orderBy("k", "s").collect()
 
 
 def test_cell_changes(comparison):

@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import pytest
-
 from twinframe.session import fresh_path, recommended_settings, shared_dir, stored
 
 
@@ -20,14 +18,9 @@ def test_shared_folder_is_the_configured_one(spark):
     assert fresh_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir") + "/x-")
 
 
-def test_a_cluster_without_shared_folder_is_refused():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_dir(FakeSession(spark_master="yarn"))
-
-
-def test_a_local_session_gets_one_folder():
-    session = FakeSession(spark_master="local[2]")
-    assert shared_dir(session) == shared_dir(session)
+def test_the_warehouse_takes_its_place():
+    for master in ("yarn", "local[2]"):
+        assert shared_dir(FakeSession(spark_master=master, spark_sql_warehouse_dir="hdfs:/w")) == "hdfs:/w"
 
 
 def test_stored_cuts_the_lineage(spark):

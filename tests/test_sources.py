@@ -97,7 +97,7 @@ def test_partitioned_query_needs_a_partition_count(spark):
 
 
 def test_typed_load(frame):
-    cells = frame("c array<string>", (["1.5", "x", "true"],), ([None, "y"],), (["2", "z", "false", "surplus"],))
+    cells = frame("c array<string>", (["1.5", "x", "true"],), ([None, "y"],), (["2", "z", "false"],))
     df = typed_load(cells, {"n": "FIXED", "t": "TEXT", "b": "boolean"}, cells="c")
     assert df.dtypes == [("n", "double"), ("t", "string"), ("b", "boolean")]
     assert [tuple(r) for r in df.collect()] == [(1.5, "x", True), (None, "y", None), (2.0, "z", False)]
@@ -116,7 +116,7 @@ def test_typed_load_of_columns(frame):
 def test_loaded_types():
     kinds = ["NUMBER", "float8", "BYTEINT", "TIMESTAMP_TZ", "TIME", "VARIANT", "BINARY", "GEOGRAPHY"]
     assert [loaded_type(k) for k in kinds] == [
-        "double", "double", "bigint", "timestamp_ntz", "string", "string", "string", "string",
+        "double", "double", "bigint", "timestamp", "string", "string", "string", "string",
     ]
 
 
@@ -163,3 +163,72 @@ def test_csv_export_writes_nested_values_as_json(frame, tmp_path):
     export(df, str(tmp_path / "n"), "csv", single_file=True)
     (part,) = [p for p in (tmp_path / "n").iterdir() if p.name.startswith("part-")]
     assert part.read_text().splitlines()[1] == '1,"[1,2]"'
+
+
+@pytest.mark.parametrize("text", ["id,v\n1,a\n2,b,c\n", "id,v\n1,a\n3\n"])
+def test_ragged_csv_raises(spark, tmp_path, text):
+    (tmp_path / "x.csv").write_text(text)
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_source(spark, str(tmp_path / "x.csv")).collect()
+
+
+def test_values_of_another_type_raise(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("id\n1\nx\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_source(spark, str(tmp_path / "x.csv"), schema="id bigint").collect()
+    (tmp_path / "x.jsonl").write_text('{"id":1}\n{"id":2\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_source(spark, str(tmp_path / "x.jsonl")).collect()
+
+
+def test_files_of_one_folder_may_differ_in_shape(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('\n[\n{"id": 1, "v": "x"},\n{"id": 2}\n]\n')
+    (folder / "b.json").write_text('{"id": 3}\n\n{"id": 4, "w": 1.5}\n{"id": 5}\n')
+    (folder / "c.json").write_text("")
+    for schema in (None, "id bigint, v string"):
+        assert sorted(r.id for r in read_source(spark, str(folder), schema=schema).collect()) == [1, 2, 3, 4, 5]
+    (tmp_path / "x.jsonl").write_text('[{"id": 1}]\n[{"id": 2}, {"id": 3}]\n')
+    assert sorted(r.id for r in read_source(spark, str(tmp_path / "x.jsonl")).collect()) == [1, 2, 3]
+    (tmp_path / "y.json").write_text('{\n"id": 1\n}\n')
+    with pytest.raises(ValueError, match="multi_line"):
+        read_source(spark, str(tmp_path / "y.json"))
+    assert read_source(spark, str(tmp_path / "y.json"), multi_line=True).first().id == 1
+
+
+def test_separators_must_agree(spark, tmp_path):
+    folder = tmp_path / "mixed.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id;v\n1;a\n")
+    (folder / "b.csv").write_text('id;v\n2;"b,c,d"\n')
+    assert sorted(tuple(r) for r in read_source(spark, str(folder)).collect()) == [(1, "a"), (2, "b,c,d")]
+    (folder / "c.csv").write_text("id,v\n3,a\n")
+    with pytest.raises(ValueError, match="differently"):
+        read_source(spark, str(folder))
+
+
+def test_offsets_are_kept(spark, frame, tmp_path):
+    zoned = ["2024-11-03T05:30:00Z", "2024-11-03T06:30:00Z", "2024-11-03T01:30:00-05:00"]
+    (tmp_path / "x.csv").write_text("id,at,local\n" + "".join(f"{i},{t},2024-11-03T01:30:00\n" for i, t in enumerate(zoned)))
+    (tmp_path / "x.json").write_text("".join(f'{{"id":{i},"at":"{t}","local":"2024-11-03T01:30:00"}}\n' for i, t in enumerate(zoned)))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for name in ("x.csv", "x.json"):
+            df = read_source(spark, str(tmp_path / name))
+            assert (df.schema["at"].dataType.simpleString(), df.schema["local"].dataType.simpleString()) == ("timestamp", "timestamp_ntz")
+            hours = [r.h for r in df.orderBy("id").selectExpr("unix_seconds(at) DIV 1800 AS h").collect()]
+            assert [h - hours[0] for h in hours] == [0, 2, 2]
+        kinds = [("a", "TIMESTAMP_TZ"), ("b", "TIMESTAMP_LTZ"), ("c", "TIMESTAMP_NTZ")]
+        row = typed_load(frame("a string, b string, c string", ("2024-01-01T10:00:00+02:00", "2024-01-01T10:00:00-05:00", "2024-01-01T10:00:00")), kinds)
+        assert row.selectExpr("unix_seconds(b) - unix_seconds(a) AS apart").first().apart == 7 * 3600
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert spark.conf.get("spark.sql.timestampType") == "TIMESTAMP_LTZ"
+
+
+def test_surplus_cells_raise(frame):
+    cells = frame("c array<string>", (["1", "x", "surplus"],))
+    with pytest.raises(Exception, match="more than 2 cells"):
+        typed_load(cells, {"n": "FIXED", "t": "TEXT"}, cells="c").collect()

@@ -11,7 +11,7 @@ import pytest
 from conftest import overview_of
 
 from twinframe import CaseInsensitive, Precision, Seconds, Whitespace, compare
-from twinframe.operators import keys, pairs
+from twinframe.operators import pairs
 
 SCHEMA = "k string, j int, n double, t timestamp_ntz, u timestamp_ntz, s string, w string"
 TOLERANCES = {"n": Precision(0), "t": Seconds(2.5), "u": Seconds(10), "s": CaseInsensitive(), "w": Whitespace()}
@@ -115,7 +115,7 @@ def case(request, spark):
 def test_strategies_agree_with_brute_force(case, name):
     a, b, expected = case
     settings, strategy = SETTINGS[name]
-    comparison = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES, **settings).run()
+    comparison = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES, on_duplicates="pairs", **settings).run()
     assert comparison.strategy == strategy
     assert overview_of(comparison) == expected["overview"]
     found = comparison.column_stats().collect()
@@ -138,7 +138,7 @@ def test_strategies_agree_with_brute_force(case, name):
 
 def test_flags_never_exceed_raw_flags(case):
     a, b, _ = case
-    flat = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES).diff_join()
+    flat = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES, on_duplicates="pairs").diff_join()
     wrong = " OR ".join(f"is_diff_{c} > is_raw_diff_{c}" for c in COLUMNS)
     assert flat.where(wrong).isEmpty()
 
@@ -146,7 +146,7 @@ def test_flags_never_exceed_raw_flags(case):
 @pytest.mark.parametrize("by_key", [False, True])
 def test_materialized_comparison_gives_the_same_answers(case, by_key):
     a, b, expected = case
-    direct = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES)
+    direct = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES, on_duplicates="pairs")
     kept = direct.materialize(by_key=by_key)
     assert overview_of(kept) == expected["overview"]
     for which in ("all", "diffs", "minor", "same"):
@@ -157,21 +157,43 @@ def test_materialized_comparison_gives_the_same_answers(case, by_key):
 
 
 @pytest.mark.parametrize("settings", [{}, {"hot_key_rows": 3}])
-def test_lone_rows_are_found_by_key_first_in_large_tables(case, monkeypatch, settings):
+def test_lone_rows(case, settings):
     a, b, expected = case
-    monkeypatch.setattr(keys, "NARROW_FIRST_ROWS", 0)
-    monkeypatch.setattr(keys, "NARROW_FIRST_SHARE", 1.0)
     comparison = compare(a, b, pk_columns=["k", "j"], **settings)
     assert Counter(map(tuple, comparison.only_in("a").collect())) == expected["only_a"]
     assert Counter(map(tuple, comparison.only_in("b").collect())) == expected["only_b"]
 
 
+def test_hot_keys_of_any_width_stay_out_of_the_outer_join(frame):
+    wide = "x" * 100_000
+    a = frame("k string, v int", *[(wide, i) for i in range(6)], ("a", 1), (None, 1))
+    b = frame("k string, v int", *[(wide, i) for i in range(5)], ("b", 1))
+    comparison = compare(a, b, pk_columns=["k"], hot_key_rows=3, on_duplicates="pairs")
+    assert comparison.key_totals.hot_keys == 1
+    assert comparison._hot.table.columns == ["h0", "h1", "in_a", "in_b", "parts_a", "parts_b"]
+    joined = comparison.diff_join()
+    assert joined.count() == 30 + 3
+
+
+def test_rows_of_multiplied_keys_are_given_on_request_only(case):
+    a, b, expected = case
+    plain = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES)
+    assert overview_of(plain) == expected["overview"]
+    for ask in (plain.rows, plain.diff_join, plain.cell_changes, plain.materialize, plain.page):
+        with pytest.raises(ValueError, match="pairs of rows"):
+            ask()
+    asked = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES, on_duplicates="pairs")
+    assert asked.rows("all").count() == expected["pairs"].total()
+    # Keys that repeat in one table only do not multiply.
+    assert compare(a, b.dropDuplicates(["k", "j"]), pk_columns=["k", "j"]).rows("all").count() > 0
+
+
 def test_outer_join_of_large_keys_is_taken_apart(case, monkeypatch):
     a, b, _ = case
-    expected = Counter(map(tuple, compare(a, b, pk_columns=["k", "j"]).diff_join().collect()))
+    expected = Counter(map(tuple, compare(a, b, pk_columns=["k", "j"], on_duplicates="pairs").diff_join().collect()))
     monkeypatch.setattr(pairs, "FULL_OUTER_ROWS", 0)
     for settings in ({}, {"hot_key_rows": 3}):
-        found = compare(a, b, pk_columns=["k", "j"], **settings).diff_join()
+        found = compare(a, b, pk_columns=["k", "j"], on_duplicates="pairs", **settings).diff_join()
         assert Counter(map(tuple, found.collect())) == expected
 
 

@@ -68,7 +68,9 @@ class DiffConfig:
 
     ``on_type_mismatch`` decides on shared columns of different types: ``coerce`` uses Spark's common type,
     ``string`` compares their string forms, ``skip`` leaves them out, ``error`` refuses.
-    ``on_duplicates="error"`` refuses to compare tables with repeated keys instead of comparing all pairs of a key.
+    ``on_duplicates``: statistics count all pairs of rows with equal keys, whatever it says. Rows of keys that repeat in
+    both tables multiply, so row results raise if there are any (``count``), unless ``pairs`` asks for all of them;
+    ``error`` refuses tables with repeated keys altogether.
     ``where_scope="join"`` counts duplicate and NULL keys before the row filter instead of after it.
     ``null_keys="both_sides"`` counts a row whose whole key is NULL as exclusive on both sides.
 
@@ -84,7 +86,7 @@ class DiffConfig:
     ignored_columns: Sequence[str] = ()
     where_clause: str | None = None
     on_type_mismatch: str = "coerce"
-    on_duplicates: str = "pairs"
+    on_duplicates: str = "count"
     where_scope: str = "all"
     null_keys: str = "once"
     hot_key_rows: int = 100_000
@@ -104,7 +106,7 @@ class DiffConfig:
             if isinstance(tolerance, Seconds) and not (math.isfinite(tolerance.seconds) and tolerance.seconds >= 0):
                 raise ValueError(f"Seconds tolerance of column {column!r} must be finite and not negative")
         _one_of("on_type_mismatch", self.on_type_mismatch, TYPE_MISMATCH_MODES)
-        _one_of("on_duplicates", self.on_duplicates, ("pairs", "error"))
+        _one_of("on_duplicates", self.on_duplicates, ("count", "pairs", "error"))
         _one_of("where_scope", self.where_scope, ("all", "join"))
         _one_of("null_keys", self.null_keys, ("once", "both_sides"))
         if self.hot_key_rows < 1 or self.max_hot_keys < 1:

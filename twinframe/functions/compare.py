@@ -85,9 +85,36 @@ def tolerated_micros(tolerance: Seconds) -> int:
     return min(int(Decimal(str(tolerance.seconds)) * 1_000_000), WIDEST_REACH)
 
 
+def _plain(dtype: T.DataType) -> bool:
+    """Whether values of a type can be compared and grouped as they are."""
+    if isinstance(dtype, T.ArrayType):
+        return _plain(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_plain(field.dataType) for field in dtype)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
 def comparable(value: Column, dtype: T.DataType) -> Column:
-    """A form of ``value`` that supports equality and grouping: maps become sorted entry lists."""
-    return F.array_sort(F.map_entries(value)) if isinstance(dtype, T.MapType) else value
+    """A form of ``value`` that supports equality and grouping, at every depth.
+
+    Maps become entry lists sorted by key. Variants become JSON text, whose objects list their keys in order.
+    """
+    if _plain(dtype):
+        return value
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(value)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: comparable(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [comparable(value.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(dtype)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    entries = F.transform(
+        F.map_entries(value),
+        lambda e: F.struct(
+            comparable(e["key"], dtype.keyType).alias("key"), comparable(e["value"], dtype.valueType).alias("value")
+        ),
+    )
+    return F.array_sort(entries)
 
 
 @dataclass(frozen=True)
@@ -129,10 +156,8 @@ class Comparator:
         if self.exact:
             return raw
         if self.by_distance:
-            limit = F.make_dt_interval(
-                secs=F.lit(Decimal(tolerated_micros(self.tolerance)).scaleb(-6)).cast("decimal(18,6)")
-            )
-            return raw & (a.isNull() | b.isNull() | (F.abs(a - b) > limit))
+            apart = F.abs(self.position(a) - self.position(b))
+            return raw & (a.isNull() | b.isNull() | (apart > tolerated_micros(self.tolerance)))
         return raw & ~self.form(a).eqNullSafe(self.form(b))
 
     def position(self, value: Column) -> Column:

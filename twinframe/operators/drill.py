@@ -18,7 +18,6 @@ from twinframe.operators.schema import quoted
 from twinframe.operators.sides import Layout
 
 ROW_CLASSES = ("all", "diffs", "minor", "same")
-MAX_PAGE_SIZE = 1000
 
 
 def selected(flagged: DataFrame, layout: Layout, which: str = "diffs", column: str | None = None) -> DataFrame:
@@ -90,19 +89,27 @@ class Page:
 
 
 def page_of(df: DataFrame, order: list[Column | str], page: int = 0, page_size: int = 50) -> Page:
-    """Page ``page`` (from 0) under ``order``; sizes above 1000 are cut to 1000.
+    """Page ``page`` (from 0) under ``order``, of any size.
 
     Spark keeps the best page·size rows per task, so this suits the first pages. Use :func:`page_after` to walk on.
     """
     if page < 0 or page_size < 1:
         raise ValueError("page must not be negative and page_size must be positive")
-    size = min(page_size, MAX_PAGE_SIZE)
     columns = [F.col(quoted(c)) if isinstance(c, str) else c for c in order]
-    return Page(df, df.orderBy(*columns).offset(page * size).limit(size), page, size)
+    return Page(df, df.orderBy(*columns).offset(page * page_size).limit(page_size), page, page_size)
 
 
-def page_after(df: DataFrame, order: list[str], last: dict[str, Any], page_size: int = 50) -> DataFrame:
-    """The page following the row ``last`` (its values of ``order``): a filter instead of an offset, at any depth."""
+def page_after(df: DataFrame, order: list[str], last: dict[str, Any], page_size: int = 50, seen: int = 1) -> DataFrame:
+    """The page following the row ``last`` (its values of ``order``): a filter instead of an offset, at any depth.
+
+    ``order`` must be total: it has every sortable column, as :func:`row_order` gives it. Rows equal in all of them follow
+    each other; ``seen`` says how many equal to ``last`` earlier pages ended with.
+    """
+    missing = set(row_order(df, order)) - set(order)
+    if missing:
+        raise ValueError(f"The order is not total: rows may tie, as it lacks {', '.join(sorted(missing))}")
+    if seen < 1 or page_size < 1:
+        raise ValueError("seen and page_size must be positive")
     types = {field.name: field.dataType for field in df.schema}
     values = {name: F.lit(last[name]).cast(types[name]) for name in order}
     later = []
@@ -112,8 +119,9 @@ def page_after(df: DataFrame, order: list[str], last: dict[str, Any], page_size:
         beyond = value.isNotNull() if last[name] is None else value > values[name]
         ties = [F.col(quoted(tied)).eqNullSafe(values[tied]) for tied in order[:i]]
         later.append(reduce(and_, [*ties, beyond]))
-    ordered = df.where(reduce(or_, later)).orderBy(*[F.col(quoted(name)) for name in order])
-    return ordered.limit(min(page_size, MAX_PAGE_SIZE))
+    equal = reduce(and_, [F.col(quoted(name)).eqNullSafe(values[name]) for name in order])
+    ordered = df.where(reduce(or_, later, equal)).orderBy(*[F.col(quoted(name)) for name in order])
+    return ordered.offset(seen).limit(page_size)
 
 
 CELL_CHANGE = "column:string,a:string,b:string,class:string"

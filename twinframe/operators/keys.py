@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from twinframe.config import DiffConfig
@@ -17,16 +17,8 @@ from twinframe.operators.schema import quoted
 from twinframe.operators.sides import SOURCE_KEY, Side, has_null
 from twinframe.session import stored
 
-# Broadcast bound of the hot-key table, next to DiffConfig.max_hot_keys: its keys take at most this many bytes.
-HOT_KEY_BYTES = 64 * 1024 * 1024
 # Rows of each side that meet in one cell of a split hot key.
 CELL_ROWS = 10_000
-# Most parts one hot key is split into on one side; more would only add tasks.
-MAX_PARTS = 10_000
-# From this size on, rows without partner are found by key first if they are at most this share of their table.
-NARROW_FIRST_ROWS = 10_000_000
-NARROW_FIRST_SHARE = 0.05
-
 
 PAIRS = "CAST(in_a AS DECIMAL(19,0)) * CAST(in_b AS DECIMAL(19,0))"
 
@@ -80,6 +72,7 @@ def key_profile(a: Side, b: Side, config: DiffConfig) -> DataFrame:
         "all_null_a": total("in_a", all_null),
         "all_null_b": total("in_b", all_null),
         "pairs": total(PAIRS, matched),
+        "multiplied": total(PAIRS, f"{matched} AND in_a > 1 AND in_b > 1"),
         "keys": "count(1)",
     }
     classed = key_counts(a, b).selectExpr("*", f"{size_class} AS size_class")
@@ -101,6 +94,8 @@ class KeyTotals:
     all_null_a: int
     all_null_b: int
     pairs: int
+    multiplied: int
+    """Pairs of keys that repeat on both sides."""
     hot_from: int
     """Rows of one side from which a key is hot."""
     hot_keys: int
@@ -117,7 +112,7 @@ def key_totals(profile: list[Row], config: DiffConfig) -> KeyTotals:
     It is drawn at ``hot_key_rows``, or at the lowest size class that leaves at most ``max_hot_keys`` above it.
     """
     summed = ["total_rows", "exclusive", "duplicate_pks", "null_pks", "all_null"]
-    names = [f"{fact}_{side}" for fact in summed for side in "ab"] + ["pairs"]
+    names = [f"{fact}_{side}" for fact in summed for side in "ab"] + ["pairs", "multiplied"]
     sums = {name: sum(int(row[name]) for row in profile) for name in names}
     line = 1
     while sum(row["keys"] for row in profile if row.size_class >= line) > config.max_hot_keys:
@@ -146,17 +141,18 @@ def _problem_counts(names: list[str]) -> dict[str, str]:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """The hottest keys with their exact row counts: ``k0…, in_a, in_b``, and the parts to split each side into.
+    """The hot keys with their exact row counts, ``in_a, in_b``, and the parts to split each side into.
 
-    At most ``max_hot_keys`` rows and ``HOT_KEY_BYTES`` of keys, so it can be broadcast. A key outside a table of n rows
-    holds less than 1/n of all rows.
+    A key is known by a 128-bit hash, ``h0, h1``, so a row is of fixed width whatever the keys are, and the table of at
+    most ``max_hot_keys`` rows (less than 1 MB) can be broadcast. Keys outside it have fewer than ``hot_from`` rows on
+    either side.
     """
 
     table: DataFrame
-    names: list[str]
+    names = ("h0", "h1")
 
     def _on(self, keys: list[str]) -> list[Column]:
-        return [F.col(key) == F.col(name) for key, name in zip(keys, self.names, strict=True)]
+        return [F.col(name) == digest for name, digest in zip(self.names, _digest(keys), strict=True)]
 
     def cold(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """Rows of other keys."""
@@ -170,27 +166,18 @@ class HotKeys:
 def hot_keys(a: Side, b: Side, totals: KeyTotals) -> HotKeys:
     names = key_names(a)
     hot = f"NOT {_null_key(names)} AND greatest(in_a, in_b) >= {totals.hot_from}"
-    hottest = (
-        key_counts(a, b)
-        .where(hot)
-        .withColumn("size", F.greatest("in_a", "in_b"))
-        .orderBy(F.col("size").desc(), *names)
-        .limit(totals.hot_keys)
-    )
-    # The window sees at most max_hot_keys rows.
-    by_size = Window.partitionBy(F.lit(0)).orderBy(F.col("size").desc(), *names)
-    key_bytes = F.octet_length(F.concat_ws("", *[F.col(name).cast("string") for name in names])) + F.lit(16)
-    table = (
-        hottest.withColumn("bytes", F.sum(key_bytes).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("bytes") <= HOT_KEY_BYTES)
-        .select(*names, "in_a", "in_b", _parts("in_a", totals), _parts("in_b", totals))
-    )
-    return HotKeys(stored(table, "hot-keys"), names)
+    digests = [digest.alias(name) for name, digest in zip(HotKeys.names, _digest(names), strict=True)]
+    table = key_counts(a, b).where(hot).select(*digests, "in_a", "in_b", _parts("in_a", totals), _parts("in_b", totals))
+    return HotKeys(stored(table, "hot-keys"))
+
+
+def _digest(keys: list[str]) -> list[Column]:
+    return [F.xxhash64(*keys), F.xxhash64(F.lit("second"), *keys)]
 
 
 def _parts(count: str, totals: KeyTotals) -> Column:
     needed = F.ceil(F.col(count) / F.lit(min(CELL_ROWS, totals.hot_from)))
-    parts = F.least(F.greatest(needed, F.lit(1)), F.lit(MAX_PARTS)).cast("int")
+    parts = F.greatest(needed, F.lit(1)).cast("int")
     return parts.alias(count.replace("in_", "parts_"))
 
 
@@ -198,39 +185,27 @@ def with_partner(one: Side, other: Side, totals: KeyTotals, hot: HotKeys | None,
     """Rows of ``one`` whose key occurs (``left_semi``) or does not occur (``left_anti``) in ``other``.
 
     The rows keep their own columns. Rows with a NULL key part match nothing and bypass the join; rows of hot keys
-    bypass it too, since the hot-key table already says whether the other side has the key. When a large table has few
-    rows without partner, their keys are looked up first and only then the rows, which saves shuffling wide rows.
+    bypass it too, since the hot-key table already says whether the other side has the key.
     """
     own = [f"{SOURCE_KEY}{i}" for i in range(len(one.key_columns))]
     theirs = key_names(other)
     keyed = one.keyed()
     rows = keyed.where(~has_null(own))
-    size, nulls = totals.of("total_rows", one.name), totals.of("null_pks", one.name)
-    lone = totals.of("exclusive", one.name) - nulls
-    if how == "left_anti" and size >= NARROW_FIRST_ROWS and lone <= size * NARROW_FIRST_SHARE:
-        keys, match = stored(_lone_keys(one, other), "lone-keys"), "left_semi"
-    else:
-        keys, match = other.keys_of(other.filtered).where(~has_null(theirs)), how
+    keys = other.keys_of(other.filtered).where(~has_null(theirs))
     keys = keys.select(*[F.col(name).alias(f"other_{name}") for name in theirs])
     equal = [F.col(x) == F.col(f"other_{y}") for x, y in zip(own, theirs, strict=True)]
     if hot is None:
-        found = rows.join(keys, equal, match)
+        found = rows.join(keys, equal, how)
     else:
         partners = F.col(f"in_{other.name}")
         known = hot.hot(rows, own).where(partners > 0 if how == "left_semi" else partners == 0)
-        cold = hot.cold(rows, own).join(hot.cold(keys, keys.columns), equal, match)
+        cold = hot.cold(rows, own).join(hot.cold(keys, keys.columns), equal, how)
         found = cold.unionAll(known.select(*keyed.columns))
-    if how == "left_anti" and nulls:
+    if how == "left_anti" and totals.of("null_pks", one.name):
         found = found.unionAll(keyed.where(has_null(own)))
     return found.drop(*own)
 
 
-def _lone_keys(one: Side, other: Side) -> DataFrame:
-    a, b = (one, other) if one.name == "a" else (other, one)
-    lone = f"NOT {_null_key(key_names(one))} AND in_{one.name} > 0 AND in_{other.name} = 0"
-    return key_counts(a, b).where(lone).select(*key_names(one))
-
-
 def duplicate_keys(side: Side, config: DiffConfig) -> DataFrame:
     """Key values that occur more than once, with their ``count``. NULL is a value like any other here."""
     source = side.source if config.where_scope == "join" else side.filtered

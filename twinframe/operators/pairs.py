@@ -16,7 +16,8 @@ from twinframe.operators.sides import Layout, Side, has_null
 from twinframe.session import stored
 
 PRESENT = ("in_a", "in_b")
-# Most rows of one key and side that a full outer join is trusted with.
+# Most rows of one key and side that a full outer join is trusted with. Hot keys never get there: the line decides, which
+# all keys outside the complete hot-key table are below.
 FULL_OUTER_ROWS = 100_000
 
 

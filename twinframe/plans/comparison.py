@@ -86,7 +86,7 @@ class Comparison:
         budget = self.config.pair_budget * rows * (len(self.layout.compared) + 1)
         if totals.pairs <= budget:
             return "pairs"
-        if totals.cold_pairs <= budget and self._hot is not None and self._hot.table.count() == totals.hot_keys:
+        if totals.cold_pairs <= budget and self._hot is not None:
             return "split"
         return "groups"
 
@@ -162,6 +162,14 @@ class Comparison:
 
     # Rows
 
+    def _asked_for(self) -> None:
+        """Rows of keys that repeat on both sides multiply, so they are given only where that was asked for."""
+        if self.config.on_duplicates != "pairs" and self.key_totals.multiplied:
+            raise ValueError(
+                f"Keys that repeat in both tables make {self.key_totals.multiplied} pairs of rows; "
+                "set on_duplicates='pairs' to get them all, or use the statistics, which count them"
+            )
+
     def _pairs(self) -> DataFrame:
         cold = pairs.cold_pairs(self.a, self.b, self.layout, self._hot)
         return cold if self._hot is None else cold.unionByName(self._hot_pairs)
@@ -169,9 +177,11 @@ class Comparison:
     def _flagged_pairs(self) -> DataFrame:
         if self._stored is not None:
             return drill.positional(self._stored.where("in_a and in_b"), self.layout)
+        self._asked_for()
         return pairs.with_flags(self._pairs(), self.layout)
 
     def _flagged_join(self) -> DataFrame:
+        self._asked_for()
         joined = pairs.cold_join(self.a, self.b, self.layout, self.key_totals, self._hot)
         if self._hot is not None:
             joined = joined.unionByName(pairs.hot_join(self.a, self.b, self.layout, self._hot, self._hot_pairs))
@@ -196,6 +206,13 @@ class Comparison:
         rows = self.rows(which, column)
         return drill.page_of(rows, drill.row_order(rows, self.order), page, page_size)
 
+    def page_after(
+        self, last: dict, which: str = "diffs", column: str | None = None, page_size: int = 50, seen: int = 1
+    ) -> DataFrame:
+        """The rows after the row ``last`` of a page; ``seen`` as in :func:`twinframe.operators.drill.page_after`."""
+        rows = self.rows(which, column)
+        return drill.page_after(rows, drill.row_order(rows, self.order), last, page_size, seen)
+
     def only_in_page(self, side: str, page: int = 0, page_size: int = 50) -> drill.Page:
         rows = self.only_in(side)
         if self.config.key_expression:

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder; a cluster without it is refused.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors can reach")
-    return _local_folder()
-
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="twinframe-")
+    """A folder all executors can reach: ``spark.checkpoint.dir``, else ``spark.sql.warehouse.dir``, on any master."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

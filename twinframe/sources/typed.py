@@ -31,8 +31,8 @@ LOADED_AS = {
     "BOOLEAN": "boolean",
     "DATE": "date",
     "TIMESTAMP_NTZ": "timestamp_ntz",
-    "TIMESTAMP_LTZ": "timestamp_ntz",
-    "TIMESTAMP_TZ": "timestamp_ntz",
+    "TIMESTAMP_LTZ": "timestamp",
+    "TIMESTAMP_TZ": "timestamp",
     "TIMESTAMP": "timestamp_ntz",
     "DATETIME": "timestamp_ntz",
 }
@@ -45,8 +45,8 @@ def loaded_type(declared: str) -> str:
 def typed_load(df: DataFrame, declared: Mapping[str, str] | Sequence[tuple[str, str]], cells: str | None = None) -> DataFrame:
     """Cast string columns to their declared warehouse types, in declared order.
 
-    With ``cells``, the strings are the elements of that array column: a short row is filled up with NULL and surplus
-    elements are dropped. A value that does not fit its type raises.
+    With ``cells``, the strings are the elements of that array column: a short row is filled up with NULL, one with surplus
+    elements raises. So does a value that does not fit its type. Times with an offset keep the moment they name.
     """
     columns = list(declared.items()) if isinstance(declared, Mapping) else list(declared)
     if not columns:
@@ -54,7 +54,10 @@ def typed_load(df: DataFrame, declared: Mapping[str, str] | Sequence[tuple[str,
     if cells is not None:
         if not isinstance(df.schema[cells].dataType, T.ArrayType):
             raise ValueError(f"Column {cells!r} is not an array")
-        texts = [F.get(F.col(quoted(cells)), F.lit(i)) for i in range(len(columns))]
+        row = F.col(quoted(cells))
+        surplus = F.concat(F.lit(f"A row has more than {len(columns)} cells: "), F.to_json(row))
+        fitting = F.when(F.size(row) > len(columns), F.raise_error(surplus).cast(df.schema[cells].dataType)).otherwise(row)
+        texts = [F.get(fitting, F.lit(i)) for i in range(len(columns))]
     else:
         texts = [F.col(quoted(name)) for name, _ in columns]
     return df.select(
