@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -16,7 +17,8 @@ from twinframe import (
     compare,
     tolerance_from_dict,
 )
-from twinframe.functions.compare import displayed, near_labels, truncated
+from twinframe.functions.compare import displayed, truncated
+from twinframe.operators.summary import near_pairs, near_rows
 
 T0 = datetime(2024, 1, 1, 12, 0, 0)
 
@@ -99,6 +101,20 @@ def test_seconds_on_zoned_timestamps(frame):
         assert diffs(a, b, Seconds(1.4), "ts", pair_budget=budget) == 1
 
 
+def test_seconds_where_the_clock_goes_back(spark, frame):
+    """05:30Z and 06:30Z show the same local time in New York on that day, and are an hour apart all the same."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = spark.range(1).selectExpr("1 AS id", "timestamp_seconds(1730611800) AS ts")
+        later = spark.range(1).selectExpr("1 AS id", "timestamp_seconds(1730611800 + 3600) AS ts")
+        for budget in (0.0, 10.0):
+            assert diffs(at, later, Seconds(5), "ts", pair_budget=budget) == 1
+            assert diffs(at, later, Seconds(3599), "ts", pair_budget=budget) == 1
+            assert diffs(at, later, Seconds(3600), "ts", pair_budget=budget) == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_seconds_do_not_depend_on_the_session_zone(spark, frame):
     schema = "id int, ts timestamp_ntz"
     # An hour that daylight saving skips in Berlin.
@@ -172,15 +188,68 @@ def test_nested_and_map_columns_compare_exactly(frame):
     assert compare(a, b, pk_columns=["id"]).page("all").rows.count() == 3
 
 
-def test_near_labels_meet_once_within_reach(spark):
-    points = [-62135596800000000, -7, -1, 0, 1, 5, 6, 12, 1000, 253402300799999999]
-    frame = spark.createDataFrame([(p,) for p in points], "t long")
-    for reach in (0, 1, 6, 1000):
-        cover = {r.t: set(r.l) for r in frame.select("t", near_labels(F.col("t"), reach, "a").alias("l")).collect()}
-        place = {r.t: set(r.l) for r in frame.select("t", near_labels(F.col("t"), reach, "b").alias("l")).collect()}
-        for p in points:
-            for q in points:
-                assert len(cover[p] & place[q]) == (abs(p - q) <= reach)
+def test_maps_and_variants_at_any_depth(spark):
+    a = spark.sql("""SELECT 1 AS id, array(map('x', 1, 'y', 2)) AS l, map('p', map('x', 1, 'y', 2)) AS m,
+        named_struct('f', map(1, 'a', 2, 'b')) AS s, parse_json('{"a": 1, "b": [1, {"c": 2, "d": 3}]}') AS v
+        UNION ALL SELECT 2, array(map('x', 1)), map('p', map('x', 1)), named_struct('f', map(1, 'a')), parse_json('{"a": 1}')
+        UNION ALL SELECT 3, NULL, NULL, NULL, NULL""")
+    b = spark.sql("""SELECT 1 AS id, array(map('y', 2, 'x', 1)) AS l, map('p', map('y', 2, 'x', 1)) AS m,
+        named_struct('f', map(2, 'b', 1, 'a')) AS s, parse_json('{"b": [1, {"d": 3, "c": 2}], "a": 1}') AS v
+        UNION ALL SELECT 2, array(map('x', 2)), map('p', map('x', 2)), named_struct('f', map(1, 'b')), parse_json('{"a": 2}')
+        UNION ALL SELECT 3, NULL, NULL, NULL, NULL""")
+    expected = {c: (1, 0) for c in ("l", "m", "s", "v")}
+    for budget in (1.0, 0.0):
+        assert stats_of(compare(a, b, pk_columns=["id"], pair_budget=budget)) == expected
+    assert compare(a, b, pk_columns=["id"]).rows("diffs").count() == 1
+
+
+def test_wide_pair(spark):
+    """A pair of 31 columns of three types: 48 shared ids, two more on each side, 47 rows with 213 differing cells."""
+    rng = random.Random(1)
+    places = {(1 + i, c) for i in range(47) for c in [1 + i % 30]}
+    while len(places) < 213:
+        places.add((rng.randrange(1, 48), rng.randrange(1, 31)))
+    kinds = ["string", "bigint", "double"]
+
+    def cell(i: int, c: int, changed: bool):
+        return [f"val_{i}_{c}" + "x" * changed, i * 1000 + c + changed, i + c / 100 + changed][c % 3]
+
+    schema = "id bigint, " + ", ".join(f"col_{c:02} {kinds[c % 3]}" for c in range(1, 31))
+    a = spark.createDataFrame([(i, *[cell(i, c, False) for c in range(1, 31)]) for i in range(1, 51)], schema)
+    b = spark.createDataFrame([(i, *[cell(i, c, (i, c) in places) for c in range(1, 31)]) for i in [*range(1, 49), 51, 52]], schema)
+    comparison = compare(a, b, pk_columns=["id"])
+    found = overview_of(comparison)
+    assert [found[x] for x in ("total_compared", "exclusive_a", "exclusive_b", "rows_with_diffs", "rows_identical")] == [48, 2, 2, 47, 1]
+    assert sum(d for d, _ in stats_of(comparison).values()) == 213
+    assert comparison.cell_changes().count() == 213
+
+
+def test_near_pairs_and_rows_against_all_pairs(spark):
+    rng = random.Random(6)
+    values = [None, -62135596800000000, -7, -1, 0, 1, 5, 6, 12, 1000, 253402300799999999]
+    rows = [(rng.choice(["k", "l", None]), rng.choice(values), rng.choice(values), rng.randrange(3), rng.randrange(3)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "k string, t long, u long, in_a long, in_b long")
+
+    def near(x, y, reach):
+        return x is None and y is None or None not in (x, y) and abs(x - y) <= reach
+
+    for r, q in ((0, 3), (1, 0), (6, 1000), (640_000_000_000_000_000, 5)):
+        pairs = [(x, y) for x in rows for y in rows if x[0] == y[0] and near(x[1], y[1], r)]
+        assert near_pairs(df, ["k"], "t", r).first().n == sum(x[3] * y[4] for x, y in pairs)
+        expected = sum(x[3] * y[4] for x, y in pairs if near(x[2], y[2], q))
+        assert near_rows(df, ["k"], {"t": r, "u": q}).first().n == expected
+
+
+def test_distances_grow_no_faster_than_columns(spark):
+    """Five distance columns on a key of two values: no explosion, and the same answers as for one."""
+    moment = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+    a = spark.range(2000).select((F.col("id") % 2).alias("k"), *[moment.alias(f"t{i}") for i in range(5)])
+    b = a.withColumns({f"t{i}": F.col(f"t{i}") + F.expr("INTERVAL '1' SECOND") for i in range(5)})
+    for n in (1, 2, 5):
+        names = [f"t{i}" for i in range(n)]
+        comparison = compare(a.select("k", *names), b.select("k", *names), pk_columns=["k"], column_tolerances={c: Seconds(3) for c in names}, pair_budget=0.0)
+        # Times of a key lie two seconds apart; within 3 s of t + 1 are t - 2, t, t + 2 and t + 4.
+        assert overview_of(comparison)["rows_minor"] == sum(sum(0 <= i + d < 1000 for d in (-2, -1, 0, 1)) for i in range(1000)) * 2
 
 
 def test_displayed_precision(spark):

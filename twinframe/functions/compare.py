@@ -1,10 +1,8 @@
 """Cell comparators as Column expressions.
 
 A comparator decides whether two cells of a matched row differ. All but one compare a *form* of the cell
-(truncated number, trimmed string …) with null-safe equality, so equal cells share one label. ``Seconds`` is a
-distance; its labels are nodes of a binary tree over the microsecond axis, chosen so that two cells share exactly
-one label when they are close enough and none otherwise (see :func:`near_labels`). Labels let matching pairs be
-*counted* by grouping, without building the pairs.
+(truncated number, trimmed string …) with null-safe equality, so equal cells share one label, and matching pairs can be
+*counted* by grouping, without building the pairs. ``Seconds`` is a distance on the microsecond axis.
 """
 
 from __future__ import annotations
@@ -164,45 +162,6 @@ class Comparator:
         """Where a cell lies on the axis of a distance comparator; other cells as they are."""
         return epoch_micros(value, self.dtype) if self.by_distance else value
 
-    def labels(self, position: Column, side: str) -> Column:
-        """Array of labels for a distance comparator; side ``a`` covers its neighbourhood, ``b`` marks its place."""
-        return near_labels(position, tolerated_micros(self.tolerance), side)
-
-
-LABELS = "array<bigint>"
-NO_VALUE = -1
-# All timestamps (years 1 to 9999) lie within ±2^58 microseconds of 1970.
-SPAN_BITS = 58
-
-
-def near_labels(micros: Column, reach: int, side: str) -> Column:
-    """Labels by which points of two sides that lie within ``reach`` meet exactly once.
-
-    A label names a stretch of the axis: those of level l are 2^l long and do not overlap. Side ``a`` splits
-    [t-reach, t+reach] into the fewest stretches, which are disjoint; side ``b`` lists the one around t on each level. A
-    point of ``b`` inside the neighbourhood lies in exactly one of the pieces, so it shares one label, otherwise none.
-    There are about 2·log2(reach) labels. NULL meets only NULL.
-    """
-    axis = 1 << SPAN_BITS
-    levels = range(min((2 * reach + 1).bit_length(), SPAN_BITS + 2))
-
-    def stretch(level: int, index: Column) -> Column:
-        return index + F.lit(axis >> level << 2)
-
-    place = micros + F.lit(axis)
-    if side == "b":
-        found = F.array(*[stretch(level, F.shiftright(place, level)) for level in levels])
-    else:
-        start = F.greatest(place - F.lit(reach), F.lit(0))
-        stop = F.least(place + F.lit(reach), F.lit(2 * axis - 1)) + F.lit(1)
-        candidates = []
-        for level in levels:
-            first, end = -F.shiftright(-start, level), F.shiftright(stop, level)
-            candidates.append(F.when((first < end) & (first % 2 == 1), stretch(level, first)))
-            candidates.append(F.when((first < end) & (end % 2 == 1), stretch(level, end - 1)))
-        found = F.array_compact(F.array(*candidates))
-    return F.when(micros.isNull(), F.array(F.lit(NO_VALUE)).cast(LABELS)).otherwise(found.cast(LABELS))
-
 
 def resolve(dtype: T.DataType, tolerance: Tolerance | None, default_precision: int | None) -> Comparator:
     """Comparator of a column: its own tolerance, else the default precision for numbers, else exact.

@@ -154,9 +154,9 @@ def cell_changes(
             )
         )
     keys = [F.col(f"ak{i}").alias(f"pk_{name}") for i, name in enumerate(layout.keys)]
-    wanted = flagged.where(row_class(layout) != "same")
-    listed = F.array(*cells).cast(f"array<struct<{CELL_CHANGE}>>")
-    return wanted.select(*keys, F.inline(listed)).where(F.col("class").isNotNull())
+    # The cells of a row are filtered as an array: a filter on rows would be copied once per column while it is planned.
+    listed = F.filter(F.array(*cells).cast(f"array<struct<{CELL_CHANGE}>>"), lambda cell: cell["class"].isNotNull())
+    return flagged.select(*keys, F.inline(listed))
 
 
 def with_char_diff(changes: DataFrame) -> DataFrame:
