@@ -56,7 +56,7 @@ def test_page_is_a_top_k(spark):
 
 def test_only_the_hot_key_table_is_broadcast(spark, no_broadcast):
     a = spark.range(2000).selectExpr("id % 3 as k", "id as v")
-    comparison = compare(a, a, pk_columns=["k"], hot_key_rows=100)
+    comparison = compare(a, a, pk_columns=["k"], hot_key_rows=100, on_duplicates="pairs")
     assert comparison._hot.table.count() == 3
     for df in (comparison.stats(), comparison.only_in("a"), comparison.rows("diffs")):
         text = plan(df)
@@ -86,7 +86,7 @@ def test_tables_without_null_keys_are_not_searched_for_them(spark, no_broadcast)
 def test_hot_pairs_are_split_into_many_cells(spark):
     a = spark.range(3000).selectExpr("1 as k", "id as v")
     b = spark.range(2000).selectExpr("1 as k", "id as v")
-    comparison = compare(a, b, pk_columns=["k"], hot_key_rows=100, pair_budget=1e9)
+    comparison = compare(a, b, pk_columns=["k"], hot_key_rows=100, pair_budget=1e9, on_duplicates="pairs")
     row = comparison._hot.table.first()
     assert (row.parts_a, row.parts_b) == (30, 20)
     assert comparison.strategy == "pairs"
