@@ -53,13 +53,19 @@ def corpus(rng: random.Random, n_docs: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize(("seed", "n", "percent", "shared"), [(1, 3, 90, 0.25), (2, 5, 80, 0.25), (3, 3, 90, 0.9), (4, 1, 80, 0.7)])
-def test_against_all_pairs(spark, monkeypatch, seed, n, percent, shared):
-    monkeypatch.setattr(jaccard, "SHARED", shared)  # a high value makes deletions worth their cost
+@pytest.mark.parametrize(("seed", "n", "percent", "crowd"), [(1, 3, 90, 1), (2, 5, 80, 1), (3, 3, 90, 10**9), (4, 1, 80, 10**7)])
+def test_against_all_pairs(spark, monkeypatch, seed, n, percent, crowd):
+    # With as many classes as that in each band, deletions are worth their cost.
+    plan = jaccard.allocate
+    monkeypatch.setattr(jaccard, "allocate", lambda bounds, counts, p: plan(bounds, {b: c * crowd for b, c in counts.items()}, p))
     monkeypatch.setattr(jaccard, "BLOCK", 300)
     rows = corpus(random.Random(seed), 250)
+    monkeypatch.setattr(jaccard, "SKETCHES", 7)
     found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), n, percent).collect()
     assert {r.id: (r.n, r.component) for r in found} == brute(rows, n, percent)
+    sets = {grams(t, n) for _, t in rows} - {frozenset()}
+    links = {a: sum(a is not b and 100 * len(a & b) >= percent * len(a | b) for b in sets) for a in sets}
+    assert {r.id: r.n_links for r in found} == {i: links.get(grams(t, n), 0) for i, t in rows}
 
 
 def test_signatures_meet_whenever_the_threshold_is_reached():
@@ -67,8 +73,11 @@ def test_signatures_meet_whenever_the_threshold_is_reached():
     for percent in (80, 90):
         bounds = jaccard.bounds_up_to(600, percent)
         for double_up in (False, True):
-            schemes = [jaccard.Scheme(a + 1 - d, d) for a in (jaccard.most_apart(bounds, b, percent) for b in range(len(bounds) - 1)) for d in [(a + 1) // 2 if double_up else 0]]
-            for _ in range(300):
+            apart = [jaccard.most_apart(bounds, b, percent) for b in range(len(bounds) - 1)]
+            doubles = [(a + 1) // 2 if double_up else 0 for a in apart]
+            for k in range(400):
+                spare = k % 4
+                schemes = [jaccard.Scheme(a + 1 - d + spare, d, spare) for a, d in zip(apart, doubles, strict=True)]
                 x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64))
                 lost = rng.random(len(x)) < rng.choice([0, 0.03, 0.05, 0.1])
                 y = np.unique(np.concatenate([x[~lost], rng.integers(0, 1 << 63, rng.integers(0, 1 + len(x) // 12)).astype(np.uint64)]))

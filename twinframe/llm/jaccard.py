@@ -7,17 +7,23 @@ Signatures. Sizes are cut into bands whose bounds grow by 1/threshold, so partne
 Two sets of a band, or of it and the next, that reach the threshold differ in at most H elements. The band's scheme hashes
 the universe into segments and gives each an allowance: a segment of allowance 1 must be equal in both sets, one of
 allowance 2 equal up to one element deleted on either side. If the allowances add up to H + 1, partners must agree in a
-segment. A set emits, under its own band's scheme and that of the band below, a signature per segment, and for allowance
-2 one more for each deletion. How many segments get allowance 2 is chosen per band by cost: signatures written against
+segment. Two sets may agree in segments that are empty in both, which says little; so the allowances add up to more by a
+number of spare ones: partners then agree in more segments than that, and a set with no more empty segments of allowance
+1 than that need not emit those. A set emits, under its own band's scheme and that of the band below, a signature per segment, and for allowance
+2 one more for each deletion. How many segments get allowance 2, and how many are spare, is chosen per band by cost: signatures written against
 the chance matches expected among the band's classes, counted over the whole corpus.
 
 Candidates. A task ties its classes that share a signature to one of them and passes each signature on once, so that one
 of a third of all texts is a row per task. After a shuffle by signature, those rows are tied alike. All ties together make
 clusters (connected components), which hold all partners whatever their number.
 
-Verification. A cluster's sets are dealt by hash into blocks of ``BLOCK`` elements; every pair of blocks is a group of its
-own, small enough for any executor, in which intersections are counted by one matrix product. Only links leave it. A
-cluster of g sets costs g squared divided by the block's sets in rows; no pair of sets is ever a row unless it is a link.
+Verification. Shared passages chain clusters up, so they are cut first: sketches of 512 bytes bound from below how many
+elements two sets differ in, and only sets connected by pairs that they allow stay together. Then the sets are compared.
+Both times a cluster is cut into pieces of two neighbouring bands, as only sets of these can be partners, and a piece is
+dealt by hash into blocks; every pair of blocks is a group of its own, small enough for any
+executor, in which numpy compares all sets of one with all of the other (intersections by one matrix product). A group
+passes on no pairs, but per set one tie that says what it is connected to, and its number of links. A cluster of g sets
+costs g squared divided by the block's sets in rows.
 
 A text with fewer than n words is its whole sequence as one n-gram. Null texts and those without words have empty sets
 and no links. Repeated rows are members of one class. Rows with a null id take part and come out with the component of
@@ -43,10 +49,12 @@ from twinframe.session import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Elements of a block of sets; a group of verification has two.
-BLOCK = 16_384
-#: For the cost only: the chance that two unrelated sets of like size agree on one element, and the cost of a false candidate in signatures.
-SHARED, CANDIDATE = 0.25, 4.0
+#: Parts of a sketch, a power of two.
+PARTS = 512
+#: Elements of a block of sets, and sketches of a block; a group of verification has two blocks.
+BLOCK, SKETCHES = 16_384, 256
+#: For the cost only: the chance that one element of a set is a given element of another.
+SHARED = 1e-3
 #: Signatures that a task combines at a time.
 FLUSH = 2_000_000
 #: Text hashes (8 bytes each) that may be broadcast to pick the texts of candidates; beyond it Spark shuffles.
@@ -55,10 +63,11 @@ _FIRST, _SECOND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 class Scheme(NamedTuple):
-    """Segments of a band and how many of them, the first ones, have allowance 2."""
+    """Segments of a band, how many of them, the first ones, have allowance 2, and by how much the allowances exceed H + 1."""
 
     segments: int
     double: int
+    spare: int = 0
 
 
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -92,6 +101,12 @@ def digest(items: np.ndarray) -> tuple[int, int]:
     return int(halves[0].view(np.int64)[0]), int(halves[1].view(np.int64)[0])
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """How many elements fall into each of ``PARTS`` parts of the universe, 255 at most: these differ by no more than the sets do."""
+    part = (items & np.uint64(PARTS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 def bounds_up_to(largest: int, percent: int) -> list[int]:
     """Smallest sizes of the bands: a partner of a set in band b is in b - 1, b or b + 1."""
     bounds = [1]
@@ -113,14 +128,22 @@ def allocate(bounds: list[int], counts: dict[int, int], percent: int) -> list[Sc
         apart, size = most_apart(bounds, band, percent), bounds[band + 1] - 1
         near = counts.get(band, 0) + counts.get(band + 1, 0)
 
-        def cost(double: int, apart: int = apart, size: int = size, near: int = near) -> float:
-            segments = apart + 1 - double
+        def cost(choice: tuple[int, int], apart: int = apart, size: int = size, near: int = near) -> float:
+            double, spare = choice
+            segments = apart + 1 - double + spare
             each = size / segments
-            chance = SHARED**each
-            return segments + double * each + CANDIDATE * near * (segments * chance + double * each * each * SHARED ** (each - 1))
-
-        double = min(range((apart + 1) // 2 + 1), key=cost)
-        schemes.append(Scheme(apart + 1 - double, double))
+            empty = math.exp(-each)
+            mean = (segments - double) * empty
+            # More empty segments than spare ones, on both sides; equal single elements; at most one element on both sides.
+            few = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(spare + 1)] if mean else [1.0]
+            beyond = max(0.0, 1 - sum(few))
+            chance = beyond**2 + (segments - double) * SHARED * (each * empty) ** 2 + double * ((1 + each) * empty) ** 2
+            return segments + double * each + near * chance
+
+        doubles = sorted({(apart + 1) // 2 * k // 16 for k in range(17)})
+        spares = sorted({0, 1, 2, 3, *(apart * k // 32 for k in range(1, 13))})
+        double, spare = min(((d, s) for d in doubles for s in spares), key=cost)
+        schemes.append(Scheme(apart + 1 - double + spare, double, spare))
     return schemes
 
 
@@ -134,7 +157,10 @@ def signatures(items: np.ndarray, band: int, scheme: Scheme) -> np.ndarray:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
         sums = total[edges[1:]] - total[edges[:-1]]
         salt = mix((np.arange(scheme.segments, dtype=np.uint64) + np.uint64(1)) * _FIRST + np.uint64(band))
-        out = [mix(sums + salt)]
+        filled = edges[1:] > edges[:-1]
+        empty = np.count_nonzero(~filled[scheme.double :])
+        filled[: scheme.double] = True
+        out = [mix(sums + salt)[filled | (empty > scheme.spare)]]
         if scheme.double:
             stop = edges[scheme.double]
             out.append(mix(sums[place[:stop]] - mixed[:stop] + salt[place[:stop]]))
@@ -142,20 +168,22 @@ def signatures(items: np.ndarray, band: int, scheme: Scheme) -> np.ndarray:
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
-    """(id, text hash, size, digest) per row."""
+    """(id, text hash, size, digest, sketch) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, a, b = [], [], []
+            size, a, b, sketches = [], [], [], []
             for _, _, data, offsets in text_slices(batch.column("text")):
                 for items in ngram_sets(data, offsets, n):
                     size.append(len(items))
                     d = digest(items)
                     a.append(d[0])
                     b.append(d[1])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["id", "t", "n", "a", "b"])
+                    sketches.append(sketch(items))
+            numbers = [pa.array(x, pa.int64()) for x in (size, a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *numbers, pa.array(sketches, pa.binary())], ["id", "t", "n", "a", "b", "sketch"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, t bigint, n bigint, a bigint, b bigint")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, t bigint, n bigint, a bigint, b bigint, sketch binary")
 
 
 def combined(signs: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,8 +269,8 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "a bigint, b bigint, n bigint, items array<bigint>")
 
 
-def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the sets at ``left`` reach the threshold with which at ``right``, as two lists of places."""
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets at ``left`` (rows) reach the threshold with which at ``right`` (columns)."""
     size = np.array([len(x) for x in sets])
     codes, flat = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -265,50 +293,118 @@ def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
             halves.append(m)
         both += halves[0] @ halves[1].T
     union = size[left][:, None] + size[right][None] - both
-    return np.nonzero(100 * both >= percent * union)
+    return 100 * both >= percent * union
+
+
+def perhaps_linked(sketches: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """The same by sketches: false only where the sets cannot reach the threshold. Small sets need fewer parts, so some are added up."""
+    parts = min(PARTS, max(64, 1 << int(size.max() // 16).bit_length()))
+    folded_up = np.stack(sketches).astype(np.int32).reshape(len(sketches), -1, parts).sum(axis=1)
+    x, y = folded_up[left], folded_up[right]
+    apart = np.zeros((len(left), len(right)), np.int32)
+    for k in range(parts):
+        apart += np.abs(x[:, k][:, None] - y[:, k][None])
+    total = size[left][:, None] + size[right][None]
+    return 100 * (total - apart) >= percent * (total + apart)
+
+
+def roots(near: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the smallest one connected to it by the pairs of ``left`` and ``right`` that are near."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        label[left] = np.minimum(label[left], np.where(near, label[right][None], n).min(axis=1))
+        label[right] = np.minimum(label[right], np.where(near, label[left][:, None], n).min(axis=0))
+        if np.array_equal(before, label):
+            return label
+
+
+def _pieces(sets: DataFrame) -> DataFrame:
+    """A cluster cut by size: piece b has the sets of band b, and those of band b + 1 as ``upper`` ones, which are compared with the others only."""
+    twice = sets.select("*", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("piece")).where("piece >= 0")
+    return twice.withColumn("upper", F.col("piece") < F.col("band")).withColumn("cluster", F.concat_ws(":", "cluster", "piece"))
+
+
+def _dealt(sets: DataFrame, payload: str) -> DataFrame:
+    """Sets (cluster, node, n, upper, blocks, payload) dealt by hash into the blocks of their cluster, and a copy to each pair (i, j) that their block is in, these standing together."""
+    placed = sets.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = placed.select("cluster", "node", "n", "upper", "block", payload, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "n", "upper", "block", F.col(payload).alias("payload"))
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list, np.ndarray]]:
+    """(nodes, sizes, left, right, payloads, which pairs to compare) of each pair of blocks in a sorted partition."""
+
+    def group(rows: list, i: int, j: int):
+        blocks = np.array([r[2] for r in rows])
+        left, right, upper = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j), np.array([r[4] for r in rows])
+        asked = ~(upper[left][:, None] & upper[right][None])
+        if i == j:
+            np.fill_diagonal(asked, False)
+        return [r[0] for r in rows], np.array([r[1] for r in rows]), left, right, [r[3] for r in rows], asked
+
+    key, rows = None, []
+    for batch in batches:
+        names = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "n", "block", "upper")]
+        payload = batch.column("payload")
+        # Copies, so that a batch is not held for the few of its rows that wait for the next one.
+        if pa.types.is_list(payload.type):
+            values, ends = np.asarray(payload.values).view(np.uint64), np.asarray(payload.offsets)
+            own = [values[ends[k] : ends[k + 1]].copy() for k in range(len(payload))]
+        else:
+            own = [np.frombuffer(x, np.uint8) for x in payload.to_pylist()]
+        for cluster, i, j, node, n, block, upper, data in zip(*names, own, strict=True):
+            if (cluster, i, j) != key:
+                if len(rows) > 1:
+                    yield group(rows, *key[1:])
+                key, rows = (cluster, i, j), []
+            rows.append((node, n, block, data, upper))
+    if len(rows) > 1:
+        yield group(rows, *key[1:])
+
+
+def _tied_by_sketch(dealt: DataFrame, percent: int) -> DataFrame:
+    """Ties (a, b) that connect the sets whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, size, left, right, sketches, asked in _groups(batches):
+            if asked.any():
+                root = roots(perhaps_linked(sketches, size, left, right, percent) & asked, left, right, len(nodes))
+                tied = np.flatnonzero(root != np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in tied], pa.string()), pa.array([nodes[root[k]] for k in tied], pa.string())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a string, b string").distinct()
 
 
 def _verified(dealt: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) from rows (cluster, i, j, node, block, items) that stand together by cluster, i and j."""
-
-    def links(rows: list) -> tuple[list[str], list[str]]:
-        nodes, blocks, i, j = [r[0] for r in rows], np.array([r[1] for r in rows]), rows[0][2], rows[0][3]
-        left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
-        if not len(left) or not len(right) or len(rows) < 2:
-            return [], []
-        x, y = links_between([r[4] for r in rows], left, right, percent)
-        x, y = left[x], right[y]
-        apart = x < y if i == j else x != y
-        return [nodes[k] for k in x[apart]], [nodes[k] for k in y[apart]]
+    """Rows (a, b, n_links): ties that connect linked sets, and, where b is null, how many links a set has in a pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-        for batch in batches:
-            a, b = [], []
-            lists = batch.column("items")
-            values, ends = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "block")), strict=True))
-            for k, (cluster, i, j, node, block) in enumerate(keys):
-                if (cluster, i, j) != group:
-                    if rows:
-                        found = links(rows)
-                        a += found[0]
-                        b += found[1]
-                    group, rows = (cluster, i, j), []
-                rows.append((node, block, i, j, np.array(values[ends[k] : ends[k + 1]])))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
-        if rows:
-            found = links(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string())], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a string, b string")
+        for nodes, _, left, right, sets, asked in _groups(batches):
+            if not asked.any():
+                continue
+            near = linked(sets, left, right, percent) & asked
+            root = roots(near, left, right, len(nodes))
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            links = np.zeros(len(nodes), np.int64)
+            links[left] += near.sum(axis=1)
+            if left[0] != right[0]:
+                links[right] += near.sum(axis=0)
+            some = np.flatnonzero(links)
+            a = [nodes[k] for k in tied] + [nodes[k] for k in some]
+            b = [nodes[root[k]] for k in tied] + [None] * len(some)
+            n = [0] * len(tied) + links[some].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], ["a", "b", "n_links"])
+
+    return dealt.mapInArrow(run, "a string, b string, n_links bigint")
 
 
 def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): per row its ``id``, text hash ``t``, set size ``n`` and class ``node`` (null if the set is empty); per linked pair of classes both, as ``a`` and ``b``."""
+    """(members, links): per row its ``id``, text hash ``t``, set size ``n`` and class ``node`` (null if the set is empty); and the rows of ``_verified``."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(text_col).alias("t"))
     members = stored(_members(rows, n), "members")
-    classes = members.where("n > 0").groupBy("a", "b", "n").agg(F.min("t").alias("t"))
+    classes = members.where("n > 0").select("a", "b", "n").distinct()
     bounds = bounds_up_to(members.agg(F.max("n")).first()[0] or 0, percent)
     band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("n"))) - 1
     counts = {r.band: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
@@ -316,19 +412,24 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     ties = _ties(_signed(rows, n, bounds, schemes))
     clusters = components(ties).select(F.col("node").alias("a"), F.col("label").alias("cluster"))
-
-    near = stored(classes.join(clusters, "a"), "near")
-    blocks = near.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("sets")).where("sets > 1")
-    wanted = near.select("t").distinct()
-    if near.count() <= BROADCAST_ROWS:
+    kinds = members.where("n > 0").join(clusters, "a").groupBy("cluster", "a", "b", "n")
+    near = stored(kinds.agg(F.min("t").alias("t"), F.first("sketch").alias("sketch")).withColumns({"node": _node(), "band": band}), "near")
+    pieces = _pieces(near)
+    blocks = F.ceil(F.count("*") / SKETCHES).cast("int").alias("blocks")
+    coarse = pieces.groupBy("cluster").agg(blocks, F.count("*").alias("sets"), F.count_if(~F.col("upper")).alias("own")).where("sets > 1 AND own > 0")
+    sketched = pieces.join(coarse, "cluster").select("cluster", "node", "n", "upper", "blocks", "sketch")
+    fine = components(_tied_by_sketch(_dealt(sketched, "sketch"), percent)).select("node", F.col("label").alias("cluster"))
+
+    left = stored(near.drop("cluster", "sketch").join(fine, "node"), "candidates")
+    pieces = _pieces(left)
+    blocks = pieces.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("sets"), F.count_if(~F.col("upper")).alias("own")).where("sets > 1 AND own > 0")
+    wanted = left.select("t").distinct()
+    if left.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = _sets(rows.join(wanted, "t", "left_semi"), n).dropDuplicates(["a", "b"])
-    placed = sets.join(near.select("a", "b", "cluster"), ["a", "b"]).join(blocks, "cluster").select("cluster", _node().alias("node"), "items", "blocks")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = placed.select("cluster", "node", "block", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "items")
-    grouped = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return members.select("id", "t", "n", F.when(F.col("n") > 0, _node()).alias("node")), stored(_verified(grouped, percent), "links")
+    sets = _sets(rows.join(wanted, "t", "left_semi"), n).withColumn("node", _node()).dropDuplicates(["node"])
+    placed = sets.join(pieces.join(blocks, "cluster").select("node", "cluster", "upper", "blocks"), "node").select("cluster", "node", "n", "upper", "blocks", "items")
+    links = stored(_verified(_dealt(placed, "items"), percent), "links")
+    return members.select("id", "t", "n", F.when(F.col("n") > 0, _node()).alias("node")), links
 
 
 def _node():
@@ -338,8 +439,8 @@ def _node():
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id``, ``n`` (set size), ``n_links`` (links of its class) and ``component`` (smallest id reachable by links, its own included)."""
     members, links = jaccard_links(docs, n, percent, id_col, text_col)
-    labels = components(links)
-    degrees = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    labels = components(links.where("b IS NOT NULL").select("a", "b"))
+    degrees = links.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("n_links"))
     linked = labels.join(degrees, "node")
     classes = members.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
     labelled = classes.join(linked, "node", "left").where("rows > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node"))
@@ -352,7 +453,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id (null comes last), then text hash; with its columns. Texts without words stay."""
     members, links = jaccard_links(docs, n, percent, id_col, text_col)
-    labels = components(links).select("node", "label")
+    labels = components(links.where("b IS NOT NULL").select("a", "b"))
     rows = members.where("node IS NOT NULL").join(labels, "node", "left").select("id", "t", F.coalesce("label", "node").alias("label"))
     rows = stored(rows, "labels").withColumn("order", F.struct(F.col("id").isNull(), "id", "t"))
     groups = rows.groupBy("label").agg(F.min("order").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("label", "first")
