@@ -81,3 +81,46 @@ def test_query(spark):
         assert (r.first_word, r.last_word) == ((base[0][0], base[-1][0]) if base else (None, None))
         assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not base
         assert 0 <= r.score <= 1
+
+
+def nearest(text: str, phrase: str) -> list[tuple[int, int]]:
+    """(first word, errors) of all matches in one text, by edit distances of all runs of words."""
+    w, fixed = words(text), re.search("[0-9]*$", phrase).group()
+    loose, spans = phrase[: len(phrase) - len(fixed)], []
+    for i in range(len(w)):
+        for j in range(i + 1, len(w) + 1):
+            run = " ".join(w[i:j])
+            if abs(len(run) - len(phrase)) <= licenses.allowed(phrase) and run.endswith(fixed):
+                d = edits(loose, run[: len(run) - len(fixed)])
+                if d <= licenses.allowed(phrase):
+                    spans.append((d, i, j))
+    kept = []
+    for d, i, j in sorted(spans):
+        if all(j <= a or i >= b for _, a, b in kept):
+            kept.append((d, i, j))
+    return sorted((i, d) for d, i, _ in kept)
+
+
+def test_better_notices_nearby_hide_none(frame):
+    found = scanned(frame, ["foo relesed under the bsd license", "bar baz released under the bsd license", "relesed under the bsd license released under the bsd license relased under the bsd licence"])
+    assert [[(s.first_word, s.label, s.errors) for s in found[i].spans] for i in range(3)] == [[(1, "bsd", 1)], [(2, "bsd", 0)], [(0, "bsd", 1), (5, "bsd", 0), (10, "bsd", 2)]]
+
+
+@pytest.mark.parametrize("phrase", list(licenses.BASE) + list(licenses.OWN))
+def test_neighbours_against_all_runs(frame, phrase):
+    rng, texts = random.Random(phrase), []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            changed = list(phrase)
+            for _ in range(rng.randrange(licenses.allowed(phrase) + 2)):
+                at = rng.randrange(len(changed))
+                changed[at : at + 1] = rng.choice([[], ["q"], ["q", changed[at]], [" "]])
+            parts.append("".join(changed) + rng.choice(["", " w", " " + phrase.split()[-1]]))
+        texts.append(" ".join(parts))
+    found = scanned(frame, texts)
+    label = {**licenses.OWN, **licenses.BASE}[phrase]
+    others = [p for p, x in [*licenses.BASE.items(), *licenses.OWN.items()] if x == label]
+    for i, t in enumerate(texts):
+        wanted = sorted(x for p in others for x in nearest(t, p))
+        assert sorted((s.first_word, s.errors) for s in found[i].spans if s.label == label) == wanted, t

@@ -3,7 +3,8 @@
 A text is its words (runs of letters, digits and non-ASCII characters, A-Z in lower case) with one blank between. A notice
 of length L may differ in L // 10 characters. It is cut into one piece more than that: by the pigeonhole principle a match
 holds at least one piece unchanged, so pieces are sought exactly, by substring search over many texts at once, and
-around each place found the ``regex`` library matches the notice with bounded errors. A match begins and ends at word
+at each word from which a match could hold the piece found the ``regex`` library matches the notice with bounded errors,
+never beyond the text of that word. A match begins and ends at word
 boundaries, and digits at the end of a notice must agree, so that versions are not confused.
 
 Exact places of the base phrases are all reported, overlapping ones too; of inexact matches of one notice that overlap,
@@ -14,7 +15,9 @@ alike, extra columns stay, an empty table gives an empty table.
 from __future__ import annotations
 
 import sys
+from bisect import bisect
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +72,45 @@ def pattern(phrase: str):
     return regex.compile(f"(?<![^ \\n])(?=[^ \\n])(?:{body}{fixed})(?<=[^ \\n])(?![^ \\n])".encode(), regex.BESTMATCH)
 
 
+def match(plain: bytes, phrase: str, start: int, stop: int) -> tuple[int, int, int] | None:
+    """(errors, start, end) of the best match that begins at ``start`` and ends before ``stop`` and the end of its line."""
+    stop = min(stop, start + len(phrase) + allowed(phrase) + 1)
+    line = plain.find(b"\n", start, stop)
+    m = pattern(phrase).match(plain, start, stop if line < 0 else line)
+    return m and (sum(m.fuzzy_counts), start, m.end())
+
+
+def inexact(plain: bytes, phrase: str) -> list[tuple[int, int, int]]:
+    """(start, end, errors) of the matches of one phrase: of those that overlap the one with fewest errors, then the first."""
+    # A match holds a piece unchanged, at most the allowed errors away from the piece's place in the phrase.
+    starts, errors, offset = set(), allowed(phrase), 0
+    for piece in pieces(phrase):
+        at = plain.find(piece)
+        while at >= 0:
+            for start in range(max(0, at - offset - errors), min(at, at - offset + errors) + 1):
+                if plain[start] not in b" \n" and (not start or plain[start - 1] in b" \n"):
+                    starts.add(start)
+            at = plain.find(piece, at + 1)
+        offset += len(piece)
+    best = [m for start in starts if (m := match(plain, phrase, start, len(plain)))]
+    heapify(best)
+    begun, ended, counts = [], [], {}
+    while best:
+        e, start, end = heappop(best)
+        k = bisect(begun, start)
+        if k and ended[k - 1] > start:
+            continue
+        if k < len(begun) and begun[k] < end:
+            # What is left of the better match may still hold a shorter one.
+            if m := match(plain, phrase, start, begun[k]):
+                heappush(best, m)
+            continue
+        begun.insert(k, start)
+        ended.insert(k, end)
+        counts[start] = e
+    return [(a, b, counts[a]) for a, b in zip(begun, ended, strict=True)]
+
+
 def search(plain: bytes) -> list[tuple[int, int, str, bool, int, float]]:
     """(start, end, label, is base, errors, score) in texts of single blanks between words, one text per line."""
     found = []
@@ -80,26 +122,7 @@ def search(plain: bytes) -> list[tuple[int, int, str, bool, int, float]]:
                 found.append((at, end, label, True, 0, 1.0))
             at = plain.find(phrase.encode(), at + 1)
     for phrase, label in [*BASE.items(), *OWN.items()]:
-        near, size = [], len(phrase) + allowed(phrase)
-        for piece in set(pieces(phrase)):
-            at = plain.find(piece)
-            while at >= 0:
-                near.append(at)
-                at = plain.find(piece, at + 1)
-        done = -1
-        spans: dict[tuple[int, int], int] = {}
-        for at in sorted(near):
-            low, high = max(0, at - size), min(len(plain), at + len(phrase) + size)
-            if high <= done:
-                continue
-            # Neighbouring places are searched together up to here; the next window starts where this one may have cut a match.
-            for m in pattern(phrase).finditer(plain, low, high):
-                spans[m.span()] = sum(m.fuzzy_counts)
-            done = at + len(phrase)
-        kept: list[tuple[int, int, int]] = []
-        for (a, b), errors in sorted(spans.items(), key=lambda x: (x[1], x[0])):
-            if all(b <= x or a >= y for x, y, _ in kept):
-                kept.append((a, b, errors))
+        kept = inexact(plain, phrase)
         found += [(a, b, label, False, e, 1 - e / len(phrase)) for a, b, e in kept if e or phrase not in BASE]
     return found
 
