@@ -72,3 +72,31 @@ def test_odd_pages_end_in_time(frame):
     pages = frame("page_id bigint, html string, text string, n_chars string", (1, None, "", ""), (1, "", "", ""), (2, "<p>a</p>", "", ""), (2, "<p>a</p>", "", ""))
     assert sorted(r.t for r in pages.select(html.extract("html", {}).alias("t")).collect()) == ["", "", "a", "a"]
     assert pages.limit(0).select(html.extract("html", {})).count() == 0
+
+
+@pytest.mark.parametrize("words", ["layout has-sidebar", "with_sidebar", "no-comments", "page-header", "layout--sidebar", "search"])
+def test_wrappers_around_the_page_stay(words):
+    body = "<p>one two three four</p><p>five six</p>"
+    for page in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div role=main>{body}</div>", body):
+        assert html.main_text(f"<body><div class='{words}'><nav>menu</nav>{page}<footer>no</footer></div></body>", {}) == "one two three four\nfive six"
+    assert html.pieces(f"<div class='{words}'><article>{body}</article></div>")[1] == 1
+    assert html.main_text(f"<form id=page><main>{body}</main></form>", {}) == "one two three four\nfive six"
+
+
+def test_asides_beside_marked_content_still_go():
+    page = "<article><p>one two three</p></article><div class='comments'><article><p>first comment here</p></article></div><div hidden><main>no</main></div>"
+    assert html.main_text(page, {}) == "one two three"
+    assert html.main_text("<div class='related'><main><p>a b</p></main></div><article>c</article>", {}) == "a b\nc"
+
+
+def test_one_inline_tag_does_not_cut_a_text():
+    words = "word " * 40
+    page = f"<div><i>go</i> <i>home</i> now</div><p>{words}</p><p>{words}<i>x</i> {words}</p><p>{words}</p>"
+    costs = html.learn({("i", False): 500, ("/i", False): 500, ("p", True): 900, ("/p", True): 900, ("div", True): 5, ("div", False): 400, ("/div", False): 400, ("/div", True): 5}, 300)
+    assert html.main_text(page, costs) == "\n".join([words.strip(), f"{words}x {words.strip()}", words.strip()])
+
+
+def test_fit_counts_wrapped_pages(frame):
+    page = "<div class='layout search'><div class='x'>short teaser <i>link</i></div><article><p>one two three four</p></article></div>"
+    costs = html.fit(frame("page_id bigint, html string", *[(i, page) for i in range(30)]))
+    assert costs["i"] > costs["p"]

@@ -1,9 +1,12 @@
 """Main text of HTML pages by the maximum-scoring run of tokens.
 
 A page is tags and words. Comments, the head, and whole elements that never are main text (menus, footers, asides, forms,
-scripts, styles and the like, or with such a word in their class, id or role) are left out. In what remains every word
-scores +1 and every tag a negative weight; one linear scan finds the run with the largest sum, and its words, in blocks,
-are the text.
+scripts, styles and the like, or with such a word in their class, id or role) are left out. An element around marked
+content stays: around a main element always, around an article if no marked content is left elsewhere; modifiers (has-,
+with-, no-, block--modifier) are no such words; and if what remains has fewer than one in ``WRAPPED`` of the words left out
+for their class, id or role only, these are scored like the rest. In what remains every word scores +1 and every tag a
+negative weight; inline tags cost ``INLINE`` words at most, and together, spread over the words of their block, no more
+than two for each. One linear scan finds the run with the largest sum, and its words, in blocks, are the text.
 
 Weights of tags come from labelled pages: those that mark their content by one <article>, <main> or role=main. A tag
 (with its class, where the pages know it) costs ``TAG`` and the more the rarer it is inside the marked content; one seen
@@ -21,7 +24,7 @@ from __future__ import annotations
 import html as references
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from math import log2
 
 import pyarrow as pa
@@ -34,6 +37,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_ROWS = 1000
 TAG, UNKNOWN = 0.05, 0.1
+#: The most words that one inline tag costs.
+INLINE = 5.0
+WRAPPED = 20
 
 #: Inside a tag: quoted values, which may hold a ">", and the rest. What is never closed reaches to the end of the page.
 _INSIDE = r"""((?>=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|=|[^>=]+)*+)(?:>|\Z)"""
@@ -45,6 +51,8 @@ APART = frozenset("head nav footer aside form button select option dialog menu o
 BLOCKS = frozenset("address article blockquote body center caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Words in class, id or role that mark such elements.
 ASIDE = regex.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|respond|disqus|cookies?|consent|copyright|footer|header|masthead|menu|menus|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|recommend\w*|related|share|sharing|sidebar|side|social|sponsor\w*|subscribe|toolbar|widget|contentinfo|complementary|search|login|signup)(?:$|[\s_-])", regex.I)
+#: Classes that say what is beside an element or how it is laid out.
+MODIFIER = regex.compile(r"(?<!\S)(?:has|have|with|without|no|not|hide|show)[_-]\S*|--\S*", regex.I)
 #: A new paragraph or item ends an open one.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MARKS, FRAME = ("article", "main"), ("html", "body")
@@ -65,23 +73,43 @@ def attributes(raw: str) -> dict[str, str]:
 
 def pieces(page: str) -> tuple[list[Piece], int]:
     """What remains of a page in order, and how many elements mark content."""
+    out, marks, around, doubted = walk(page)
+    spared = around["main"] or (not marks and around["article"])
+    if spared:
+        out, marks, _, doubted = walk(page, spared)
+    if doubted and sum(len(p.text.split()) for p in out if p.tag is None) * WRAPPED < doubted:
+        out, marks, _, _ = walk(page, spared or set(), True)
+    return out, marks
+
+
+def walk(page: str, spared: Collection[int] = (), lenient: bool = False) -> tuple[list[Piece], int, dict[str, set[int]], int]:
+    """What remains and how many elements mark content; the places of left-out elements around marks that are left out with
+    them, by kind of mark; and the words left out for a class, id or role only. Elements at ``spared`` stay, ``lenient`` those with such words."""
     out: list[Piece] = []
     stack: list[tuple[str, str, bool, bool]] = []  # name, feature, left out, marks content
     opened: Counter = Counter()
-    apart = marks = depth = at = 0
+    apart = marks = depth = at = doubted = 0
+    outs: list[tuple[int, str]] = []  # place of each open element that is left out, and why: word, name, hidden
+    whys: Counter = Counter()
+    around: dict[str, set[int]] = {"main": set(), "article": set()}
 
     def pop() -> None:
         nonlocal apart, depth
         name, feature, left_out, marked = stack.pop()
         opened[name] -= 1
         apart -= left_out
+        if left_out:
+            whys[outs.pop()[1]] -= 1
         if not apart and not left_out:
             out.append(Piece("" if marked or name in FRAME else f"/{feature}", "", name in BLOCKS, depth > 0))
         depth -= marked
 
     def text(upto: int) -> None:
+        nonlocal doubted
         if upto > at and not apart:
             out.append(Piece(None, references.unescape(page[at:upto]), False, depth > 0))
+        elif upto > at and whys["word"] == apart:
+            doubted += len(page[at:upto].split())
 
     for m in TOKEN.finditer(page):
         text(m.start())
@@ -118,7 +146,10 @@ def pieces(page: str) -> tuple[list[Piece], int]:
         marked = name in MARKS or role == "main"
         words = " ".join((known.get("class", ""), known.get("id", ""), role))
         hidden = "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "")
-        left_out = bool(name in APART or (name == "header" and not depth) or hidden or (not marked and name not in ("html", "body") and ASIDE.search(words)))
+        why = "hidden" if hidden or name == "head" else "name" if name in APART or (name == "header" and not depth) else ""
+        if not why and not lenient and not marked and name not in FRAME and ASIDE.search(words) and ASIDE.search(MODIFIER.sub("", words)):
+            why = "word"
+        left_out = bool(why) and (why == "hidden" or m.start() not in spared)
         feature = f"{name}.{known['class'].split()[0]}" if known.get("class", "").split() else name
         if m[5].rstrip().endswith("/") and name not in BLOCKS:
             continue
@@ -126,11 +157,42 @@ def pieces(page: str) -> tuple[list[Piece], int]:
         opened[name] += 1
         depth += marked
         marks += marked and not apart and not left_out
+        if marked and apart and not left_out and not whys["hidden"]:
+            kind = around["article" if name == "article" and role != "main" else "main"]
+            for place, _ in reversed(outs):
+                if place in kind:
+                    break
+                kind.add(place)
+        if left_out:
+            outs.append((m.start(), why))
+            whys[why] += 1
         apart += left_out
         if not apart:
             out.append(Piece("" if marked or name in FRAME else feature, "", name in BLOCKS, depth > 0))
     text(len(page))
-    return out, marks
+    return out, marks, around, doubted
+
+
+def scores(kept: list[Piece], weights: dict[str, float]) -> list[float]:
+    """What each piece adds to a run; inline tags lower the words of their block."""
+    out, first, words, cost = [], 0, 0, 0.0
+    for k, piece in enumerate([*kept, None]):
+        if piece is None or piece.block:
+            if cost and words:
+                share = max(-1.0, 1 - cost / words)
+                out[first:] = [x * share for x in out[first:]]
+            words, cost = 0, 0.0
+        if piece is None:
+            break
+        charge = weights.get(piece.tag, weights.get(piece.tag.split(".")[0], UNKNOWN)) if piece.tag else 0.0
+        if piece.block:
+            out.append(-charge)
+            first = k + 1
+        else:
+            out.append(float(len(piece.text.split())) if piece.tag is None else 0.0)
+            words += int(out[-1])
+            cost += min(charge, INLINE)
+    return out
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
@@ -138,14 +200,10 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     kept, _ = pieces(page)
     best = total = 0.0
     start, span = 0, None
-    for k, piece in enumerate(kept):
-        if piece.tag is None:
-            total += len(piece.text.split())
-            if total > best or (span and total == best and start == span[0]):
-                best, span = total, (start, k + 1)
-        elif piece.tag:
-            name = piece.tag.split(".")[0]
-            total -= weights.get(piece.tag, weights.get(name, UNKNOWN))
+    for k, (piece, score) in enumerate(zip(kept, scores(kept, weights), strict=True)):
+        total += score
+        if piece.tag is None and (total > best or (span and total == best and start == span[0])):
+            best, span = total, (start, k + 1)
         if total <= 0:
             total, start = 0.0, k + 1
     if span is None:
