@@ -1,0 +1,87 @@
+from __future__ import annotations
+
+import numpy as np
+
+from twinframe.llm import language
+from twinframe.llm.queries import op9_language, remainder
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_windows_of_a_long_text_are_bounded_and_spread():
+    data = np.frombuffer(b"a" * 128 * 500 + b"z" * 128 * 500 + b"short", np.uint8)
+    row, x = language.windows(data, np.array([0, 128_000, 128_005]), language.DOC_WINDOWS)
+    assert np.bincount(row).tolist() == [language.DOC_WINDOWS, 1]
+    assert {bytes(w[:1]) for w in x[row == 0]} == {b"a", b"z"}
+    assert abs(int((x[row == 0][:, 0] == ord("a")).sum()) - language.DOC_WINDOWS // 2) <= 1
+    every, whole = language.windows(data, np.array([0, 128_000, 128_005]))
+    assert np.bincount(every).tolist() == [1000, 1]
+    assert bytes(whole[-1][:5]) == b"short"
+
+
+def test_rare_languages_keep_their_windows():
+    code = np.array([0] * 100_000 + [1] * 40 + [2] * 9000)
+    kept = language.balanced(code, 12_000)
+    assert np.bincount(code[kept]).tolist() == [5980, 40, 5980]
+    assert len(set(kept.tolist())) == 12_000
+    assert sorted(language.balanced(code[99_990:], 12_000).tolist()) == list(range(9050))
+
+
+def test_long_documents_do_not_crowd_out_others(frame):
+    docs = frame("doc_id bigint, text string, lang string", (0, "the of and with that " * 400_000, "en"), *[(i, f"der die und nicht {i}", "de") for i in range(1, 60)])
+    names, model = language.fit(docs)
+    assert names == ["de", "en"]
+    found = docs.select("doc_id", "lang", language.predict("text", (names, model)).alias("x")).collect()
+    assert all(r.lang == r.x.lang for r in found)
+
+
+def plain_chances(p: dict, x: np.ndarray) -> np.ndarray:
+    """Convolutions by multiplying, position by position."""
+    out = []
+    for b in x:
+        pooled = []
+        for w in language.WIDTHS:
+            seen = np.array([np.concatenate([p["e"][b[at + k]] for k in range(w)]) for at in range(language.WINDOW)])
+            pooled.append((seen @ p[f"w{w}"] + p[f"b{w}"]).max(axis=0))
+        z = np.maximum(np.concatenate(pooled), 0) @ p["out"] + p["c"]
+        out.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    return np.array(out)
+
+
+def test_lookups_are_the_convolution(frame):
+    docs = frame("doc_id bigint, text string, lang string", *[(i, ("the of and " if i % 2 else "der die \u00fcber ") * 20 + str(i), "en" if i % 2 else "de") for i in range(40)])
+    _, p = language.fit(docs)
+    data = np.frombuffer("the \u00fcber and die of der ".encode() * 30, np.uint8)
+    _, x = language.windows(data, np.array([0, len(data)]))
+    assert np.allclose(language.chances(p, language.lookups(p), x), plain_chances(p, x), atol=1e-4)
+
+
+def test_edge_rows(frame):
+    docs = frame("doc_id bigint, text string, lang string, n string", *[(i, "the of and " * 9 if i % 2 else "der die und " * 9, "en" if i % 2 else "de", "x") for i in range(40)], (90, None, "en", ""), (91, "", "de", ""), (92, "12 ...", None, ""), (None, "the of and", "en", ""), (1, "the of and " * 9, "en", "x"))
+    model = language.fit(docs)
+    rows = docs.withColumn("x", language.predict("text", model)).collect()
+    for r in rows:
+        if r.doc_id in (90, 91, 92):
+            assert (r.x.lang, r.x.score) == ("und", 0.0)
+    assert len({(r.x.lang, r.x.score) for r in rows if r.doc_id == 1}) == 1
+    assert language.fit(docs.limit(0))[0] == language.fit(docs.where("lang IS NULL"))[0] == []
+    assert {r.x.lang for r in docs.select(language.predict("text", ([], {})).alias("x")).collect()} == {"und"}
+    assert docs.limit(0).select(language.predict("text", model)).count() == 0
+
+
+def test_query_on_held_out_rows(spark):
+    rows = op9_language(spark, SF).collect()
+    langs = {r.doc_id: (r.lang, r.held) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", (remainder(3) == 1).alias("held")).collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(langs)
+    assert all(r.held_out == langs[r.doc_id][1] for r in rows)
+    held = [r.lang_pred == langs[r.doc_id][0] for r in rows if r.held_out and langs[r.doc_id][0]]
+    assert sum(held) >= 0.95 * len(held)
+
+
+def test_held_out_rows_are_not_used(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.withColumn("lang", F.when(remainder(3) == 1, "xx").otherwise(F.col("lang"))).write.parquet(str(tmp_path / "documents.parquet"))
+    found = lambda d: sorted((r.doc_id, r.lang_pred) for r in op9_language(spark, d).collect())
+    assert found(str(tmp_path)) == found("/root/testdata/sf0.001")

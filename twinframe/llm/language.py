@@ -5,7 +5,8 @@ window, filters of several widths slide over embedded bytes; their largest respo
 a text is the mean over all its windows. As the filters see two to four bytes only, their responses are looked up in
 tables of byte pairs made from the trained weights, which gives the same sums without multiplying again.
 
-The sample of labelled rows for training is bounded by ``sample_rows`` (taken by hash) and ``SAMPLE_WINDOWS`` windows;
+The sample of labelled rows for training is bounded by ``sample_rows`` (taken by hash), ``DOC_WINDOWS`` windows a document,
+spread over its text and cut in the tasks that read it, and ``SAMPLE_WINDOWS`` windows in all, shared evenly by the languages;
 prediction covers every row and whole texts. Null texts and texts without a letter are ``und`` with score 0, as is
 everything when no row has a language. Ties go to the language first in order. Extra columns stay as they are; repeated
 rows are answered alike; an empty table gives an empty table.
@@ -29,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW, WIDTHS, FILTERS, EMBEDDED = 128, (2, 3, 4), 8, 8
 REACH = max(WIDTHS) - 1
-SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 12_000
+SAMPLE_ROWS, DOC_WINDOWS, SAMPLE_WINDOWS = 3000, 64, 12_000
 EPOCHS, BATCH, RATE = 4, 64, 0.01
 #: Windows whose responses are in memory at once.
 STEP = 2048
@@ -42,12 +43,15 @@ def fold_table() -> np.ndarray:
     return out
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each window, bytes of each window and the next ``REACH``); past the end of a text there are blanks."""
+def windows(data: np.ndarray, offsets: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each window, bytes of each window and the next ``REACH``); past the end of a text there are blanks.
+    Of texts with more than ``most`` windows so many, spread over the text."""
     sizes = np.diff(offsets)
     counts = -(-sizes // WINDOW)
-    row = np.repeat(np.arange(len(sizes)), counts)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    taken = counts if most is None else np.minimum(counts, most)
+    row = np.repeat(np.arange(len(sizes)), taken)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
+    nth = nth * counts[row] // np.maximum(taken[row], 1)
     at = (offsets[:-1][row] + nth * WINDOW)[:, None] + np.arange(WINDOW + REACH)
     padded = np.append(fold_table()[data], np.uint8(32))
     return row, padded[np.where(at < offsets[1:][row][:, None], at, len(data))]
@@ -130,6 +134,17 @@ def chances(p: dict, tables: list[list[np.ndarray]], x: np.ndarray) -> np.ndarra
     return np.concatenate(out)
 
 
+def balanced(code: np.ndarray, most: int) -> np.ndarray:
+    """Places of at most ``most`` windows in random order, evenly many of each class; what a rare one leaves goes to the others."""
+    order = np.random.default_rng(3).permutation(len(code))
+    counts = np.bincount(code)
+    share = np.zeros(len(counts), np.int64)
+    for left, k in zip(range(len(counts), 0, -1), np.argsort(counts, kind="stable"), strict=True):
+        share[k] = min(counts[k], (most - share.sum()) // left)
+    kept = [order[code[order] == k][:n] for k, n in enumerate(share)]
+    return np.random.default_rng(5).permutation(np.concatenate(kept))
+
+
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], dict]:
     """(languages, weights) from labelled rows with doc_id, text and lang. Training runs in a task."""
     order = F.xxhash64(F.col("doc_id"), F.lit(29))
@@ -137,24 +152,32 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], dic
     sample = usable.select("doc_id").distinct().orderBy(order, "doc_id").limit(sample_rows)
     chosen = usable.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max(F.struct("lang", "text")).alias("x")).select("doc_id", "x.*")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = []
+            for first, last, data, offsets in text_slices(b.column("text")):
+                row, x = windows(data, offsets, DOC_WINDOWS)
+                bounds = np.searchsorted(row, np.arange(last - first + 1))
+                packed += [x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(packed, pa.binary())], ["doc_id", "lang", "windows"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, langs = [], []
         for b in batches:
-            lang = np.array(b.column("lang").to_pylist(), object)
-            for first, last, data, offsets in text_slices(b.column("text")):
-                row, x = windows(data, offsets)
-                xs.append(x)
-                langs.append(lang[first:last][row])
-        y = np.concatenate(langs) if langs else np.zeros(0, object)
-        names = sorted(set(y.tolist()))
+            for lang, packed in zip(b.column("lang").to_pylist(), b.column("windows").to_pylist(), strict=True):
+                xs.append(np.frombuffer(packed, np.uint8).reshape(-1, WINDOW + REACH))
+                langs += [lang] * len(xs[-1])
+        names = sorted(set(langs))
         p = {}
         if names:
-            x, code = np.concatenate(xs), np.searchsorted(np.array(names, str), y.astype(str))
-            kept = np.random.default_rng(3).permutation(len(x))[:SAMPLE_WINDOWS]
+            x, code = np.concatenate(xs), np.searchsorted(np.array(names, str), np.array(langs, str))
+            kept = balanced(code, SAMPLE_WINDOWS)
             p = train(x[kept], code[kept], len(names))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((names, p))], pa.binary())], ["model"])
 
-    learned = chosen.repartition(1).sortWithinPartitions(order, "doc_id").mapInArrow(learn, "model binary").collect()
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    found = chosen.mapInArrow(cut, f"doc_id {kind}, lang string, windows binary")
+    learned = found.repartition(1).sortWithinPartitions(order, "doc_id").mapInArrow(learn, "model binary").collect()
     return pickle.loads(learned[0].model) if learned else ([], {})
 
 
