@@ -4,6 +4,7 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinframe.llm import quality
 
@@ -54,3 +55,20 @@ def test_rules_that_reject_more_per_second_come_first(frame):
     assert [share / cost for _, share, cost in found] == sorted((share / cost for _, share, cost in found), reverse=True)
     assert found[0][0].name in ("few_words", "repeated_words")
     assert {r.name: share for r, share, _ in found}["few_words"] == pytest.approx(1.0)
+
+
+def test_copies_of_one_text_do_not_fill_the_sample(spark, monkeypatch):
+    rows, sizes, keep = 20_000, [], quality.stored
+    hot = spark.range(100).selectExpr("concat('hot text ', id) AS text").where(F.pmod(F.xxhash64("text"), F.lit(rows)) < quality.SAMPLE_ROWS).first().text
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, hot).otherwise(F.concat(F.lit("own "), "id")).alias("text"))
+
+    def counted(frame, name):
+        out = keep(frame, name)
+        sizes.append((out.count(), out.where(F.col("text") == hot).count()))
+        return out
+
+    monkeypatch.setattr(quality, "stored", counted)
+    quality.ordered(docs, quality.base_rules())
+    total, copies = sizes[0]
+    assert 0.85 * quality.SAMPLE_ROWS < total < 1.15 * quality.SAMPLE_ROWS
+    assert 0.2 < copies / total < 0.45

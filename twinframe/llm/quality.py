@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade: rules are ordered by rejections per cost, measured on a sample.
 
 ``measured`` adds the counts that rules look at, each an expression on the text. ``ordered`` runs every rule alone over a
-sample of about ``SAMPLE_ROWS`` rows (picked by hash of the text; that is the bound) and notes the share it rejects and
+sample of about ``SAMPLE_ROWS`` rows (each picked on its own, so that copies of one text do not come together) and notes the share it rejects and
 the time it takes beyond that of reading. ``cascade`` tries the rules in that order and stops at the first that rejects.
 The order decides how much is computed, never which rows are kept.
 
@@ -78,7 +78,7 @@ def ordered(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> list[
     rows = docs.count()
     if not rows:
         return [(r, 0.0, 0.0) for r in rules]
-    picked = docs.where(F.pmod(F.xxhash64(F.col(f"`{text_col}`")), F.lit(rows)) < SAMPLE_ROWS).select(F.col(f"`{text_col}`").alias("text"))
+    picked = docs.where(F.rand(31) * rows < SAMPLE_ROWS).select(F.col(f"`{text_col}`").alias("text"))
     sample = stored(picked, "sample")
     texts = measured(sample)
 
