@@ -1,0 +1,93 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from twinframe.llm import fingerprints
+from twinframe.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def digests(text: str | None) -> set[int]:
+    pieces = [p for p in re.findall(rf".{{1,{fingerprints.PIECE}}}", text or "") if p.strip(" \t\r\f\v")]
+    return {int.from_bytes(xxhash.xxh64_digest(p.encode(), 42), "big", signed=True) for p in pieces}
+
+
+def likeness(a: str, b: str) -> float:
+    x, y = digests(a), digests(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def brute(rows: list[tuple]) -> list[tuple]:
+    """Rows in descending order of ids; equal ids in the order of text hashes."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, int.from_bytes(xxhash.xxh64_digest((r[1] or "").encode(), 42), "big", signed=True)), reverse=True)
+    out = []
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
+        a, b = a or "", b or ""
+        half = len(a) // 2
+        edited = a[: len(a) - half] + b[:half]
+        out.append((i, len(a), hashlib.sha256(edited.encode()).hexdigest(), likeness(a, edited), likeness(a, b)))
+    return sorted(out, key=str)
+
+
+def found(df, id_col: str) -> list[tuple]:
+    rows = df.select(id_col, "n_chars", "edited_sha256", "near_edited", "near_next").collect()
+    return sorted([tuple(r) for r in rows], key=str)
+
+
+def test_query_is_the_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    out = QUERIES["op11_fingerprints"](spark, SF)
+    assert out.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert found(out, "doc_id") == brute(rows)
+
+
+def test_stretches_do_not_show(spark, monkeypatch):
+    """Many small stretches, ties over several of them, copies under one id."""
+    monkeypatch.setattr(fingerprints, "STRETCH_ROWS", 3)
+    rows = [(i % 20, f"line {i % 7}\nand {i % 5} more\n") for i in range(90)] + [(4, "same text")] * 60 + [(None, None), (None, "x"), (99, "")]
+    out = fingerprints.compared(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert found(out, "id") == brute(rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "")], [(None, "a\n\nb"), (None, "a\n\nb")], [(1, "x " * 90_000), (2, "y\n" * 50), (3, "".join(f"{i}\n" for i in range(4000)))]])
+def test_odd_rows(spark, rows):
+    docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id bigint, text string, a int, stretch string")
+    assert found(fingerprints.compared(docs), "id") == brute(rows)
+
+
+def test_sketch_is_what_it_says(spark):
+    text = "one\ntwo\nthree\n\n" + "long " * 100
+    cells = spark.range(1).select(fingerprints.sketch(fingerprints.digests(F.lit(text))).alias("s")).first().s
+    keys = digests(text)
+    for part in range(fingerprints.PARTS):
+        here = cells[part * fingerprints.CELLS : (part + 1) * fingerprints.CELLS]
+        every = 0
+        for k in keys:
+            every ^= k
+        total = 0
+        for c in here:
+            total ^= c.key
+        assert (sum(c.n for c in here), total) == (len(keys), every)
+
+
+def test_equal_texts_have_equal_fingerprints_and_others_do_not(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (3, "a\nb\nd")]
+    out = {r.id: r.fingerprint for r in fingerprints.compared(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out[1] == out[2] != out[3]
+
+
+def test_differences_recover_digests_after_retries(spark, monkeypatch):
+    """Sets far larger than a sketch: every digest of the difference comes back, on the side it belongs to."""
+    rows = [(k, list(range(10 * k, 10 * k + n)), list(range(10 * k + n // 2, 10 * k + n + n // 3))) for k, n in enumerate([1, 2, 20, 60, 900, 5000])]
+    scattered = F.transform("x", lambda v: F.xxhash64(v))
+    pairs = spark.createDataFrame(rows, "k int, x array<bigint>, y array<bigint>").select("k", scattered.alias("left"), F.transform("y", lambda v: F.xxhash64(v)).alias("right"))
+    wanted = {r.k: (set(r.left) - set(r.right), set(r.right) - set(r.left)) for r in pairs.collect()}
+    got = fingerprints.differences(pairs, ["k"]).collect()
+    assert {r.k: (set(r.only_left), set(r.only_right)) for r in got} == wanted
+    assert all(len(r.only_left) == len(wanted[r.k][0]) for r in got)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import bpe, decontaminate, html, jaccard, language, licenses, lines, quality, sharding, toxicity
+from twinframe.llm import bpe, decontaminate, fingerprints, html, jaccard, language, licenses, lines, quality, sharding, toxicity
 from twinframe.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -87,6 +87,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_ngram_join": op2_ngram_join,
@@ -98,4 +102,5 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
+    "op11_fingerprints": op11_fingerprints,
 }
