@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import bpe, decontaminate, fingerprints, html, jaccard, language, licenses, lines, quality, sharding, toxicity
+from twinframe.llm import bpe, decontaminate, fingerprints, html, jaccard, language, licenses, lines, quality, runs, sharding, toxicity
 from twinframe.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -91,6 +91,33 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    # A tenth of the documents repeat a stretch of their own words to the end.
+    made = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when((h % 10 == 0) & (F.size(words) > 0), words).alias("words"))
+    a = F.col("g") % F.size("words")
+    made = made.select("doc_id", "text", "words", a.alias("a"), (1 + F.floor((F.size("words") - a) / (3 + F.col("g") % 8))).alias("p"))
+    word = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    text = F.when(F.col("words").isNotNull(), F.array_join(F.transform("words", word), " ")).otherwise(F.col("text"))
+    found = runs.periodic_runs(made.select("doc_id", text.alias("text")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    found = found.withColumn("best", first)
+    shown = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    shown = F.when(F.size("runs") > 0, F.concat(shown, F.lit("\n"))).otherwise("")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.expr("1000 * -best.l DIV best.p").alias("exponent_milli"),
+        F.sha2(shown, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_ngram_join": op2_ngram_join,
@@ -103,4 +130,5 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
     "op11_fingerprints": op11_fingerprints,
+    "op13_periodic_runs": op13_periodic_runs,
 }
