@@ -72,7 +72,7 @@ def test_long_periods_over_many_tiles(spark):
     check(spark, texts)
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None)], [(None, ""), (None, " \n\t ")], [(None, "a a a a a a"), (1, "a a a a a"), (1, "a a a a a a"), (1, "a a a a a a"), (2, "é é é\x0bé é\x0cé")], [(3, "a b " * 20_000), (4, "x")]])
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(None, ""), (None, " \n\t ")], [(None, "a a a a a a"), (1, "a a a a a"), (1, "a a a a a a"), (1, "a a a a a a"), (2, "é é é\x0bé é\x0cé")], [(3, "a b " * 1_000), (4, "x")]])
 def test_odd_rows(spark, rows):
     check(spark, rows)
 
@@ -97,3 +97,10 @@ def test_query_is_the_brute_force(spark):
     assert out.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
     assert sorted(map(tuple, out.collect())) == sorted(wanted)
     assert sum(w[1] for w in wanted) > 10
+
+
+def test_very_long_text(spark):
+    """One run over a hundred thousand words, found over many tiles of every octave."""
+    docs = spark.createDataFrame([(1, "x " + "a b c " * 40_000 + "y")], "doc_id bigint, text string")
+    row = runs.periodic_runs(docs).first()
+    assert (row.n_words, [tuple(r) for r in row.runs], row.collapsed) == (120_002, [(1, 3, 120_000)], "x a b c y")

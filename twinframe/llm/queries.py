@@ -95,13 +95,17 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     h = F.crc32(F.col("doc_id").cast("string"))
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    g = F.floor(h / 10)
+
+    def repeating(words: Column, a: Column, p: Column) -> Column:
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
     # A tenth of the documents repeat a stretch of their own words to the end.
-    made = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when((h % 10 == 0) & (F.size(words) > 0), words).alias("words"))
-    a = F.col("g") % F.size("words")
-    made = made.select("doc_id", "text", "words", a.alias("a"), (1 + F.floor((F.size("words") - a) / (3 + F.col("g") % 8))).alias("p"))
-    word = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
-    text = F.when(F.col("words").isNotNull(), F.array_join(F.transform("words", word), " ")).otherwise(F.col("text"))
-    found = runs.periodic_runs(made.select("doc_id", text.alias("text")))
+    parts = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), (g % F.greatest(F.size(w), F.lit(1))).alias("a")))
+    parts = F.transform(parts, lambda x: F.struct(x["w"].alias("w"), x["a"].alias("a"), (1 + F.floor((F.size(x["w"]) - x["a"]) / (3 + g % 8))).alias("p")))
+    made = F.get(F.transform(parts, lambda x: repeating(x["w"], x["a"], x["p"])), F.lit(0))
+    text = F.when((h % 10 == 0) & (F.length(F.array_join(words, "")) > 0), made).otherwise(F.col("text"))
+    found = runs.periodic_runs(docs.select("doc_id", text.alias("text")))
     first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
     found = found.withColumn("best", first)
     shown = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")

@@ -72,14 +72,14 @@ def meeting(words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.nda
         octave *= 2
 
 
-def tiles(text: Column) -> Column:
-    """The tiles of a text in which something repeats: octave, place of the first word, words as numbers, boundaries to solve."""
+def tiles(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, t, text) with ``tiles``, where something repeats: octave, place of the first word, words as numbers, boundaries to solve."""
+    kind = pa.list_(pa.struct([("octave", pa.int32()), ("start", pa.int64()), ("codes", pa.list_(pa.int32())), ("cuts", pa.list_(pa.int32()))]))
 
-    def run(text: pa.Array) -> pa.Array:
-        out = []
+    def cut(text: pa.Array) -> Iterator[list[dict]]:
         for first, last, data, offsets in text_slices(text):
             starts, ends, bounds = word_spans(data, offsets, word_bytes(SPACE_WORDS))
-            words, rows = word_hashes(data, starts, ends), [[] for _ in range(last - first)]
+            words, found = word_hashes(data, starts, ends), [[] for _ in range(last - first)]
             for octave, cuts in meeting(words, bounds):
                 row = np.searchsorted(bounds, cuts, "right") - 1
                 tile = (cuts - bounds[row]) // (SPAN * octave)
@@ -89,12 +89,15 @@ def tiles(text: Column) -> Column:
                     low = max(int(bounds[doc]), int(here[0]) - BEFORE * octave)
                     high = min(int(bounds[doc + 1]), int(here[-1]) + AFTER * octave)
                     codes = np.unique(words[low:high], return_inverse=True)[1].astype(np.int32)
-                    rows[doc].append({"octave": octave, "start": low - int(bounds[doc]), "codes": codes, "cuts": (here - low).astype(np.int32)})
-            out += rows
-        kind = pa.struct([("octave", pa.int32()), ("start", pa.int64()), ("codes", pa.list_(pa.int32())), ("cuts", pa.list_(pa.int32()))])
-        return pa.array(out, pa.list_(kind))
+                    found[doc].append({"octave": octave, "start": low - int(bounds[doc]), "codes": codes, "cuts": (here - low).astype(np.int32)})
+            yield from found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array(list(cut(batch.column("text"))), kind)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "t", "text")], made], ["id", "t", "text", "tiles"])
 
-    return F.arrow_udf(run, f"array<{TILE}>")(text)
+    return rows.select("id", "t", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, t bigint, text string, tiles array<{TILE}>")
 
 
 def z_function(s: list[int]) -> list[int]:
@@ -204,7 +207,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts without a tile, which are most, are not shuffled.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    cut = rows.withColumn("tiles", tiles(F.col("text")))
+    cut = tiles(rows)
     made = stored(cut.where(F.size("tiles") > 0).select("id", "t", "text", "tiles"), "tiles")
     each = made.dropDuplicates(["id", "t"]).select("id", "t", F.posexplode("tiles").alias("k", "tile"))
     found = stitched(solved(each.repartition("id", "t", "k").select("id", "t", "tile")))
