@@ -51,7 +51,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+RANKED_SEARCH = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), counted AS (
+    SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+), sizes AS (
+    SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id
+), totals AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM sizes
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counted, totals GROUP BY term, docs
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scored AS (
+    SELECT item_id, c.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+    FROM asked a JOIN counted c USING (term) JOIN weights USING (term) JOIN sizes s ON s.doc_id = c.doc_id, totals
+    GROUP BY item_id, c.doc_id
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op6_quality_cascade": QUALITY,
     "op7_line_dedup": LINE_DEDUP,
+    "op12_ranked_search": RANKED_SEARCH,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import bpe, decontaminate, fingerprints, html, jaccard, language, licenses, lines, quality, runs, sharding, toxicity
+from twinframe.llm import bpe, decontaminate, fingerprints, html, jaccard, language, licenses, lines, quality, ranked, runs, sharding, toxicity
 from twinframe.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -91,6 +91,11 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -134,5 +139,6 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
     "op11_fingerprints": op11_fingerprints,
+    "op12_ranked_search": op12_ranked_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
