@@ -45,8 +45,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its token ids, packed, their number, and the text that they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path), path).select("doc_id", "n_tokens", "ids", F.col("decoded").alias("text"))
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
+    return encoded.select("doc_id", "n_tokens", "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [

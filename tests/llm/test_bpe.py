@@ -61,6 +61,15 @@ def test_rows(frame):
     assert bpe.decode(bpe.encode(docs, PATH).withColumn("ids", bpe.F.lit(None).cast("binary")), PATH).first().decoded is None
 
 
+def test_leaves_are_rows(spark, frame, library):
+    """Long texts between short ones, under one id, copied, with an id of null; leaves far from word ends."""
+    texts = ["the the " * 700, "é日本 " * 900, "x" * 5000, "<|endoftext|> a" * 300, "short", "", " " * 3000 + "b"]
+    rows = [(i % 3 or None, t) for i, t in enumerate(texts)] * 2
+    out = bpe.encode(frame("doc_id bigint, text string, row string, at string", *[(*r, "", "") for r in rows]), PATH, leaf=61, decoded=True).collect()
+    wanted = [(d, len(ids_of(library, t)), np.array(ids_of(library, t), "<u4").tobytes(), t) for d, t in rows]
+    assert sorted(map(tuple, out), key=str) == sorted(wanted, key=str)
+
+
 def test_query(spark, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = op10_bpe(spark, SF).collect()

@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding, long texts by tree concatenation.
 
-A text longer than a leaf is cut in halves again and again; the leaves are encoded, in parallel if threads are given, and
-joined pairwise from the bottom. At each join a window of tokens around the cut is encoded anew. If its outer tokens on
+A text longer than a leaf is cut into leaves, which become rows of their own: Spark spreads them over all tasks, they are
+encoded in parallel, brought together by text and joined pairwise from the bottom, like halves of halves. At each join a window of tokens around the cut is encoded anew. If its outer tokens on
 both sides are those that the halves have there, the window replaces them; else it grows to twice its size, at worst to
 all of both halves. Two facts make agreement sufficient: pre-tokens depend on the text to their right only as far as they
 reach plus one character, and a sequence of tokens is the encoding of its pre-token if each neighbouring pair is.
 
 The ranks come from the vocabulary file of a ``tokenizers`` byte-level BPE model, read on each executor; merging is done
-by ``tiktoken``, which is several times as fast as, and gives the ids of, the library the file belongs to.
+by ``tiktoken``, which is several times as fast as, and gives the ids of, the library the file belongs to. Encoding and
+decoding share one Python worker a task.
 
 Null texts read as empty. An empty text has no tokens and decodes to an empty text. Ids that are null decode to null.
 Extra columns are ignored, repeated rows stay, an empty table gives an empty table.
@@ -25,6 +26,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinframe.llm.common import batches_by_bytes
+from twinframe.session import stored
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Fixed value: the pre-token pattern of this kind of vocabulary.
@@ -64,17 +68,20 @@ class Codec:
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.engine.encode(text, allowed_special="all", disallowed_special=()), np.uint32)
 
-    def encode(self, text: str, leaf: int = LEAF_CHARS, threads: int = 1) -> np.ndarray:
+    def encode(self, text: str, leaf: int = LEAF_CHARS) -> np.ndarray:
         """The ids of the whole text."""
         if len(text) <= leaf:
             return self.plain(text)
         pieces = [text]
         while max(map(len, pieces)) > leaf:
             pieces = [half for p in pieces for half in (p[: len(p) // 2], p[len(p) // 2 :])]
-        encoded = self.engine.encode_batch(pieces, num_threads=threads, allowed_special="all", disallowed_special=())
-        level = [(p.encode(), np.array(ids, np.uint32)) for p, ids in zip(pieces, encoded, strict=True)]
+        return self.joined([(p.encode(), self.plain(p)) for p in pieces])
+
+    def joined(self, level: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
+        """The ids of a text from those of its leaves, neighbours joined until one is left."""
         while len(level) > 1:
-            level = [self.join(*a, *b) for a, b in zip(level[::2], level[1::2], strict=True)]
+            pairs = [self.join(*a, *b) for a, b in zip(level[::2], level[1::2], strict=False)]
+            level = pairs + level[2 * len(pairs) :]
         return level[0][1]
 
     def join(self, a: bytes, left: np.ndarray, b: bytes, right: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -104,24 +111,58 @@ class Codec:
         return self.engine.decode(ids.tolist(), errors="replace")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF_CHARS, threads: int = 1) -> DataFrame:
-    """Per row: ``id_col``, ``n_tokens`` and ``ids`` (32-bit little-endian unsigned integers, packed). ``path``: the vocabulary file, on every executor."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+def _packed(ids: np.ndarray) -> bytes:
+    return ids.astype("<u4").tobytes()
+
+
+def _answers(rows: DataFrame, path: str, decoded: bool, kind: str, encoded) -> DataFrame:
+    """(id, n_tokens, ids and, if asked, decoded) of ``rows``; ``encoded`` gives the ids of each row of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
             codec = codec or Codec(path)
-            counts, packed = [], []
-            for text in batch.column("text"):
-                ids = codec.encode(text.as_py(), leaf, threads)
+            counts, packed, texts = [], [], []
+            for ids in encoded(codec, batch):
                 counts.append(len(ids))
-                packed.append(ids.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["id", "n_tokens", "ids"])
+                packed.append(_packed(ids))
+                if decoded:
+                    texts.append(codec.decode(ids))
+            columns = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())]
+            names = ["id", "n_tokens", "ids"]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.string())] if decoded else [])], [*names, *(["decoded"] if decoded else [])])
+
+    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary{', decoded string' if decoded else ''}")
+
 
-    out = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary")
-    return out.select(F.col("id").alias(id_col), "n_tokens", "ids")
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF_CHARS, decoded: bool = False) -> DataFrame:
+    """Per row: ``id_col``, ``n_tokens`` and ``ids`` (32-bit little-endian unsigned integers, packed), with ``decoded`` also what they stand for. ``path``: the vocabulary file, on every executor."""
+    batches_by_bytes(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    is_long = F.length("text") > leaf
+
+    def whole(codec: Codec, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        return (codec.plain(text.as_py()) for text in batch.column("text"))
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = None
+        for batch in batches:
+            codec = codec or Codec(path)
+            ids = pa.array([_packed(x) for x in whole(codec, batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "at", "id", "text")], ids], ["row", "at", "id", "text", "ids"])
+
+    def together(codec: Codec, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for parts in batch.column("parts"):
+            yield codec.joined([(p["text"].encode(), np.frombuffer(p["ids"], "<u4")) for p in parts.as_py()])
+
+    # The row number is stored with its text, so it stays the same if a task is run again.
+    long = stored(rows.where(is_long).withColumn("row", F.monotonically_increasing_id()), "long-texts")
+    cut = long.select("row", "id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{leaf}}}"), F.lit(0))).alias("at", "text"))
+    encoded = cut.repartition("row", "at").select("row", "at", "id", "text").mapInArrow(leaves, f"row bigint, at int, id {kind}, text string, ids binary")
+    parts = encoded.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("at", "text", "ids"))).alias("parts"))
+    out = _answers(rows.where(~is_long), path, decoded, kind, whole).unionByName(_answers(parts.select("id", "parts"), path, decoded, kind, together))
+    return out.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:

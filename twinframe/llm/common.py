@@ -19,6 +19,8 @@ SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 PLAIN_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of text that numpy handles at once; its intermediates take about 60 times as much.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a batch that goes from Spark to a Python worker or back, where the session sets no bound itself.
+BATCH_BYTES = 4 << 20
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -29,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Bounds Arrow batches of this session by bytes, as 10,000 whole texts may be of any size."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
 def lower_ascii(column):
     """A-Z in lower case, every other character as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -82,8 +82,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BPE_FILE)
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    done = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

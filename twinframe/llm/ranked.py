@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import PLAIN_WORDS, folded, lower_ascii, text_slices, word_bytes, word_hashes, word_spans
+from twinframe.llm.common import PLAIN_WORDS, batches_by_bytes, folded, lower_ascii, text_slices, word_bytes, word_hashes, word_spans
 from twinframe.session import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -239,6 +239,7 @@ def best(found: DataFrame, by: str, k: int) -> DataFrame:
 def top_documents(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per item its ``k`` best documents: ``item``, ``rank`` from 1, ``id``, ``score``."""
     spark = docs.sparkSession
+    batches_by_bytes(spark)
     asked = stored(item_terms(items, item_col, item_text), "items")
     blocks = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK_TERMS))
     kind = f"item {asked.schema['item'].dataType.simpleString()}, rank int, id bigint, score bigint"

@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import SPACE_WORDS, mix, text_slices, word_bytes, word_hashes, word_spans
+from twinframe.llm.common import SPACE_WORDS, batches_by_bytes, mix, text_slices, word_bytes, word_hashes, word_spans
 from twinframe.session import stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -206,6 +206,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts without a tile, which are most, are not shuffled.
     """
+    batches_by_bytes(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     cut = tiles(rows)
     made = stored(cut.where(F.size("tiles") > 0).select("id", "t", "text", "tiles"), "tiles")

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.common import PLAIN_WORDS, folded, mix, text_slices, word_bytes, word_hashes, word_spans
+from twinframe.llm.common import PLAIN_WORDS, batches_by_bytes, folded, mix, text_slices, word_bytes, word_hashes, word_spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -69,6 +69,7 @@ def train(examples: list[tuple[np.ndarray, int]]) -> tuple[float, np.ndarray, np
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[float, np.ndarray, np.ndarray]:
     """The model of the labelled rows given (``docs``: doc_id, text; ``labels``: doc_id, toxic). Training runs in a task."""
+    batches_by_bytes(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
     sample = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(sample_rows)
