@@ -1,17 +1,20 @@
-"""Every registered query against its SQL counterpart on DuckDB."""
+"""Every registered query on tables against its SQL counterpart on DuckDB."""
 
 from __future__ import annotations
 
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from catalog.duckdb_sql import ORACLES
+from catalog.spark_queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -44,4 +47,12 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) == set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_text_part():
+    """The text part needs modules that this part does not: without them the rest is still there."""
+    program = "import sys; sys.modules['regex'] = None; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", program], cwd=Path(entry.__file__).parent, capture_output=True, text=True, check=True)
+    assert int(done.stdout) == len(QUERIES)
