@@ -182,6 +182,16 @@ def documents(differs=None) -> Join:
     return Join("SELECT * FROM documents", duckdb_text(P.DOCUMENTS_B), ["doc_id"], columns, differs)
 
 
+def far_times() -> Join:
+    return Join(
+        duckdb_text(P.EVENTS_FAR_TIMES_A),
+        duckdb_text(P.EVENTS_FAR_TIMES_B),
+        ["event_type"],
+        ["ts", "done"],
+        {"ts": seconds("ts", 7_200_000_000), "done": seconds("done", 10_800_000_000)},
+    )
+
+
 def low_cardinality() -> Join:
     return events(
         "event_type",
@@ -310,6 +320,8 @@ ORACLES: dict[str, str] = {
     "duplicate_pairs_flat_hot_keys": lineitem().flat(),
     "low_cardinality_key_overview": low_cardinality().overview(),
     "low_cardinality_key_stats": low_cardinality().column_stats(),
+    "wide_distances_overview": far_times().overview(),
+    "wide_distances_stats": far_times().column_stats(),
     "low_cardinality_two_distances": Join(
         duckdb_text(P.EVENTS_TWO_TIMES_A),
         duckdb_text(P.EVENTS_TWO_TIMES_B),

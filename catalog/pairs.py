@@ -70,6 +70,21 @@ SELECT event_id, event_type, CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL '20'
   CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL '90' SECOND ELSE ts END AS done FROM {events}
 """
 
+# Nearly all times lie within days, a few thousands of years before and after.
+EVENTS_FAR_TIMES_A = """
+SELECT event_id, CASE WHEN event_id % 311 = 0 THEN ts + INTERVAL '2900000' DAY
+                      WHEN event_id % 313 = 0 THEN ts - INTERVAL '700000' DAY ELSE ts END AS ts,
+  ts + INTERVAL '7' SECOND AS done, user_id, event_type, value, props
+FROM {events}
+"""
+
+EVENTS_FAR_TIMES_B = """
+SELECT event_id, CASE WHEN event_id % 622 = 0 THEN ts + INTERVAL '2900000' DAY
+                      WHEN event_id % 5 = 0 THEN ts + INTERVAL '20' SECOND ELSE ts END AS ts,
+  CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL '90' MINUTE ELSE ts END AS done, user_id, event_type, value, props
+FROM {events}
+"""
+
 DOCUMENTS_B = """
 SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN concat(' ', lower(text), ' ')
                     WHEN doc_id % 10 = 1 THEN replace(text, 'e', 'é') ELSE text END AS text, lang, source, n_chars

@@ -260,6 +260,13 @@ def seconds_zoned(spark: SparkSession, sf: str) -> DataFrame:
     return compared.column_stats()
 
 
+def far_times(spark: SparkSession, sf: str) -> Comparison:
+    """Two distances of hours on a key of few values, all other columns along but not compared."""
+    a, b = derived(spark, sf, P.EVENTS_FAR_TIMES_A), derived(spark, sf, P.EVENTS_FAR_TIMES_B)
+    reaches = {"ts": Seconds(7200), "done": Seconds(10800)}
+    return compare(a, b, pk_columns=["event_type"], column_tolerances=reaches, ignored_columns=["event_id", "user_id", "value", "props"])
+
+
 def two_distances(spark: SparkSession, sf: str) -> DataFrame:
     a, b = derived(spark, sf, P.EVENTS_TWO_TIMES_A), derived(spark, sf, P.EVENTS_TWO_TIMES_B)
     tolerances = {"ts": Seconds(30), "done": Seconds(60)}
@@ -384,6 +391,8 @@ QUERIES: dict[str, Query] = {
         s, d, "event_type", column_tolerances={"ts": Seconds(60), "value": Precision(0)}
     ).column_stats(),
     "low_cardinality_two_distances": two_distances,
+    "wide_distances_overview": lambda s, d: far_times(s, d).overview(),
+    "wide_distances_stats": lambda s, d: far_times(s, d).column_stats(),
     "expression_key_overview": lambda s, d: orders(s, d, pk_expression="CAST(o_orderkey AS STRING)").overview(),
     "where_filter_overview": lambda s, d: tolerant_orders(s, d, where_clause="o_orderstatus = 'O'").overview(),
     "where_filter_unfiltered_keys": lambda s, d: lineitem(

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from conftest import overview_of, stats_of
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from twinframe import (
     tolerance_from_dict,
 )
 from twinframe.functions.compare import displayed, truncated
-from twinframe.operators.summary import near_pairs, near_rows
+from twinframe.operators import ranges
+from twinframe.operators.ranges import near_pairs, near_rows
 
 T0 = datetime(2024, 1, 1, 12, 0, 0)
 
@@ -240,6 +242,31 @@ def test_near_pairs_and_rows_against_all_pairs(spark):
         assert near_rows(df, ["k"], {"t": r, "u": q}).first().n == expected
 
 
+def test_stretches_stay_even_whatever_the_places(spark):
+    """Most places within minutes and a few thousands of years away, many rows at one place: no stretch holds over twice the mean."""
+    near = spark.range(20_000).select((F.lit(1_700_000_000_000_000) + F.xxhash64("id") % 60_000_000).alias("p"))
+    far = spark.createDataFrame([(-62135596800000000,), (253402300799000000,)] * 3, "p bigint")
+    rows = near.unionAll(far)
+    bounds = ranges.quantile_bounds(rows, "p", 500)
+    sizes = [r["count"] for r in rows.groupBy(ranges.stretch_of("p", bounds).alias("s")).count().collect()]
+    assert len(sizes) == 41 and max(sizes) <= 2 * 20_006 / 41
+    assert bounds == sorted(bounds)
+    cut = spark.range(-5, 25).select("id", ranges.stretch_of("id", [0, 3, 3, 19]).alias("s")).collect()
+    assert all(r.s == sum(b < r.id for b in [0, 3, 3, 19]) for r in cut)
+
+
+def test_wide_distances_on_one_key_do_not_meet_in_pairs(spark):
+    """Two distances that make most of 9 million pairs near: no operator makes more than some rows for each given row."""
+    at = lambda salt: F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.xxhash64("id", F.lit(salt)) % 3_600_000_000)
+    a = spark.range(3000).select(F.lit(1).alias("k"), at(1).alias("t"), at(2).alias("u"))
+    b = spark.range(3000).select(F.lit(1).alias("k"), at(3).alias("t"), at(4).alias("u"))
+    found = compare(a, b, pk_columns=["k"], column_tolerances={"t": Seconds(1800), "u": Seconds(900)}).overview().first()
+    times = lambda df: [(r.t.timestamp(), r.u.timestamp()) for r in df.collect()]
+    x, y = np.array(times(a)), np.array(times(b))
+    near = sum(int(((np.abs(y[:, 0] - t) <= 1800) & (np.abs(y[:, 1] - u) <= 900)).sum()) for t, u in x)
+    assert (found.total_compared, found.rows_with_diffs) == (9_000_000, 9_000_000 - near)
+
+
 def test_distances_grow_no_faster_than_columns(spark):
     """Five distance columns on a key of two values: no explosion, and the same answers as for one."""
     moment = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))

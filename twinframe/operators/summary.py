@@ -6,7 +6,7 @@ Two exact ways lead to the same one-row result:
 * ``from_groups`` never builds a pair. Cells that compare equal share a label (see
   :mod:`twinframe.functions.compare`), so the number of equal pairs is the sum over key and label of
   ``rows in A · rows in B``, which one grouping with map-side aggregation yields; cells that lie within a distance are
-  counted by running sums along the axis. Its cost is linear in the rows however often a key repeats, so it serves hot
+  counted by running sums along the axes (see :mod:`twinframe.operators.ranges`). Its cost is linear in the rows however often a key repeats, so it serves hot
   keys and tables whose keys repeat so much that pairs outgrow rows.
 """
 
@@ -14,16 +14,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.functions.compare import tolerated_micros
 from twinframe.operators.keys import PAIRS, total
 from twinframe.operators.pairs import with_flags
+from twinframe.operators.ranges import near_pairs, near_rows
 from twinframe.operators.sides import Layout, Side, has_null
 
-# Rows of a stretch of the axis that running sums take in one go.
-STRETCH_ROWS = 10_000
 STAT_CELLS = "array<struct<ordinal:int,name:string,diff_count:bigint,minor_count:bigint,total:bigint>>"
 ROW_TOTALS = ("pairs", "rows_with_diffs", "rows_minor", "rows_identical")
 
@@ -133,79 +132,6 @@ def _reach(layout: Layout, i: int) -> int:
     return tolerated_micros(layout.comparators[i].tolerance)
 
 
-def _same(names: list[str], left: str, right: str) -> list[Column]:
-    return [F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}")) for name in names]
-
-
-def near_pairs(points: DataFrame, by: list[str], position: str, reach: int) -> DataFrame:
-    """``n``: pairs of a row of A and a row of B that agree in ``by`` and lie within ``reach``; NULL is near NULL only.
-
-    Each point of A asks at two places how many rows of B lie at or below: at its upper and just below its lower bound.
-    Running sums answer, within stretches of the axis and over the stretches, so the work is three rows per distinct
-    position whatever the reach, and a single key spreads over many tasks.
-    """
-    merged = points.groupBy(*by, F.col(position).alias("p")).agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
-    nulls = merged.where("p IS NULL").agg(F.expr(f"{total(PAIRS)} AS n"))
-    known = merged.where("p IS NOT NULL")
-    span = points.agg(F.min(position).alias("low"), F.max(position).alias("high"), F.count("*").alias("rows")).first()
-    if span.low is None:
-        return nulls
-    extent = span.high - span.low + 1
-    width = min(extent, max(1, extent * STRETCH_ROWS // span.rows))
-
-    def event(place: Column, weight: Column, asks: Column) -> Column:
-        return F.struct(*[x.cast("bigint").alias(name) for name, x in (("p", place), ("w", weight), ("asks", asks))])
-
-    none = F.lit(0)
-    # Bounds outside of all points ask the same at the outermost ones.
-    upper = F.least(F.col("p") + F.lit(reach), F.lit(span.high))
-    lower = F.greatest(F.col("p") - F.lit(reach), F.lit(span.low)) - 1
-    events = F.array(
-        event(F.col("p"), F.col("in_b"), none), event(upper, none, F.col("in_a")), event(lower, none, -F.col("in_a"))
-    )
-    placed = known.select(*by, F.inline(events)).where("w > 0 OR asks != 0")
-    placed = placed.withColumn("stretch", F.floor((F.col("p") - span.low) / width))
-    within = placed.withColumn("below", F.sum("w").over(Window.partitionBy(*by, "stretch").orderBy("p")))
-    answers = within.where("asks != 0").groupBy(*by, "stretch").agg(
-        F.expr(f"sum({'CAST(asks AS DECIMAL(19,0)) * CAST(below AS DECIMAL(19,0))'})").alias("met"), F.sum("asks").alias("asks")
-    )
-    totals = placed.groupBy(*by, "stretch").agg(F.sum("w").alias("w"))
-    earlier = Window.partitionBy(*by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "stretch", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("before"))
-    both = answers.alias("x").join(before.alias("y"), [*_same([*by, "stretch"], "x", "y")])
-    counted = both.agg(F.expr("coalesce(sum(met + CAST(asks AS DECIMAL(19,0)) * CAST(before AS DECIMAL(19,0))), 0) AS n"))
-    return counted.unionAll(nulls).agg(F.sum("n").alias("n"))
-
-
-def near_rows(rows: DataFrame, by: list[str], reaches: dict[str, int]) -> DataFrame:
-    """``n``: pairs that agree in ``by`` and lie within the reach in every column of ``reaches``.
-
-    With one such column they are counted by running sums. With several, the one of smallest reach decides which
-    stretches of the axis a row of A looks at, two at most, and pairs of distinct rows met there are tested in the others.
-    """
-    if len(reaches) == 1:
-        ((position, reach),) = reaches.items()
-        return near_pairs(rows, by, position, reach)
-    first = min(reaches, key=reaches.get)
-    width = 2 * reaches[first] + 1
-    distinct = rows.groupBy(*by, *reaches).agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
-
-    def stretch(shift: int) -> Column:
-        place = f"({first} + {shift}L)"
-        return F.expr(f"({place} - pmod({place}, {width}L)) DIV {width}L")
-
-    low, high = stretch(-reaches[first]), stretch(reaches[first])
-    looks = F.when(F.col(first).isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array_distinct(F.array(low, high)))
-    a = distinct.where("in_a > 0").withColumn("stretch", F.explode(looks)).alias("x")
-    b = distinct.where("in_b > 0").withColumn("stretch", stretch(0)).alias("y")
-    close = []
-    for name, reach in reaches.items():
-        x, y = F.col(f"x.{name}"), F.col(f"y.{name}")
-        close.append((x.isNull() & y.isNull()) | (F.abs(x - y) <= reach))
-    met = a.join(b, [*_same([*by, "stretch"], "x", "y"), *close])
-    return met.agg(F.expr("coalesce(sum(CAST(x.in_a AS DECIMAL(19,0)) * CAST(y.in_b AS DECIMAL(19,0))), 0) AS n"))
-
-
 def _merged(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFrame:
     """Distinct rows of both sides, ``k0…, v0…``, with their number on each side; rows with NULL keys left out."""
 
