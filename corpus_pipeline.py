@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.llm import bpe, decontaminate, jaccard, lines, toxicity
-from twinframe.llm.common import table
+from twinframe.llm.common import table, unused
 from twinframe.session import stored
 
 
@@ -26,9 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later occurrences of three-line windows; a document that loses all its lines goes."""
-    cleaned = lines.dedup_lines(docs).where("n_removed = 0 OR text != ''")
+    removed = F.col(unused(docs.columns, "n_removed"))
+    cleaned = lines.dedup_lines(docs).where((removed == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        length = F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         cleaned = cleaned.withColumn("n_chars", length)
     return cleaned.select(*docs.columns)
 

@@ -44,3 +44,10 @@ def test_edges(frame):
     assert found == [(0, "p\nq\nr", 3, 0), (1, "a\nb\nc", 3, 0), (1, "a\nb\nc", 3, 0), (2, "", 3, 3), (3, "", 3, 3), (4, "x" * 200_000, 1, 0)]
     assert dedup_lines(docs.limit(0)).columns == ["doc_id", "text", "row", "n_lines", "n_removed"]
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_columns_of_the_same_names_stay(frame):
+    docs = frame("doc_id bigint, text string, n_lines string, n_removed string, starts int", (1, "a\nb\nc", "x", "y", 7), (2, "a\nb\nc", "v", "w", 8))
+    out = lines.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed", "starts", "n_lines_", "n_removed_"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", "x", "y", 7, 3, 0), (2, "", "v", "w", 8, 3, 3)]

@@ -75,7 +75,7 @@ def test_run_is_all_stages(spark, steps):
 
 @pytest.mark.parametrize("rows", [[], [(None, None, None), (None, None, None), (1, "", "x"), (1, "", "x"), (2, "a b c " * 40_000, "y"), (2, "a b c " * 40_000, "y"), (3, None, "z")]])
 def test_odd_rows_pass_every_stage(spark, frame, tmp_path, rows):
-    docs = frame("doc_id bigint, text string, label string", *rows) if rows else spark.createDataFrame([], "doc_id bigint, text string, label string")
+    docs = frame("doc_id bigint, text string, n_removed string", *rows) if rows else spark.createDataFrame([], "doc_id bigint, text string, n_removed string")
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))

@@ -35,13 +35,17 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with the text cleaned, and ``n_lines`` and ``n_removed`` (lines before, lines removed; null texts have none)."""
+    """The columns of ``docs`` with the text cleaned, and ``n_lines`` and ``n_removed`` (lines before, lines removed; null texts have none).
+
+    Where ``docs`` has a column of such a name, that stays, and the new one's name ends in ``_``.
+    """
     found = stored(windows(docs, id_col, text_col), "windows")
     place = F.struct("id", "t", "at")
     repeated = found.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     later = found.join(repeated.select("window", "first"), "window").where(place > F.col("first"))
     covered = later.groupBy("id", "t").agg(F.collect_set("at").alias("starts"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = docs.columns
+    n_lines, n_removed = (unused(names, x) for x in ("n_lines", "n_removed"))
     row, key, digest = (unused(names, x) for x in ("row", "key", "digest"))
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(row), F.col(id_col).alias(key), F.xxhash64(text_col).alias(digest))
     right = covered.select(F.col("id").alias(f"{key}_"), F.col("t").alias(f"{digest}_"), "starts")
@@ -55,6 +59,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cleaned = F.array_join(F.transform(kept, lambda at: F.get(lines, at)), "\n")
     return met.select(
         *[(F.when(F.col(starts).isNull(), text).otherwise(cleaned) if c == text_col else F.col(f"{row}.`{c}`")).alias(c) for c in names],
-        F.when(text.isNull(), 0).when(F.length(text) == 0, 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.when(F.col(starts).isNull(), 0).otherwise(F.size(gone)).alias("n_removed"),
+        F.when(text.isNull(), 0).when(F.length(text) == 0, 0).otherwise(F.size(lines)).alias(n_lines),
+        F.when(F.col(starts).isNull(), 0).otherwise(F.size(gone)).alias(n_removed),
     )
