@@ -48,6 +48,6 @@ def test_edges(frame):
 
 def test_columns_of_the_same_names_stay(frame):
     docs = frame("doc_id bigint, text string, n_lines string, n_removed string, starts int", (1, "a\nb\nc", "x", "y", 7), (2, "a\nb\nc", "v", "w", 8))
-    out = lines.dedup_lines(docs)
+    out = dedup_lines(docs)
     assert out.columns == ["doc_id", "text", "n_lines", "n_removed", "starts", "n_lines_", "n_removed_"]
     assert sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", "x", "y", 7, 3, 0), (2, "", "v", "w", 8, 3, 3)]
