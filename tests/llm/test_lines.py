@@ -40,9 +40,9 @@ def test_against_brute_force(frame, rows):
 
 def test_edges(frame):
     docs = frame(SCHEMA, (1, "a\nb\nc", "", ""), (1, "a\nb\nc", "", ""), (None, "p\nq\nr", "", ""), (2, "p\nq\nr", "", ""), (3, "a\nb\nc", "", ""), (4, "x" * 200_000, "", ""))
-    found = sorted((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs).collect())
+    found = sorted((r.doc_id or 0, r.text, r.n_lines_, r.n_removed) for r in dedup_lines(docs).collect())
     assert found == [(0, "p\nq\nr", 3, 0), (1, "a\nb\nc", 3, 0), (1, "a\nb\nc", 3, 0), (2, "", 3, 3), (3, "", 3, 3), (4, "x" * 200_000, 1, 0)]
-    assert dedup_lines(docs.limit(0)).columns == ["doc_id", "text", "row", "n_lines", "n_removed"]
+    assert dedup_lines(docs.limit(0)).columns == ["doc_id", "text", "n_lines", "row", "n_lines_", "n_removed"]
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
