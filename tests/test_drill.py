@@ -182,6 +182,30 @@ def test_edit_scripts_are_shortest(monkeypatch, table_bits):
         assert all(x["kind"] != y["kind"] for x, y in zip(parts, parts[1:], strict=False))
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_edit_scripts_are_shortest_by_search_and_by_table(monkeypatch, few):
+    monkeypatch.setattr(chars, "isqrt", lambda n: few)
+    rng = random.Random(few)
+    for _ in range(1000):
+        letters = rng.choice(["ab", "abc", "abcdefgh"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(rng.choice([4, 15, 40])))) for _ in range(2))
+        parts = chars.edit_parts(a, b)
+        assert "".join(p["text"] for p in parts if p["kind"] != "added") == a
+        assert "".join(p["text"] for p in parts if p["kind"] != "removed") == b
+        assert sum(len(p["text"]) for p in parts if p["kind"] == "kept") == longest_common(a, b)
+
+
+def test_edit_script_of_long_texts_takes_time_by_their_edits(monkeypatch):
+    monkeypatch.setattr(chars, "_rows", None)
+    rng = random.Random(1)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(1_000_000))
+    places = sorted(rng.sample(range(0, len(a), 1000), 100))
+    b = "".join(a[i:j] + "X" for i, j in zip([0, *places[:-1]], places, strict=True)) + a[places[-1] :]
+    parts = chars.edit_parts(a, b)
+    assert [p["text"] for p in parts if p["kind"] == "added"] == ["X"] * 100
+    assert "".join(p["text"] for p in parts if p["kind"] == "kept") == a
+
+
 def test_edit_script_runs_where_the_package_is_not_installed(tmp_path):
     (tmp_path / "f.pickle").write_bytes(cloudpickle.dumps(chars.edit_parts))
     code = "import pickle; print(pickle.load(open('f.pickle', 'rb'))('ab', 'b'))"
