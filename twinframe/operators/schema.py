@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,50 +51,58 @@ def key_candidates(a: DataFrame, b: DataFrame) -> list[str]:
     return [name for name in shared_columns(a, b) if name.lower() == "id" or name.lower().endswith("_id")]
 
 
+SUGGESTION_SCHEMA = (
+    "ordinal int, name string, rows_a long, rows_b long, distinct_a long, distinct_b long, "
+    "nulls_a long, nulls_b long, unique_a boolean, unique_b boolean"
+)
+# Columns of one grouping: their sets are told apart by the bits of a 64-bit number.
+GROUPED_TOGETHER = 60
+
+
 def suggest_keys(a: DataFrame, b: DataFrame, candidates: list[str] | None = None) -> DataFrame:
     """Key candidates with the facts that decide on them, per side: rows, distinct values, NULLs, uniqueness.
 
-    Each value is counted once per candidate and side by one grouping over both tables, whatever their skew.
+    One grouping over both tables, with a grouping set for each candidate, reads each table once and counts each value
+    once per candidate, whatever their skew.
     """
     names = key_candidates(a, b) if candidates is None else list(candidates)
-    spark = a.sparkSession
-    empty = "ordinal int, name string, rows_a long, rows_b long, distinct_a long, distinct_b long, nulls_a long, nulls_b long, unique_a boolean, unique_b boolean"
     if not names:
-        return spark.createDataFrame([], empty)
-    parts = []
-    for i, name in enumerate(names):
-        column = F.col(quoted(name))
-        counts = (
-            a.select(column.alias("value"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-            .unionAll(b.select(column.alias("value"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-            .groupBy("value")
-            .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        )
-        known = F.col("value").isNotNull()
-        sides = {}
+        return a.sparkSession.createDataFrame([], SUGGESTION_SCHEMA)
+    starts = range(0, len(names), GROUPED_TOGETHER)
+    return reduce(DataFrame.unionAll, [_key_facts(a, b, names[x : x + GROUPED_TOGETHER], x) for x in starts])
+
+
+def _key_facts(a: DataFrame, b: DataFrame, names: list[str], first: int) -> DataFrame:
+    columns = [f"c{i}" for i in range(len(names))]
+    sides = [
+        df.select(*[F.col(quoted(n)).alias(c) for n, c in zip(names, columns, strict=True)], F.lit(x).alias("a"), F.lit(1 - x).alias("b"))
+        for df, x in ((a, 1), (b, 0))
+    ]
+    counts = (
+        sides[0]
+        .unionAll(sides[1])
+        .groupingSets([[c] for c in columns], *columns)
+        .agg(F.grouping_id().alias("absent"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    )
+    facts = {}
+    for i, c in enumerate(columns):
+        # In the set of a column its own bit alone is 0; the first column has the highest.
+        own = F.col("absent") == (1 << len(columns)) - 1 - (1 << len(columns) - 1 - i)
+        known = own & F.col(c).isNotNull()
         for side in ("a", "b"):
             n = F.col(side)
-            sides |= {
-                f"rows_{side}": F.coalesce(F.sum(n), F.lit(0)),
-                f"distinct_{side}": F.count_if(known & (n > 0)),
-                f"nulls_{side}": F.coalesce(F.sum(F.when(~known, n)), F.lit(0)),
-                f"unique_{side}": ~F.coalesce(F.max(F.when(known, n) > 1), F.lit(False)),
+            facts |= {
+                f"rows_{side}_{i}": F.coalesce(F.sum(F.when(own, n)), F.lit(0)),
+                f"distinct_{side}_{i}": F.count_if(known & (n > 0)),
+                f"nulls_{side}_{i}": F.coalesce(F.sum(F.when(own & ~known, n)), F.lit(0)),
+                f"unique_{side}_{i}": ~F.coalesce(F.max(F.when(known, n) > 1), F.lit(False)),
             }
-        parts.append(
-            counts.agg(*[value.alias(label) for label, value in sides.items()]).select(
-                F.lit(i).alias("ordinal"),
-                F.lit(name).alias("name"),
-                *[
-                    F.col(f"{fact}_{side}")
-                    for fact in ("rows", "distinct", "nulls", "unique")
-                    for side in ("a", "b")
-                ],
-            )
-        )
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    return found
+    labels = [f"{fact}_{side}" for fact in ("rows", "distinct", "nulls", "unique") for side in ("a", "b")]
+    rows = [
+        F.struct(F.lit(first + i).alias("ordinal"), F.lit(name).alias("name"), *[F.col(f"{x}_{i}").alias(x) for x in labels])
+        for i, name in enumerate(names)
+    ]
+    return counts.agg(*[value.alias(label) for label, value in facts.items()]).select(F.inline(F.array(*rows)))
 
 
 def quoted(name: str) -> str:
