@@ -362,6 +362,21 @@ ORACLES: dict[str, str] = {
     f"FROM ({lineitem().overview()})",
     "rows_all": tolerant().rows("true"),
     "rows_diffs": tolerant().diffs(),
+    "indexed_overview": tolerant().overview(),
+    "indexed_column_stats": tolerant().column_stats(),
+    "indexed_rows_diffs": tolerant().diffs(),
+    "indexed_cell_changes": tolerant().cell_changes(),
+    "indexed_only_in_a": only_in("a", orders()),
+    "indexed_only_in_a_null_keys": only_in("a", null_keys()),
+    "indexed_duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem "
+    "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+    "suggest_keys_of_many": " UNION ALL ".join(
+        f"SELECT {i}::INTEGER AS ordinal, '{a}' AS name, rows_a, rows_b, distinct_a, distinct_b, nulls_a, nulls_b, "
+        "known_a = distinct_a AS unique_a, known_b = distinct_b AS unique_b FROM "
+        f"(SELECT count(*) AS rows_a, count({a}) AS known_a, count(DISTINCT {a}) AS distinct_a, count(*) - count({a}) AS nulls_a FROM lineitem), "
+        f"(SELECT count(*) AS rows_b, count({b}) AS known_b, count(DISTINCT {b}) AS distinct_b, count(*) - count({b}) AS nulls_b FROM orders)"
+        for i, (a, b) in enumerate([("l_orderkey", "o_orderkey"), ("l_partkey", "o_custkey"), ("l_linestatus", "o_orderstatus")])
+    ),
     "rows_minor": tolerant().minor(),
     "rows_same": tolerant().same(),
     "rows_diffs_one_column": tolerant().rows("is_diff_o_orderdate = 1"),

@@ -420,6 +420,14 @@ QUERIES: dict[str, Query] = {
     .select("duplicate_pks_a", "duplicate_pks_b", "null_pks_a", "null_pks_b"),
     "rows_all": lambda s, d: tolerant_orders(s, d).rows("all"),
     "rows_diffs": lambda s, d: tolerant_orders(s, d).rows("diffs"),
+    "indexed_overview": lambda s, d: tolerant_orders(s, d).indexed().overview(),
+    "indexed_column_stats": lambda s, d: tolerant_orders(s, d).indexed().column_stats(),
+    "indexed_rows_diffs": lambda s, d: tolerant_orders(s, d).indexed().rows("diffs"),
+    "indexed_cell_changes": lambda s, d: tolerant_orders(s, d).indexed().cell_changes(),
+    "indexed_only_in_a": lambda s, d: orders(s, d).indexed().only_in("a"),
+    "indexed_only_in_a_null_keys": lambda s, d: null_keys(s, d).indexed().only_in("a"),
+    "indexed_duplicate_keys": lambda s, d: lineitem(s, d).indexed().duplicate_keys("a"),
+    "suggest_keys_of_many": lambda s, d: suggest_keys(table(s, d, "lineitem"), table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("l_partkey"), F.col("o_orderstatus").alias("l_linestatus")), ["l_orderkey", "l_partkey", "l_linestatus"]),
     "rows_minor": lambda s, d: tolerant_orders(s, d).rows("minor"),
     "rows_same": lambda s, d: tolerant_orders(s, d).rows("same"),
     "rows_diffs_one_column": lambda s, d: tolerant_orders(s, d).rows("diffs", "o_orderdate"),

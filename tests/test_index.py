@@ -1,0 +1,115 @@
+"""The stored key index: what it knows of each key, and what is read and joined with its help."""
+
+from __future__ import annotations
+
+import pytest
+from conftest import overview_of, stats_of
+
+from twinframe import Seconds, compare
+from twinframe.operators import keys
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def changed(comparison) -> list:
+    return sorted(r[0] for r in keys.changed_keys(comparison._index).collect())
+
+
+def test_nulls_are_told_from_values_and_by_place(frame):
+    schema = "k int, x int, y int, s string"
+    a = frame(schema, (1, None, 5, "u"), (2, 5, 5, "u"), (3, 0, 0, None), (4, None, None, None), (5, 1, 2, "uv"), (None, 1, 1, "u"))
+    b = frame(schema, (1, 5, None, "u"), (2, 5, 5, "u"), (3, 0, 0, ""), (4, None, None, None), (5, 1, 2, "vu"), (None, 2, 2, "u"))
+    comparison = compare(a, b, pk_columns=["k"]).indexed()
+    assert changed(comparison) == [1, 3, 5]
+    assert stats_of(comparison) == {"x": (1, 0), "y": (1, 0), "s": (2, 0)}
+    assert overview_of(comparison) == overview_of(compare(a, b, pk_columns=["k"]))
+
+
+def test_equal_floats_of_different_bits_are_unchanged(frame):
+    a = frame("k int, x double", (1, float("nan")), (2, 0.0), (3, 1.0))
+    b = frame("k int, x double", (1, float("nan")), (2, -0.0), (3, 1.5))
+    comparison = compare(a, b, pk_columns=["k"]).indexed()
+    assert stats_of(comparison) == stats_of(compare(a, b, pk_columns=["k"])) == {"x": (1, 0)}
+    assert 3 in changed(comparison) and 1 not in changed(comparison)
+
+
+def test_nested_values_are_left_to_the_join(frame):
+    schema = "k int, x array<int>, m map<string,int>"
+    a = frame(schema, (1, [None, 1], {"a": 1}), (2, [1], {"a": 1}), (3, [1], {}))
+    b = frame(schema, (1, [1, None], {"a": 1}), (2, [1], {"a": 1}), (4, [1], {}))
+    comparison = compare(a, b, pk_columns=["k"]).indexed()
+    assert changed(comparison) == [1, 2]
+    assert stats_of(comparison) == {"x": (1, 0), "m": (0, 0)}
+
+
+def test_tables_without_rows_or_values(frame):
+    empty, one = frame("k int, x int"), frame("k int, x int", (1, 1))
+    for a, b in ((empty, empty), (empty, one), (one, empty), (one, one)):
+        comparison, plain = compare(a, b, pk_columns=["k"]).indexed(), compare(a, b, pk_columns=["k"])
+        assert overview_of(comparison) == overview_of(plain) and stats_of(comparison) == stats_of(plain)
+        assert comparison.only_in("a").collect() == plain.only_in("a").collect()
+    keys_only = compare(one.select("k"), one.select("k"), pk_columns=["k"]).indexed()
+    assert overview_of(keys_only)["rows_identical"] == 1
+
+
+@pytest.mark.parametrize("scope", ["all", "join"])
+def test_row_filter_and_types(frame, scope):
+    a = frame("k int, x int, t timestamp_ntz", (1, 1, None), (1, 2, None), (2, 3, None), (3, 9, None))
+    b = frame("k bigint, x string, t timestamp_ntz", (1, "1", None), (2, "4", None), (2, "3", None), (4, "9", None))
+    settings = {"pk_columns": ["k"], "where_clause": "k < 4", "where_scope": scope, "column_tolerances": {"t": Seconds(1)}}
+    plain = compare(a, b, on_duplicates="pairs", **settings)
+    indexed = plain.indexed()
+    assert overview_of(indexed) == overview_of(plain) and stats_of(indexed) == stats_of(plain)
+    for side in "ab":
+        found, expected = indexed.duplicate_keys(side), plain.duplicate_keys(side)
+        assert sorted(found.collect()) == sorted(expected.collect()) and found.columns == expected.columns
+
+
+def test_index_at_a_path_and_with_stored_join(frame, tmp_path, spark):
+    a, b = frame("k int, x int", (1, 1), (2, 2)), frame("k int, x int", (1, 1), (2, 3))
+    comparison = compare(a, b, pk_expression="k + 1").indexed(str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 2
+    kept = comparison.materialize()
+    assert [tuple(r) for r in kept.cell_changes().collect()] == [tuple(r) for r in comparison.cell_changes().collect()]
+    assert comparison.duplicate_keys("a").columns == ["pk_expr", "count"]
+
+
+def orders(spark, **settings):
+    a = spark.read.parquet(f"{SF}/orders.parquet")
+    b = a.selectExpr("* EXCEPT (o_totalprice)", "IF(o_orderkey % 50 = 0, o_totalprice + 1, o_totalprice) AS o_totalprice")
+    return compare(a, b.where("o_orderkey % 70 <> 0"), pk_columns=["o_orderkey"], **settings).indexed()
+
+
+def test_key_questions_read_the_index_and_one_table_at_most(spark):
+    comparison = orders(spark)
+    for df, sources in ((comparison.duplicate_keys("a"), 0), (comparison.only_in("a"), 1), (comparison.in_both("b"), 1)):
+        text = plan(df)
+        assert text.count("orders.parquet") == sources and text.count("key-index") == 1
+    assert "HashAggregate" not in plan(comparison.only_in("a"))
+
+
+def test_only_rows_of_changed_keys_are_joined(spark):
+    comparison = orders(spark)
+    count = comparison._pairs(changed=True).count()
+    assert 0 < count == comparison.rows("diffs").count() < comparison.rows("all").count() / 20
+    text = plan(comparison.rows("diffs"))
+    assert text.count("LeftSemi") == 2
+
+
+def test_rows_meet_a_bloom_filter_before_the_shuffle_where_keys_are_not_broadcast(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        text = plan(orders(spark).rows("diffs"))
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert "might_contain" in text

@@ -136,6 +136,31 @@ def test_strategies_agree_with_brute_force(case, name):
     assert Counter(map(tuple, comparison.in_both("a").collect())) == expected["both_a"]
 
 
+@pytest.mark.parametrize("name", SETTINGS)
+def test_indexed_comparison_gives_the_same_answers(case, name):
+    a, b, expected = case
+    settings, strategy = SETTINGS[name]
+    plain = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES, on_duplicates="pairs", **settings)
+    indexed = plain.indexed()
+    assert indexed.strategy == strategy and indexed.key_totals == plain.key_totals
+    assert overview_of(indexed) == expected["overview"]
+    found = indexed.column_stats().collect()
+    assert {r["name"]: (r.diff_count, r.minor_count) for r in found} == expected["columns"]
+
+    def bag(df):
+        return Counter(map(tuple, df.collect()))
+
+    for which in ("all", "diffs", "minor", "same"):
+        assert bag(indexed.rows(which)) == bag(plain.rows(which)), which
+    assert bag(indexed.rows("minor", "n")) == bag(plain.rows("minor", "n"))
+    assert bag(indexed.cell_changes()) == bag(plain.cell_changes())
+    assert bag(indexed.only_in("a")) == expected["only_a"]
+    assert bag(indexed.only_in("b")) == expected["only_b"]
+    assert bag(indexed.in_both("a")) == expected["both_a"]
+    for side in "ab":
+        assert bag(indexed.duplicate_keys(side)) == bag(plain.duplicate_keys(side))
+
+
 def test_flags_never_exceed_raw_flags(case):
     a, b, _ = case
     flat = compare(a, b, pk_columns=["k", "j"], column_tolerances=TOLERANCES, on_duplicates="pairs").diff_join()

@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinframe.config import DiffConfig
 from twinframe.operators.schema import quoted
-from twinframe.operators.sides import SOURCE_KEY, Side, has_null
+from twinframe.operators.sides import SOURCE_KEY, Layout, Side, has_null
 from twinframe.session import stored
 
 # Rows of each side that meet in one cell of a split hot key.
@@ -39,6 +40,45 @@ def key_counts(a: Side, b: Side, filtered: bool = True) -> DataFrame:
     return tagged.groupBy(*names).agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
 
 
+def key_index(a: Side, b: Side, layout: Layout) -> DataFrame:
+    """:func:`key_counts` with ``changed``: 1 if both sides have the key and not all of its rows have equal values, else 0.
+
+    Values are compared by 128-bit digests, so what is shuffled does not depend on the width of the rows, and a hot key
+    is reduced in the map tasks. Equal digests mean equal cells, with NULL told from every value. Digests of nested values
+    would not tell where a NULL stands, so with nested columns every key of both sides counts as changed.
+    """
+    names = key_names(a)
+    parts = []
+    for side in (a, b):
+        values = [F.col(name) for name in layout.value(side.name)]
+        content = [*values, *[value.isNull() for value in values]]
+        keys = [F.col(x).alias(y) for x, y in zip(layout.key(side.name), names, strict=True)]
+        counts = [F.lit(int(side.name == x)).alias(f"in_{x}") for x in "ab"]
+        nested = any(not isinstance(c.dtype, T.AtomicType) or isinstance(c.dtype, T.VariantType) for c in layout.comparators)
+        hashes = [F.lit(0), F.lit(0)] if nested or not values else [F.xxhash64(*content), F.xxhash64(F.lit("second"), *content)]
+        parts.append(side.rows.select(*keys, *counts, hashes[0].alias("h0"), hashes[1].alias("h1")))
+    grouped = parts[0].unionAll(parts[1]).groupBy(*names)
+    facts = grouped.agg(
+        F.sum("in_a").alias("in_a"),
+        F.sum("in_b").alias("in_b"),
+        *[which(name).alias(f"{label}_{name}") for name in ("h0", "h1") for label, which in (("min", F.min), ("max", F.max))],
+    )
+    differs = "true" if nested else "min_h0 <> max_h0 OR min_h1 <> max_h1"
+    changed = f"NOT {_null_key(names)} AND in_a > 0 AND in_b > 0 AND ({differs})"
+    # A number and not a boolean: a comparison with a constant is what makes Spark try a Bloom filter on the other side.
+    return facts.selectExpr(*names, "in_a", "in_b", f"CAST({changed} AS INT) AS changed")
+
+
+def changed_keys(index: DataFrame) -> DataFrame:
+    return index.where("changed = 1").drop("in_a", "in_b", "changed")
+
+
+def unchanged_pairs(names: list[str], below: int | None) -> str:
+    """SQL text of the pairs of unchanged keys in a key index, of those with fewer rows than ``below`` on either side."""
+    cold = "true" if below is None else f"greatest(in_a, in_b) < {below}"
+    return total(PAIRS, f"changed = 0 AND NOT {_null_key(names)} AND in_a > 0 AND in_b > 0 AND {cold}")
+
+
 def key_names(side: Side) -> list[str]:
     return [f"k{i}" for i in range(len(side.key_columns))]
 
@@ -51,8 +91,8 @@ def _named(texts: dict[str, str]) -> list[str]:
     return [f"{text} AS {name}" for name, text in texts.items()]
 
 
-def key_profile(a: Side, b: Side, config: DiffConfig) -> DataFrame:
-    """Totals over :func:`key_counts` by size class of the keys, a few dozen rows at most.
+def key_profile(a: Side, b: Side, config: DiffConfig, counts: DataFrame | None = None) -> DataFrame:
+    """Totals over :func:`key_counts` (``counts`` if given) by size class of the keys, a few dozen rows at most.
 
     Class 0 holds the keys with fewer than ``hot_key_rows`` rows on either side; each further class starts at twice the
     size of the one before, so class c > 0 starts at hot_key_rows · 2^(c-1).
@@ -75,7 +115,8 @@ def key_profile(a: Side, b: Side, config: DiffConfig) -> DataFrame:
         "multiplied": total(PAIRS, f"{matched} AND in_a > 1 AND in_b > 1"),
         "keys": "count(1)",
     }
-    classed = key_counts(a, b).selectExpr("*", f"{size_class} AS size_class")
+    counts = key_counts(a, b) if counts is None else counts
+    classed = counts.selectExpr("*", f"{size_class} AS size_class")
     return classed.groupBy("size_class").agg(*[F.expr(text).alias(name) for name, text in totals.items()])
 
 
@@ -163,11 +204,12 @@ class HotKeys:
         return df.join(F.broadcast(self.table), self._on(keys), "inner").drop(*self.names)
 
 
-def hot_keys(a: Side, b: Side, totals: KeyTotals) -> HotKeys:
+def hot_keys(a: Side, b: Side, totals: KeyTotals, counts: DataFrame | None = None) -> HotKeys:
     names = key_names(a)
     hot = f"NOT {_null_key(names)} AND greatest(in_a, in_b) >= {totals.hot_from}"
     digests = [digest.alias(name) for name, digest in zip(HotKeys.names, _digest(names), strict=True)]
-    table = key_counts(a, b).where(hot).select(*digests, "in_a", "in_b", _parts("in_a", totals), _parts("in_b", totals))
+    counts = key_counts(a, b) if counts is None else counts
+    table = counts.where(hot).select(*digests, "in_a", "in_b", _parts("in_a", totals), _parts("in_b", totals))
     return HotKeys(stored(table, "hot-keys"))
 
 
@@ -181,33 +223,46 @@ def _parts(count: str, totals: KeyTotals) -> Column:
     return parts.alias(count.replace("in_", "parts_"))
 
 
-def with_partner(one: Side, other: Side, totals: KeyTotals, hot: HotKeys | None, how: str) -> DataFrame:
+def with_partner(
+    one: Side, other: Side, totals: KeyTotals, hot: HotKeys | None, how: str, counts: DataFrame | None = None
+) -> DataFrame:
     """Rows of ``one`` whose key occurs (``left_semi``) or does not occur (``left_anti``) in ``other``.
 
     The rows keep their own columns. Rows with a NULL key part match nothing and bypass the join; rows of hot keys
-    bypass it too, since the hot-key table already says whether the other side has the key.
+    bypass it too, since the hot-key table already says whether the other side has the key. From stored ``counts`` only
+    the keys that decide are joined, and the other table is not read.
     """
     own = [f"{SOURCE_KEY}{i}" for i in range(len(one.key_columns))]
     theirs = key_names(other)
     keyed = one.keyed()
     rows = keyed.where(~has_null(own))
-    keys = other.keys_of(other.filtered).where(~has_null(theirs))
+    join = how
+    if counts is None:
+        keys = other.keys_of(other.filtered)
+    else:
+        there = F.col(f"in_{other.name}")
+        keys, join = counts.where(F.col(f"in_{one.name}") > 0).where(there == 0 if how == "left_anti" else there > 0), "left_semi"
+    keys = keys.where(~has_null(theirs))
     keys = keys.select(*[F.col(name).alias(f"other_{name}") for name in theirs])
     equal = [F.col(x) == F.col(f"other_{y}") for x, y in zip(own, theirs, strict=True)]
     if hot is None:
-        found = rows.join(keys, equal, how)
+        found = rows.join(keys, equal, join)
     else:
         partners = F.col(f"in_{other.name}")
         known = hot.hot(rows, own).where(partners > 0 if how == "left_semi" else partners == 0)
-        cold = hot.cold(rows, own).join(hot.cold(keys, keys.columns), equal, how)
+        cold = hot.cold(rows, own).join(hot.cold(keys, keys.columns), equal, join)
         found = cold.unionAll(known.select(*keyed.columns))
     if how == "left_anti" and totals.of("null_pks", one.name):
         found = found.unionAll(keyed.where(has_null(own)))
     return found.drop(*own)
 
 
-def duplicate_keys(side: Side, config: DiffConfig) -> DataFrame:
+def duplicate_keys(side: Side, config: DiffConfig, counts: DataFrame | None = None) -> DataFrame:
     """Key values that occur more than once, with their ``count``. NULL is a value like any other here."""
+    if counts is not None and config.where_scope != "join":
+        named = zip(key_names(side), ["pk_expr"] if config.key_expression else config.pk_columns, strict=True)
+        found = [F.col(x).alias(y) for x, y in named]
+        return counts.where(F.col(f"in_{side.name}") > 1).select(*found, F.col(f"in_{side.name}").alias("count"))
     source = side.source if config.where_scope == "join" else side.filtered
     names = ["pk_expr"] if config.key_expression else list(config.pk_columns)
     keys = source.select(*[key.alias(name) for key, name in zip(side.key_columns, names, strict=True)])

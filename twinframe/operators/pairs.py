@@ -21,11 +21,22 @@ PRESENT = ("in_a", "in_b")
 FULL_OUTER_ROWS = 100_000
 
 
-def cold_pairs(a: Side, b: Side, layout: Layout, hot: HotKeys | None) -> DataFrame:
-    """All pairs of rows with equal keys, those of hot keys left out."""
+def cold_pairs(
+    a: Side, b: Side, layout: Layout, hot: HotKeys | None, changed: DataFrame | None = None
+) -> DataFrame:
+    """All pairs of rows with equal keys, those of hot keys left out; of the keys ``changed`` only, if given.
+
+    Rows of other keys are left before the join, and before its shuffle where Spark broadcasts the keys or sends a Bloom
+    filter of them ahead.
+    """
     rows_a, rows_b = a.rows, b.rows
     if hot is not None:
         rows_a, rows_b = hot.cold(rows_a, layout.key("a")), hot.cold(rows_b, layout.key("b"))
+    if changed is not None:
+        rows_a, rows_b = (
+            rows.join(changed, [F.col(x) == F.col(y) for x, y in zip(keys, changed.columns, strict=True)], "left_semi")
+            for rows, keys in ((rows_a, layout.key("a")), (rows_b, layout.key("b")))
+        )
     return rows_a.join(rows_b, _equal(layout), "inner")
 
 

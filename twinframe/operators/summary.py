@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.functions.compare import tolerated_micros
-from twinframe.operators.keys import PAIRS, total
+from twinframe.operators.keys import PAIRS, total, unchanged_pairs
 from twinframe.operators.pairs import with_flags
 from twinframe.operators.ranges import near_pairs, near_rows
 from twinframe.operators.sides import Layout, Side, has_null
@@ -157,6 +157,13 @@ def added(parts: list[DataFrame], layout: Layout) -> DataFrame:
     return united.agg(*[F.sum(name).alias(name) for name in stat_columns(layout)])
 
 
+def unchanged(index: DataFrame, names: list[str], layout: Layout, below: int | None) -> DataFrame:
+    """One statistics row for the pairs that a key index knows to be equal (see ``unchanged_pairs``)."""
+    same = index.selectExpr(f"CAST({unchanged_pairs(names, below)} AS BIGINT) AS pairs")
+    zeros = [F.lit(0).cast("long").alias(name) for name in stat_columns(layout) if name not in ("pairs", "rows_identical")]
+    return same.select("pairs", F.col("pairs").alias("rows_identical"), *zeros).select(*stat_columns(layout))
+
+
 def column_stats(stats: DataFrame, layout: Layout) -> DataFrame:
     """One row per compared column: ``ordinal, name, diff_count, minor_count, match_count, total, match_pct, diff_pct``."""
     if not layout.compared:

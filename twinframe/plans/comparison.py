@@ -31,6 +31,7 @@ class Comparison:
         self.log = log
         self.a, self.b, self.layout = prepare(a, b, config)
         self._stored: DataFrame | None = None
+        self._index: DataFrame | None = None
         self._statistics: DataFrame | None = None
 
     # Keys
@@ -38,7 +39,7 @@ class Comparison:
     @cached_property
     def key_totals(self) -> KeyTotals:
         """Counts of rows, exclusive rows, duplicate and NULL keys, pairs and hot keys (a few rows, fetched once)."""
-        profile = keys.key_profile(self.a, self.b, self.config).collect()
+        profile = keys.key_profile(self.a, self.b, self.config, self._index).collect()
         totals = keys.key_totals(profile, self.config)
         if self.config.on_duplicates == "error" and (totals.duplicate_pks_a or totals.duplicate_pks_b):
             raise ValueError(
@@ -48,7 +49,7 @@ class Comparison:
 
     @cached_property
     def _hot(self) -> HotKeys | None:
-        return keys.hot_keys(self.a, self.b, self.key_totals) if self.key_totals.hot_keys else None
+        return keys.hot_keys(self.a, self.b, self.key_totals, self._index) if self.key_totals.hot_keys else None
 
     @cached_property
     def _hot_pairs(self) -> DataFrame:
@@ -60,16 +61,16 @@ class Comparison:
     def only_in(self, side: str) -> DataFrame:
         """Rows of side ``a`` or ``b`` without partner, with the columns of that table."""
         one, other = self._sides(side)
-        return keys.with_partner(one, other, self.key_totals, self._hot, "left_anti")
+        return keys.with_partner(one, other, self.key_totals, self._hot, "left_anti", self._index)
 
     def in_both(self, side: str) -> DataFrame:
         """Rows of side ``a`` or ``b`` with a partner, each once."""
         one, other = self._sides(side)
-        return keys.with_partner(one, other, self.key_totals, self._hot, "left_semi")
+        return keys.with_partner(one, other, self.key_totals, self._hot, "left_semi", self._index)
 
     def duplicate_keys(self, side: str) -> DataFrame:
         """Repeated key values of a side with their ``count``."""
-        return keys.duplicate_keys(self._sides(side)[0], self.config)
+        return keys.duplicate_keys(self._sides(side)[0], self.config, self._index)
 
     def _sides(self, side: str):
         if side not in ("a", "b"):
@@ -100,14 +101,21 @@ class Comparison:
             return summary.aggregate_flags(matched, layout)
         rows_a, rows_b = self.a.rows, self.b.rows
         if self.strategy == "pairs":
-            return summary.from_pairs(self._pairs(), layout)
+            return self._with_unchanged([summary.from_pairs(self._pairs(changed=True), layout)])
         if self.strategy == "groups":
             return summary.from_groups(rows_a, rows_b, layout)
         hot = self._hot
         hot_a = hot.hot(rows_a, layout.key("a")).select(*rows_a.columns)
         hot_b = hot.hot(rows_b, layout.key("b")).select(*rows_b.columns)
-        cold = pairs.cold_pairs(self.a, self.b, layout, hot)
-        return summary.added([summary.from_pairs(cold, layout), summary.from_groups(hot_a, hot_b, layout)], layout)
+        cold = pairs.cold_pairs(self.a, self.b, layout, hot, self._changed)
+        return self._with_unchanged([summary.from_pairs(cold, layout), summary.from_groups(hot_a, hot_b, layout)])
+
+    def _with_unchanged(self, parts: list[DataFrame]) -> DataFrame:
+        """Add the pairs that the key index has left out of the join."""
+        if self._index is not None:
+            below = self.key_totals.hot_from if self._hot is not None else None
+            parts = [*parts, summary.unchanged(self._index, keys.key_names(self.a), self.layout, below)]
+        return summary.added(parts, self.layout)
 
     def run(self) -> Comparison:
         """Compute the statistics now, so that :meth:`overview` and :meth:`column_stats` share one pass over the data.
@@ -170,15 +178,20 @@ class Comparison:
                 "set on_duplicates='pairs' to get them all, or use the statistics, which count them"
             )
 
-    def _pairs(self) -> DataFrame:
-        cold = pairs.cold_pairs(self.a, self.b, self.layout, self._hot)
+    @property
+    def _changed(self) -> DataFrame | None:
+        return None if self._index is None else keys.changed_keys(self._index)
+
+    def _pairs(self, changed: bool = False) -> DataFrame:
+        """Pairs of rows; with ``changed``, unchanged keys that are not hot may be missing."""
+        cold = pairs.cold_pairs(self.a, self.b, self.layout, self._hot, self._changed if changed else None)
         return cold if self._hot is None else cold.unionByName(self._hot_pairs)
 
-    def _flagged_pairs(self) -> DataFrame:
+    def _flagged_pairs(self, changed: bool = False) -> DataFrame:
         if self._stored is not None:
             return drill.positional(self._stored.where("in_a and in_b"), self.layout)
         self._asked_for()
-        return pairs.with_flags(self._pairs(), self.layout)
+        return pairs.with_flags(self._pairs(changed), self.layout)
 
     def _flagged_join(self) -> DataFrame:
         self._asked_for()
@@ -195,7 +208,8 @@ class Comparison:
 
     def rows(self, which: str = "diffs", column: str | None = None, flags: bool = True) -> DataFrame:
         """Matched rows of class ``all``, ``diffs``, ``minor`` or ``same``; ``column`` narrows ``diffs`` and ``minor``."""
-        return drill.flat(drill.selected(self._flagged_pairs(), self.layout, which, column), self.layout, flags)
+        flagged = self._flagged_pairs(changed=which in ("diffs", "minor"))
+        return drill.flat(drill.selected(flagged, self.layout, which, column), self.layout, flags)
 
     @property
     def order(self) -> list[str]:
@@ -227,7 +241,7 @@ class Comparison:
 
     def cell_changes(self, minor: bool = True, display_precision: int | None = None) -> DataFrame:
         """One row per changed cell of matched rows."""
-        return drill.cell_changes(self._flagged_pairs(), self.layout, minor, display_precision)
+        return drill.cell_changes(self._flagged_pairs(changed=True), self.layout, minor, display_precision)
 
     def char_changes(self, minor: bool = True, display_precision: int | None = None) -> DataFrame:
         """Changed cells with their character-level parts on both sides."""
@@ -235,6 +249,19 @@ class Comparison:
 
     # Storage
 
+    def indexed(self, path: str | None = None) -> Comparison:
+        """Store one row per key (``path``, or the shared folder): its rows on each side, and whether any of them differ.
+
+        All key questions are then answered from it without grouping the tables again, and statistics, differing rows and
+        changed cells read and join the wide rows of changed keys only. Worth it for several questions about tables of
+        mostly equal rows; a single one is cheaper without, as the index reads all compared columns once.
+        """
+        kept = Comparison(self.a.source, self.b.source, self.config, self.log)
+        kept._stored = self._stored
+        with self._logged("index"):
+            kept._index = stored(keys.key_index(self.a, self.b, self.layout), "key-index", path)
+        return kept
+
     def materialize(self, path: str | None = None, by_key: bool = False) -> Comparison:
         """Store the diff join as Parquet (``path``, or the shared folder) and answer row questions from it.
 
@@ -247,6 +274,7 @@ class Comparison:
             flat = flat.repartitionByRange(*order).sortWithinPartitions(*order)
         kept = Comparison(self.a.source, self.b.source, self.config, self.log)
         kept.__dict__["key_totals"] = self.key_totals
+        kept._index = self._index
         with self._logged("materialize"):
             kept._stored = stored(flat, "diff-join", path)
         return kept
