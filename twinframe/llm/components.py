@@ -23,18 +23,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges make stars: no node hangs on two smaller ones, or on one that hangs on another."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.where("up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node that an edge (``a``, ``b``) touches; the label is the smallest node of its component.
 
     Each round is written to the shared folder, so that no lineage builds up and lost executors cost one round at most.
-    Rounds grow with the logarithm of the nodes; a hub is a key of plain joins and of map-side aggregated groups only.
+    Rounds grow with the logarithm of the nodes, and end as soon as only stars are left, which one aggregation tells;
+    a hub is a key of plain joins and of map-side aggregated groups only.
     """
     now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    known = None
-    while True:
+    while not _settled(now):
         now = stored(_small_star(_large_star(now)), "edges")
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if state == known or not state.n:
-            break
-        known = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
