@@ -202,10 +202,13 @@ def low_cardinality() -> Join:
 
 def page_after(join: Join, n: int) -> str:
     """The 50 differing rows after the first ``n``, by keys of A and then all columns."""
+    return f"{join.diffs()} {total_order(join)} LIMIT 50 OFFSET {n}"
+
+
+def total_order(join: Join) -> str:
     names = join.names().split(", ")
     first = [f"pk_{k}_a" for k in join.keys]
-    order = ", ".join(f"{c} NULLS FIRST" for c in [*first, *[c for c in names if c not in first]])
-    return f"{join.diffs()} ORDER BY {order} LIMIT 50 OFFSET {n}"
+    return "ORDER BY " + ", ".join(f"{c} NULLS FIRST" for c in [*first, *[c for c in names if c not in first]])
 
 
 def only_in(side: str, join: Join, tail: str = "") -> str:
@@ -385,6 +388,10 @@ ORACLES: dict[str, str] = {
     "diff_rows_page": f"{tolerant().diffs()} ORDER BY pk_o_orderkey_a LIMIT 50 OFFSET 100",
     "diff_rows_keyset_page": page_after(tolerant(), 100),
     "keyset_page_repeated_keys": page_after(lineitem(), 60),
+    "deep_page": f"{tolerant().rows('true')} ORDER BY pk_o_orderkey_a LIMIT 100 OFFSET 700",
+    "page_at_key": "SELECT * EXCLUDE (nth, below) FROM (SELECT *, row_number() OVER (ORDER BY pk_o_orderkey_a) - 1 AS nth, "
+    f"count(*) FILTER (WHERE pk_o_orderkey_a < 1000) OVER () AS below FROM ({tolerant().diffs()})) WHERE nth // 20 = below // 20",
+    "deep_page_repeated_keys": f"{lineitem().rows('true')} {total_order(lineitem())} LIMIT 250 OFFSET 2250",
     "json_page": f"SELECT to_json({{o_orderkey: o_orderkey, o_custkey: o_custkey, o_orderstatus: o_orderstatus, "
     f"o_totalprice: o_totalprice, o_orderdate: strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g'), "
     f"o_orderpriority: o_orderpriority}})::VARCHAR AS row FROM ({only_in('a', orders())}) ORDER BY o_orderkey LIMIT 50",
@@ -443,6 +450,8 @@ ORACLES: dict[str, str] = {
     "history_deleted": f"SELECT * FROM ({UPSERTED}) QUALIFY row_number() OVER "
     "(ORDER BY last_used_at DESC, connection_id, query) > 1",
     "history_cleared": f"SELECT * FROM ({UPSERTED}) WHERE connection_id IS DISTINCT FROM ({FIRST_USER})",
+    "history_stored": f"SELECT * FROM ({UPSERTED}) WHERE connection_id IS DISTINCT FROM ({FIRST_USER}) QUALIFY row_number() OVER "
+    "(ORDER BY last_used_at DESC, connection_id, query) > 1",
     "activity_log": ACTIVITY_LOG,
     "history_top_per_group": "SELECT * FROM events QUALIFY row_number() OVER "
     "(PARTITION BY user_id ORDER BY ts DESC, event_id) <= 50",
@@ -450,6 +459,8 @@ ORACLES: dict[str, str] = {
     "redact_sql": REDACTED,
     "insert_new_by_name": f"WITH b AS ({duckdb_text(P.CUSTOMER_B)}) SELECT * FROM customer UNION ALL "
     "SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM customer WHERE customer.c_name = b.c_name)",
+    "insert_new_stored": f"WITH b AS ({duckdb_text(P.CUSTOMER_B)}) SELECT * FROM customer UNION ALL "
+    "SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM customer WHERE customer.c_name = b.c_name)",
     "insert_new_skipped": f"WITH b AS ({duckdb_text(P.CUSTOMER_B)}) SELECT * FROM b "
     "WHERE EXISTS (SELECT 1 FROM customer WHERE customer.c_name = b.c_name)",
 }

@@ -26,8 +26,10 @@ from twinframe.functions.text import redacted
 from twinframe.operators.audit import show_log
 from twinframe.operators.drill import page_of
 from twinframe.operators.history import (
+    StoredHistory,
     cleared,
     insert_new,
+    insert_new_into,
     newest,
     newest_per_group,
     read_history,
@@ -35,6 +37,7 @@ from twinframe.operators.history import (
     upserted,
     without_entry,
 )
+from twinframe.operators.versions import VersionedTable
 from twinframe.session import fresh_path
 from twinframe.sources.export import export
 from twinframe.sources.files import read_source
@@ -245,6 +248,21 @@ def keyset_page_repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
     return _page_after_first(lineitem(spark, sf, on_duplicates="pairs"), 60)
 
 
+def deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Page 7 of all matched rows, from stored pages of files of 500 rows."""
+    return tolerant_orders(spark, sf).paged("all", rows_per_file=500).page(7, 100).rows
+
+
+def page_at_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The page of differing rows on which key 1000 stands or would stand."""
+    return tolerant_orders(spark, sf).paged("diffs", rows_per_file=64).page_at({"pk_o_orderkey_a": 1000}, 20).rows
+
+
+def deep_page_repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Page 9 of all pairs of rows of repeated composite keys, ordered by both key columns and all others."""
+    return lineitem(spark, sf, on_duplicates="pairs").paged("all", rows_per_file=1000).page(9, 250).rows
+
+
 def _page_after_first(comparison: Comparison, n: int) -> DataFrame:
     """The page after the first ``n`` differing rows, found from the last of them."""
     first = comparison.page("diffs", page_size=n).rows.collect()
@@ -327,6 +345,25 @@ def history_cleared(spark: SparkSession, sf: str) -> DataFrame:
     return cleared(upserted(event_log(spark, sf)), str(user)).drop("id")
 
 
+def history_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored history without limits: two logs entered one after the other, one connection cleared, the newest entry deleted."""
+    early = F.col("used_at") < F.lit("2024-01-15").cast("timestamp_ntz")
+    history = StoredHistory(spark, fresh_path(spark, "history"), per_connection=None, in_total=None)
+    for part in (early, ~early):
+        history.add(event_log(spark, sf).where(part))
+    history.clear(str(table(spark, sf, "events").orderBy("event_id").first().user_id))
+    history.delete(history.table.read().orderBy(F.col("last_used_at").desc(), "connection_id", "query").first().id)
+    return history.table.read().drop("id")
+
+
+def insert_new_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored customers after those of new names were inserted."""
+    stored_customers = VersionedTable(spark, fresh_path(spark, "customers"))
+    stored_customers.replace(table(spark, sf, "customer"))
+    insert_new_into(stored_customers, derived(spark, sf, P.CUSTOMER_B), "c_name")
+    return stored_customers.read()
+
+
 def activity_log(spark: SparkSession, sf: str) -> DataFrame:
     """Events seen as log rows whose statements and errors hold secrets."""
     events = table(spark, sf, "events")
@@ -436,6 +473,9 @@ QUERIES: dict[str, Query] = {
     "diff_rows_page": lambda s, d: tolerant_orders(s, d).page("diffs", page=2, page_size=50).rows,
     "diff_rows_keyset_page": keyset_page,
     "keyset_page_repeated_keys": keyset_page_repeated_keys,
+    "deep_page": deep_page,
+    "page_at_key": page_at_key,
+    "deep_page_repeated_keys": deep_page_repeated_keys,
     "json_page": json_page,
     "cell_changes": lambda s, d: tolerant_orders(s, d).cell_changes(),
     "cell_changes_display": lambda s, d: orders(s, d, tolerance=1).cell_changes(display_precision=1),
@@ -465,10 +505,12 @@ QUERIES: dict[str, Query] = {
     "history_read": history_read,
     "history_deleted": history_deleted,
     "history_cleared": history_cleared,
+    "history_stored": history_stored,
     "activity_log": activity_log,
     "history_top_per_group": history_top_per_group,
     "history_top_global": history_top_global,
     "redact_sql": redact_sql,
     "insert_new_by_name": inserted(0),
     "insert_new_skipped": inserted(1),
+    "insert_new_stored": insert_new_stored,
 }

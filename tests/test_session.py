@@ -1,6 +1,12 @@
 from __future__ import annotations
 
-from twinframe.session import fresh_path, recommended_settings, shared_dir, stored
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from twinframe import compare
+from twinframe.session import fresh_path, recommended_settings, remove, scratch, shared_dir, stored
 
 
 class FakeConf(dict):
@@ -34,3 +40,20 @@ def test_recommended_settings_grow_with_the_input():
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert int(large["spark.sql.shuffle.partitions"]) > 400_000
     assert int(large["spark.sql.codegen.maxFields"]) > 600
+
+
+def test_what_is_stored_in_a_scratch_block_goes_with_it(spark, frame):
+    outside = stored(spark.range(3), "outside")
+    with pytest.raises(RuntimeError), scratch(spark) as folder:
+        inside = stored(spark.range(5), "inside")
+        with scratch(spark) as inner:
+            assert inner.startswith(folder + "/")
+            assert stored(spark.range(2), "nested").count() == 2
+        assert not Path(inner).exists()
+        assert inside.count() == 5 and inside.inputFiles()[0].split("://")[-1].startswith(folder)
+        indexed = compare(outside.withColumn("v", F.lit(1)), outside.withColumn("v", F.lit(2)), pk_columns=["id"]).indexed()
+        assert indexed.rows("diffs").count() == 3
+        raise RuntimeError
+    assert not Path(folder).exists()
+    assert outside.count() == 3
+    remove(spark, folder)

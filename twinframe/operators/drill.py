@@ -72,6 +72,7 @@ class Page:
     rows: DataFrame
     page: int
     page_size: int
+    counted: int | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -79,7 +80,7 @@ class Page:
 
     @property
     def total(self) -> int:
-        return self.source.count()
+        return self.source.count() if self.counted is None else self.counted
 
     def json(self) -> DataFrame:
         """The rows as JSON objects, NULLs included."""
@@ -91,7 +92,8 @@ class Page:
 def page_of(df: DataFrame, order: list[Column | str], page: int = 0, page_size: int = 50) -> Page:
     """Page ``page`` (from 0) under ``order``, of any size.
 
-    Spark keeps the best page·size rows per task, so this suits the first pages. Use :func:`page_after` to walk on.
+    Spark keeps the best page·size rows per task, so this suits the first pages. Use :func:`page_after` to walk on, or
+    :func:`twinframe.operators.paging.paged` for pages anywhere.
     """
     if page < 0 or page_size < 1:
         raise ValueError("page must not be negative and page_size must be positive")

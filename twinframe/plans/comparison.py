@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.config import DiffConfig
-from twinframe.operators import drill, keys, pairs, summary
+from twinframe.operators import drill, keys, paging, pairs, summary
 from twinframe.operators.audit import ActivityLog, Outcome
 from twinframe.operators.keys import HotKeys, KeyTotals
 from twinframe.operators.schema import compare_schemas, quoted
@@ -227,6 +227,19 @@ class Comparison:
         rows = self.rows(which, column)
         return drill.page_after(rows, drill.row_order(rows, self.order), last, page_size, seen)
 
+    def paged(
+        self,
+        which: str = "diffs",
+        column: str | None = None,
+        path: str | None = None,
+        rows_per_file: int = paging.ROWS_PER_FILE,
+    ) -> paging.PagedRows:
+        """Store the rows of a class sorted by key, with an index of the files, so that any page is read by its number or key."""
+        with self._logged("paged") as outcome:
+            found = paging.paged(self.rows(which, column), self.order, path, rows_per_file)
+            outcome.rows = found.total
+        return found
+
     def only_in_page(self, side: str, page: int = 0, page_size: int = 50) -> drill.Page:
         rows = self.only_in(side)
         if self.config.key_expression:

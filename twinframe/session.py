@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder all executors can reach: ``spark.checkpoint.dir``, else ``spark.sql.warehouse.dir``, on any master."""
@@ -14,7 +19,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What the library stores inside the block, without a path of its own, goes when the block ends, also by an error.
+
+    Results that are to stay must be written or fetched inside. Blocks may be nested.
+    """
+    folder = fresh_path(spark, "scratch")
+    outer = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(outer)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on any file system that Spark can reach; one that is not there is no error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
