@@ -72,3 +72,48 @@ def test_copies_of_one_text_do_not_fill_the_sample(spark, monkeypatch):
     total, copies = sizes[0]
     assert 0.85 * quality.SAMPLE_ROWS < total < 1.15 * quality.SAMPLE_ROWS
     assert 0.2 < copies / total < 0.45
+
+
+def test_judged_gives_all_counts_and_the_verdict(frame):
+    docs = frame("doc_id bigint, text string, rejected_by int, `_words` string, rows string", *[(i, t, 7, "w", "r") for i, t in enumerate(TEXTS)])
+    rules = [*quality.own_rules(), *quality.base_rules()]
+    expected = {r.doc_id: r for r in quality.cascade(quality.measured(docs.drop("rejected_by")), rules).collect()}
+    for order in (rules, []):
+        for r in quality.judged(docs, order).collect():
+            assert {k: r[k] for k in plain(TEXTS[r.doc_id])} == plain(TEXTS[r.doc_id])
+            assert r.rejected_by == (expected[r.doc_id].rejected_by if order else None)
+            assert (r["_words"], r["rows"]) == ("w", "r")
+    assert [f.name for f in quality.measured(docs).schema if f.name == "rejected_by"] == ["rejected_by"]
+
+
+def test_given_columns_pass_the_filter_unchanged(frame):
+    good = " ".join(f"word{i} with{i % 7}" for i in range(40))
+    docs = frame("`_words` int, text string, rejected_by string, n_words int, `_lines` int, row int", (1, good, "me", 5, 2, 3), (4, "few", "x", 1, 1, 1))
+    kept = quality.filtered(docs)
+    assert kept.schema == docs.schema
+    assert [tuple(r) for r in kept.collect()] == [(1, good, "me", 5, 2, 3)]
+
+
+def test_a_rejected_row_skips_later_counts(spark, frame):
+    # A later rule that fails wherever it is evaluated shows which rows reach it.
+    docs = frame("text string", ("few words",), (None,))
+    failing = quality.Rule("failing", ("n_repeat_words",), lambda n: F.raise_error(F.concat(F.lit("reached "), n.cast("string"))).isNotNull())
+    few = quality.base_rules()[0]
+    assert [r.by for r in docs.select(quality.verdict("text", [few, failing]).alias("by")).collect()] == ["few_words"] * 2
+    assert [r.rejected_by for r in quality.judged(docs, [few, failing]).collect()] == ["few_words"] * 2
+    assert docs.where(quality.verdict("text", [few, failing]).isNull()).count() == 0
+    with pytest.raises(Exception, match="reached"):
+        docs.select(quality.verdict("text", [failing, few])).collect()
+    plan = docs.where(quality.verdict("text", [quality.base_rules()[1], *quality.own_rules(), few]).isNull())
+    plan = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # words once, lines once
+
+
+def test_order_is_the_same_in_repeated_runs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rules = [*quality.own_rules(), *quality.base_rules()]
+    first = quality.ordered(docs, rules)
+    assert sum(share > 0 for _, share, _ in first) >= 3
+    for _ in range(2):
+        again = quality.ordered(docs, rules)
+        assert [r.name for r, _, _ in again] == [r.name for r, _, _ in first]

@@ -60,7 +60,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = [r for r, _, _ in quality.ordered(docs, [*quality.base_rules(), *quality.own_rules()])]
-    judged = quality.cascade(quality.measured(docs), rules)
+    judged = quality.judged(docs, rules)
     base_failed = quality.base_rules()[0].rejects | quality.base_rules()[1].rejects
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
