@@ -1,0 +1,55 @@
+"""Pairs within distances, counted in strips of the axes."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from twinframe.functions.counting import Points, _Strip, dealt, product_sum
+from twinframe.operators import ranges
+
+
+@pytest.mark.parametrize("reaches", [{"t": 0}, {"t": 40}, {"t": 5, "u": 200}, {"t": 300, "u": 300}, {"t": 10**17, "u": 2}, {"t": 9, "u": 300, "v": 80}])
+def test_boxes_over_many_strips(spark, monkeypatch, reaches):
+    """Strips of a few rows: boxes end in them, lie between them on one axis, and hold them whole on both."""
+    monkeypatch.setattr(ranges, "STRIP_ROWS", 30)
+    rng = random.Random(3)
+    place = lambda: rng.choice([None, 7, rng.randrange(1000), rng.randrange(1000)])
+    rows = [(rng.choice("kkkkl"), place(), place(), place(), rng.randrange(3), rng.randrange(3)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "k string, t long, u long, v long, in_a long, in_b long")
+
+    def near(x, y, reach):
+        return x is None and y is None or None not in (x, y) and abs(x - y) <= reach
+
+    at = {"t": 1, "u": 2, "v": 3}
+    expected = sum(x[4] * y[5] for x in rows for y in rows if x[0] == y[0] and all(near(x[at[c]], y[at[c]], r) for c, r in reaches.items()))
+    assert ranges.near_rows(df, ["k"], reaches).first().n == expected
+
+
+def test_rows_take_part_in_few_strips(spark):
+    """Two distances that hold most rows: at most five records for a row of A and two for one of B, on either side of the cuts."""
+    rng = np.random.default_rng(1)
+    n, bounds = 5000, []
+    p = rng.integers(0, 10**6, (2, n))
+    for i in (0, 1):
+        cuts = np.sort(p[i])[::100].copy()
+        bounds.append([np.zeros(len(cuts), np.int64), cuts, np.zeros(len(cuts), np.int64)])
+    ones, zeros = np.ones(n, np.int64), np.zeros(n, np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (zeros, zeros, ones, ones, p[0], p[1])], names=["h0", "h1", "w", "asks", "p0", "p1"])
+    assert sum(b.num_rows for b in dealt(iter([batch]), bounds, [200_000, 300_000], False)) <= 6 * n
+    assert sum(b.num_rows for b in dealt(iter([batch]), bounds, [200_000, 300_000], True)) <= 2 * n
+
+
+def test_groups_that_share_half_a_hash():
+    strip = _Strip([np.array([5, 5, 6]), np.array([1, 2, 1]), np.array([10, 20, 30]), np.array([0, 0, 0])])
+    found = strip.points.within(strip.code(np.array([5, 5, 5, 6, 7]), np.array([2, 1, 3, 1, 1])), [(np.full(5, -1), np.full(5, 1))])
+    assert found.tolist() == [20, 10, 0, 30, 0]
+
+
+def test_large_products_and_empty_points():
+    assert product_sum(np.array([2**40, 1]), np.array([2**40, 5])) == 2**80 + 5
+    none = np.zeros(0, np.int64)
+    assert Points(none, [none, none], none).within(np.array([0]), [(np.array([0]), np.array([9]))] * 2).tolist() == [0]

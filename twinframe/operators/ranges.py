@@ -1,29 +1,35 @@
 """Counting pairs of points that lie within a distance of each other, on one axis or on several, without building pairs.
 
-On one axis every row of A asks at two places how many rows of B lie at or below: at its upper bound and just below its
-lower one. Running sums along the axis answer. All axes but the last are taken apart first. An axis is cut into cells one
-longer than the reach: rows in the same cell are near, rows in neighbouring cells are if the one of B lies at or below
-(above) a place that the one of A names, and others are not. For neighbours, rows are ranked along the axis. A row of B
-belongs to the dyadic intervals of ranks that hold it as their left half, and the ranks up to a named place are a sum of such
-intervals, one for each bit of their number. So what is left to ask in a cell or an interval concerns the remaining axes
-alone, and the work is the rows times the logarithm of the rows in a cell for each axis taken apart, whatever the distances
-and however many rows share a key.
-
-Running sums are taken within stretches of the axis and over the stretches. Stretches are cut at quantiles of all asked and
-given places, from a sketch that tasks merge, so none holds much more than its share even if most places lie together and a
-few far away. Groups travel as 128-bit hashes.
+Every row of A asks for the weight of B in a box around it. One axis or two are counted in strips: rows sorted by group and
+place are cut at quantiles of all asked and given places, by the first axis and once more by the second. A box asks the
+strips of the first axis that hold its ends for the rows they hold; for the strips between, the strips of the second axis
+that hold its ends there; what is left are whole strips on both axes, counted from their sums. So a row takes part in a few
+strips whatever the distances and however many rows share a key, and a task holds the rows of B of one strip
+(:mod:`twinframe.functions.counting`), while boxes pass by.
+
+All axes but the last two are taken apart first. An axis is cut into cells one longer than the reach: rows in the same cell
+are near, rows in neighbouring cells are if the one of B lies at or below (above) a place that the one of A names, and
+others are not. For neighbours, rows are ranked along the axis. A row of B belongs to the dyadic intervals of ranks that hold
+it as their left half, and the ranks up to a named place are a sum of such intervals, one for each bit of their number. So
+what is left to ask in a cell or an interval concerns the remaining axes alone, and the work is the rows times the logarithm
+of the rows in a cell for each axis taken apart. Groups travel as 128-bit hashes.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinframe.functions.counting import answered, dealt
 from twinframe.session import stored
 
 # Rows of a stretch of the axis that running sums take in one go, and stretches at most; beyond them stretches grow.
 STRETCH_ROWS = 10_000
 STRETCHES = 4096
+# Rows of a strip that one task answers for, and strips of an axis at most; beyond them strips grow.
+STRIP_ROWS = 250_000
+STRIPS = 2048
 GROUP = ("h0", "h1")
 
 
@@ -55,21 +61,6 @@ def _earlier(placed: DataFrame, by: list[str], value: str) -> DataFrame:
     return totals.select(*by, "stretch", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("before"), whole.alias("whole"))
 
 
-def _decimal(name: str) -> str:
-    return f"CAST({name} AS DECIMAL(19,0))"
-
-
-def _answered(events: DataFrame, by: list[str], axis: str) -> DataFrame:
-    """``n``: the sum over events of asks times the weight at or below on the axis, in the same group."""
-    placed = events.withColumn("stretch", stretch_of(axis, quantile_bounds(events, axis)))
-    within = placed.withColumn("below", F.sum("w").over(Window.partitionBy(*by, "stretch").orderBy(axis)))
-    answers = within.where("asks != 0").groupBy(*by, "stretch").agg(
-        F.expr(f"sum({_decimal('asks')} * {_decimal('below')})").alias("met"), F.sum("asks").alias("asks")
-    )
-    both = answers.join(_earlier(placed, by, "w"), [*by, "stretch"])
-    return both.agg(F.expr(f"CAST(coalesce(sum(met + {_decimal('asks')} * {_decimal('before')}), 0) AS DECIMAL(38,0)) AS n"))
-
-
 def _digest(parts: list[str]) -> list[Column]:
     return [F.expr(f"xxhash64({', '.join(parts)})").alias("h0"), F.expr(f"xxhash64('second', {', '.join(parts)})").alias("h1")]
 
@@ -125,13 +116,57 @@ def near_rows(rows: DataFrame, by: list[str], reaches: dict[str, int]) -> DataFr
     parts = [*[f"`{c}`" for c in by], *[f"null{i}" for i in range(len(by) + len(axes))]]
     left = [f"p{i}" for i in range(len(axes))]
     events = marks.select(*_digest(parts), *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(p) for c, p in zip(axes, left, strict=True)], "w", "asks")
-    for number, (p, c) in enumerate(zip(left[:-1], axes, strict=False)):
+    apart = len(axes) - 2
+    for number, (p, c) in enumerate(zip(left[:apart] if apart > 0 else [], axes, strict=False)):
         events = _taken_apart(events, p, reaches[c], left[number + 1 :])
-    p, reach = left[-1], reaches[axes[-1]]
-    row = lambda *values: _struct(f"{p} w asks", *values)
-    asked = [row(f"{p} + {reach}L", "0L", "asks"), row(f"{p} - {reach}L - 1L", "0L", "-asks")]
-    ends = events.select(*GROUP, _split([row(p, "w", "0L")], asked))
-    return _answered(_merged(ends, [*GROUP, p]), list(GROUP), p)
+    last = left[-2:]
+    events = events.select(*GROUP, *[F.col(p).alias(f"p{i}") for i, p in enumerate(last)], "w", "asks")
+    return _in_strips(events, [reaches[c] for c in axes[-2:]], apart > 0)
+
+
+def _bounds(events: DataFrame, reaches: list[int]) -> list[list[np.ndarray]]:
+    """Per axis, the group, the place and the other place that cut the places of points and the ends of boxes into even strips."""
+    rows = events.count()
+    strips = min(STRIPS, -(-rows // STRIP_ROWS))
+    # Only the cuts come from a part of the rows, so that the driver sees a hundred for each strip; all rows are dealt by them.
+    share = max(1, rows // (100 * strips + 1))
+    names = [f"p{i}" for i in range(len(reaches))]
+    seen = events.where(F.pmod(F.xxhash64(F.lit("cuts"), *GROUP, *names), F.lit(share)) == 0)
+    known = seen.select("h0", *names, F.col("asks") > 0).toArrow()
+    h0, *places, asks = [column.to_numpy() for column in known.columns]
+    bounds = []
+    for i, reach in enumerate(reaches):
+        others = [places[j] for j in range(len(reaches)) if j != i]
+        ends = [(h0[asks], places[i][asks] + way * reach, *[other[asks] for other in others]) for way in (-1, 1)]
+        columns = [np.concatenate(column) for column in zip((h0, places[i], *others), *ends, strict=True)]
+        order = np.lexsort(columns[::-1])
+        cuts = order[[len(order) * k // strips for k in range(1, strips)]] if len(order) else order
+        bounds.append([column[cuts] for column in columns])
+    return bounds
+
+
+def _in_strips(events: DataFrame, reaches: list[int], repeated: bool) -> DataFrame:
+    """``n``: the sum over boxes of asks times the weight within the reaches, in the same group, on one axis or two."""
+    axes = range(len(reaches))
+    known = _merged(events, [*GROUP, *[f"p{i}" for i in axes]]) if repeated else stored(events, "events")
+    bounds = _bounds(known, reaches)
+    names = ["h0", "h1", "w", "asks", *[f"{x}{i}" for i in axes for x in ("at", "long")]]
+    schema = ", ".join(f"{name} bigint" for name in ["part", *names])
+
+    def parts(whole: bool) -> DataFrame:
+        return known.mapInArrow(lambda batches: dealt(batches, bounds, reaches, whole), schema)
+
+    rows = parts(False)
+    # Strips that lie wholly within a box on every axis are asked together; there are some only where a group fills three.
+    if all(len(cut[0]) > 1 and (cut[0][1:] == cut[0][:-1]).any() for cut in bounds):
+        summed = [F.sum(x).alias(x) for x in ("w", "asks")]
+        kept = [name for name in names if name not in ("w", "asks")]
+        # A box of one strip has the place of a point, so the two are told apart.
+        of_box = (F.col("asks") > 0).alias("of_box")
+        rows = rows.unionByName(parts(True).groupBy("part", *kept, of_box).agg(*summed).drop("of_box"))
+    strips = rows.repartition("part").sortWithinPartitions("part", F.col("asks") > 0)
+    found = strips.mapInArrow(lambda batches: answered(batches, len(reaches)), "n string")
+    return found.agg(F.expr("CAST(coalesce(sum(CAST(n AS DECIMAL(38,0))), 0) AS DECIMAL(38,0)) AS n"))
 
 
 def near_pairs(points: DataFrame, by: list[str], position: str, reach: int) -> DataFrame:
