@@ -1,9 +1,11 @@
 """Statistics over all matched pairs, per column and per row class.
 
-Two exact ways lead to the same one-row result:
+Three exact ways lead to the same one-row result:
 
 * ``from_pairs`` joins the rows and aggregates the flags in the same stage. It suits keys that are (nearly) unique.
-* ``from_groups`` never builds a pair. Cells that compare equal share a label (see
+* ``from_keys`` deals rows out by key once and counts equal labels of each key in the task that holds it. It suits keys that
+  repeat, but not so much that the rows of one would fill a task.
+* ``from_groups`` never builds a pair either. Cells that compare equal share a label (see
   :mod:`twinframe.functions.compare`), so the number of equal pairs is the sum over key and label of
   ``rows in A · rows in B``, which one grouping with map-side aggregation yields; cells that lie within a distance are
   counted by running sums along the axes (see :mod:`twinframe.operators.ranges`). Its cost is linear in the rows however often a key repeats, so it serves hot
@@ -14,16 +16,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinframe.functions.compare import tolerated_micros
+from twinframe.functions.counting import by_keys
 from twinframe.operators.keys import PAIRS, total, unchanged_pairs
 from twinframe.operators.pairs import with_flags
 from twinframe.operators.ranges import near_pairs, near_rows
 from twinframe.operators.sides import Layout, Side, has_null
 
 STAT_CELLS = "array<struct<ordinal:int,name:string,diff_count:bigint,minor_count:bigint,total:bigint>>"
+# Types whose values hash alike if and only if they compare equal.
+HASHABLE = (T.NumericType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType)
 ROW_TOTALS = ("pairs", "rows_with_diffs", "rows_minor", "rows_identical")
 
 
@@ -76,7 +82,9 @@ def from_groups(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFra
         labels_of["tol"] = row_labels
     number = {question: position for position, question in enumerate(labels_of)}
 
-    merged = _merged(rows_a, rows_b, layout)
+    both = _tagged(rows_a, rows_b, layout)
+    content = [name for name in both.columns if name not in ("in_a", "in_b")]
+    merged = both.groupBy(*content).agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
     keys = [name for name in merged.columns if name.startswith("k")]
     forms = {f"raw{i}": F.col(f"v{i}") for i in range(n)}
     forms |= {f"tol{i}": layout.comparators[i].form(F.col(f"v{i}")) for i in loose if i not in distant}
@@ -104,9 +112,10 @@ def from_groups(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFra
         ]
     )
 
-    near = {f"tol{i}": near_pairs(merged, keys, f"v{i}", _reach(layout, i)) for i in distant}
+    # Counting within distances merges equal rows itself.
+    near = {f"tol{i}": near_pairs(both, keys, f"v{i}", _reach(layout, i)) for i in distant}
     if distant:
-        formed = merged.select(*keys, *[forms[x].alias(x) for x in row_labels], *[f"v{i}" for i in distant], "in_a", "in_b")
+        formed = both.select(*keys, *[forms[x].alias(x) for x in row_labels], *[f"v{i}" for i in distant], "in_a", "in_b")
         reaches = {f"v{i}": _reach(layout, i) for i in distant}
         near["tol"] = near_rows(formed, [*keys, *row_labels], reaches)
     if near:
@@ -114,6 +123,14 @@ def from_groups(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFra
         united = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
         equal_pairs = united.agg(*[F.sum(question).alias(question) for question in [*number, *near]])
 
+    return _answers(equal_pairs, layout)
+
+
+def _answers(equal_pairs: DataFrame, layout: Layout) -> DataFrame:
+    """The statistics row from the numbers of pairs that agree: ``pairs``, ``raw``, ``raw<i>``, ``tol``, ``tol<i>``."""
+    n = len(layout.compared)
+    loose = [i for i, comparator in enumerate(layout.comparators) if not comparator.exact]
+
     def tolerant(i: int | str) -> str:
         return f"tol{i}" if i in loose or (i == "" and loose) else f"raw{i}"
 
@@ -128,12 +145,67 @@ def from_groups(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFra
     return equal_pairs.selectExpr(*[f"CAST({answers[name]} AS BIGINT) AS {name}" for name in stat_columns(layout)])
 
 
+def can_count_by_keys(layout: Layout, keys: DataFrame) -> bool:
+    """Whether :func:`from_keys` serves: key parts and values that hash as they compare, and no more than two distances."""
+    types = [keys.schema[name].dataType for name in keys.columns] + [c.dtype for c in layout.comparators]
+    return all(map(_hashable, types)) and sum(c.by_distance for c in layout.comparators) <= 2
+
+
+def _hashable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StringType):
+        return dtype.isUTF8BinaryCollation()
+    return isinstance(dtype, HASHABLE)
+
+
+def from_keys(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFrame:
+    """One statistics row like :func:`from_groups`, for keys whose rows fit a task: rows are dealt out by key once.
+
+    Each task then has its keys' rows in order and answers all questions from them, batch by batch, so what is shuffled
+    does not grow with the number of questions. Labels are 64-bit hashes, which only have to tell rows of one key apart.
+    """
+    n = len(layout.compared)
+    loose = [i for i, comparator in enumerate(layout.comparators) if not comparator.exact]
+    distant = [i for i in loose if layout.comparators[i].by_distance]
+    both = _tagged(rows_a, rows_b, layout)
+    keys = [f"k{i}" for i in range(len(layout.keys))]
+
+    def label(*values: Column) -> Column:
+        """NULLs are passed over by a hash, so a number tells where they stand."""
+        nulls = [v.isNull() for v in values]
+        return F.xxhash64(*values, *nulls)
+
+    forms = {f"raw{i}": F.col(f"v{i}") for i in range(n)}
+    forms |= {f"tol{i}": layout.comparators[i].form(F.col(f"v{i}")) for i in loose if i not in distant}
+    forms |= {f"tol{i}": F.col(f"v{i}").isNull() for i in distant}
+    hashed = {name: label(form) for name, form in forms.items()}
+    axes = {i: (f"p{i}", _reach(layout, i)) for i in distant}
+    questions: dict[str, tuple[str | None, list[tuple[str, int]]]] = {"pairs": (None, [])}
+    if n:
+        hashed["raw"] = label(*[F.col(f"v{i}") for i in range(n)])
+    questions["raw"] = ("raw" if n else None, [])
+    questions |= {f"raw{i}": (f"raw{i}", []) for i in range(n)}
+    questions |= {f"tol{i}": (f"tol{i}", [axes[i]] if i in axes else []) for i in loose}
+    if loose:
+        hashed["tol"] = label(*[forms[f"tol{i}" if i in loose else f"raw{i}"] for i in range(n)])
+        questions["tol"] = ("tol", list(axes.values()))
+    places = [F.coalesce(F.col(f"v{i}").cast("bigint"), F.lit(0)).alias(f"p{i}") for i in distant]
+    digests = [F.xxhash64(*keys).alias("h0"), F.xxhash64(F.lit("second"), *keys).alias("h1")]
+    dealt = both.repartition(*keys).select(
+        *digests, F.col("in_a").cast("bigint").alias("a"), *[form.alias(name) for name, form in hashed.items()], *places
+    )
+    columns, asked = dealt.columns, list(questions.values())
+    schema = ", ".join(f"n{i} string" for i in range(len(questions)))
+    counted = dealt.sortWithinPartitions("h0", "h1").mapInArrow(lambda batches: by_keys(batches, asked, columns), schema)
+    sums = [F.expr(f"coalesce(sum(CAST(n{i} AS DECIMAL(38,0))), 0)").alias(name) for i, name in enumerate(questions)]
+    return _answers(counted.agg(*sums), layout)
+
+
 def _reach(layout: Layout, i: int) -> int:
     return tolerated_micros(layout.comparators[i].tolerance)
 
 
-def _merged(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFrame:
-    """Distinct rows of both sides, ``k0…, v0…``, with their number on each side; rows with NULL keys left out."""
+def _tagged(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFrame:
+    """Rows of both sides, ``k0…, v0…``, with ``in_a`` and ``in_b``: 1 on their own side, else 0; rows with NULL keys left out."""
 
     def tagged(rows: DataFrame, side: str) -> DataFrame:
         keys = [F.col(name).alias(f"k{i}") for i, name in enumerate(layout.key(side))]
@@ -144,9 +216,7 @@ def _merged(rows_a: DataFrame, rows_b: DataFrame, layout: Layout) -> DataFrame:
         flags = [F.lit(int(side == own)).alias(f"in_{own}") for own in "ab"]
         return rows.where(~has_null(layout.key(side))).select(*keys, *values, *flags)
 
-    both = tagged(rows_a, "a").unionAll(tagged(rows_b, "b"))
-    content = [name for name in both.columns if name not in ("in_a", "in_b")]
-    return both.groupBy(*content).agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
+    return tagged(rows_a, "a").unionAll(tagged(rows_b, "b"))
 
 
 def added(parts: list[DataFrame], layout: Layout) -> DataFrame:

@@ -102,11 +102,18 @@ class Comparison:
         rows_a, rows_b = self.a.rows, self.b.rows
         if self.strategy == "pairs":
             return self._with_unchanged([summary.from_pairs(self._pairs(changed=True), layout)])
-        if self.strategy == "groups":
-            return summary.from_groups(rows_a, rows_b, layout)
         hot = self._hot
-        hot_a = hot.hot(rows_a, layout.key("a")).select(*rows_a.columns)
-        hot_b = hot.hot(rows_b, layout.key("b")).select(*rows_b.columns)
+        if hot is not None:
+            hot_a = hot.hot(rows_a, layout.key("a")).select(*rows_a.columns)
+            hot_b = hot.hot(rows_b, layout.key("b")).select(*rows_b.columns)
+        if self.strategy == "groups":
+            # Keys that are not hot are counted where their rows are, if there is a bound to how many they have.
+            if self.key_totals.hot_from > pairs.FULL_OUTER_ROWS or not summary.can_count_by_keys(layout, rows_a.select(*layout.key("a"))):
+                return summary.from_groups(rows_a, rows_b, layout)
+            if hot is None:
+                return summary.from_keys(rows_a, rows_b, layout)
+            cold_a, cold_b = hot.cold(rows_a, layout.key("a")), hot.cold(rows_b, layout.key("b"))
+            return summary.added([summary.from_keys(cold_a, cold_b, layout), summary.from_groups(hot_a, hot_b, layout)], layout)
         cold = pairs.cold_pairs(self.a, self.b, layout, hot, self._changed)
         return self._with_unchanged([summary.from_pairs(cold, layout), summary.from_groups(hot_a, hot_b, layout)])
 
