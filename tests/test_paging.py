@@ -64,3 +64,23 @@ def test_paged_comparison(spark, frame, tmp_path):
     for n in (0, 3, 7):
         assert found.page(n, 90).rows.collect() == comparison.page("diffs", page=n, page_size=90).rows.collect()
     assert [(r.operation, r.rows_affected) for r in log.entries().collect()] == [("paged", found.total)]
+
+
+def test_each_file_is_opened_once(spark, monkeypatch):
+    """One scan finds the first rows of all files; after it, only the last file that each task wrote is read."""
+    from twinframe.operators import paging
+
+    read = []
+
+    def noting(df, label, path=None):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        read.append((plan.count("Relation ["), sum("/rows/" in name for name in df.inputFiles())))
+        return stored(df, label, path)
+
+    stored = paging.stored
+    monkeypatch.setattr(paging, "stored", noting)
+    found = paged(spark.range(5000).selectExpr("id % 50 AS k", "id AS v"), ["k"], rows_per_file=100)
+    files = found.files.count()
+    assert read[0] == (1, files) and all(n <= 4 for _, n in read[1:]) and files >= 50
+    assert found.total == 5000
+    assert [tuple(r) for r in found.page(7, 300).rows.collect()] == sorted((i % 50, i) for i in range(5000))[2100:2400]

@@ -82,12 +82,19 @@ def paged(df: DataFrame, order: list[str], path: str | None = None, rows_per_fil
     df.orderBy(*by).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{root}/rows")
     rows = spark.read.schema(df.schema).parquet(f"{root}/rows")
     place = rows.metadataColumn("_metadata")
-    counts = rows.select(place["file_name"].alias("file")).groupBy("file").agg(F.count("*").alias("rows"))
     key = F.struct(*[F.col(quoted(name)).alias(name) for name in order])
-    firsts = rows.where(place["row_index"] == 0).select(place["file_name"].alias("file"), key.alias("first"))
     # Spark names a file by the task that wrote it, tasks follow the order of rows, and by its number within the task.
     task, nth = (F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)", i).cast("int") for i in (1, 2))
-    files = counts.join(firsts, "file").withColumns({"task": task, "nth": nth, "stretch": F.floor(task / STRETCH)})
+    firsts = rows.where(place["row_index"] == 0).select(place["file_name"].alias("file"), key.alias("first"))
+    # Every file is opened once, and what is known of it kept; only the last one of a task is counted, as the others are full.
+    # They are shuffled, as each task of the scan would else write a small file of its own.
+    files = stored(firsts.withColumns({"task": task, "nth": nth}).repartition("file"), "files", f"{root}/listed")
+    last = files.groupBy("task").agg(F.max_by("file", "nth").alias("file")).select("file")
+    names = [f"{root}/rows/{row.file}" for row in last.collect()]
+    partly = spark.read.schema(df.schema).parquet(*names) if names else rows
+    held = partly.select(partly.metadataColumn("_metadata")["file_name"].alias("file")).groupBy("file").agg(F.count("*").alias("held"))
+    counted = {"rows": F.coalesce("held", F.lit(rows_per_file).cast("bigint")), "stretch": F.floor(F.col("task") / STRETCH)}
+    files = stored(files.join(held, "file", "left").withColumns(counted), "files", f"{root}/counted")
     earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     before = files.groupBy("stretch").agg(F.sum("rows").alias("n")).select("stretch", F.sum("n").over(earlier).alias("before"))
     within = Window.partitionBy("stretch").orderBy("task", "nth").rowsBetween(Window.unboundedPreceding, -1)
