@@ -88,6 +88,46 @@ def test_signatures_meet_whenever_the_threshold_is_reached():
                 assert len(np.intersect1d(*sides))
 
 
+def test_left_out_signatures_lose_no_partners():
+    """Whatever the order of elements, so also one known from a sample only."""
+    rng = np.random.default_rng(6)
+    bounds = jaccard.bounds_up_to(600, 80)
+    schemes = jaccard.allocate(bounds, {b: 5000 for b in range(len(bounds))}, 80)
+    met = 0
+    for _ in range(300):
+        passage = rng.integers(0, 1 << 63, rng.integers(0, 80)).astype(np.uint64)
+        x = np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, rng.integers(1, 200)).astype(np.uint64)]))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) >= rng.choice([0, 0.03, 0.08, 0.1])], rng.integers(0, 1 << 63, rng.integers(0, 1 + len(x) // 12)).astype(np.uint64)]))
+        if not len(y) or 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)):
+            continue
+        known = np.sort(rng.choice(np.union1d(x, y), rng.integers(0, len(x) + 1)))
+        often = rng.integers(2, 9, len(known))
+        low = min(int(np.searchsorted(bounds, len(s), "right")) - 1 for s in (x, y))
+        sides = [jaccard.signatures(s, low, schemes[low], jaccard.how_common(s, known, often)) for s in (x, y)]
+        assert len(np.intersect1d(*sides))
+        met += 1
+    assert met > 100
+
+
+def test_a_passage_of_many_texts_makes_no_cluster(spark, monkeypatch):
+    """Sketches are dealt once or so, though a third of each text is the same passage; the copies among them are found."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} {' '.join(rng.choices([f'w{k}' for k in range(5000)], k=80))}") for i in range(400)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:40]]
+    monkeypatch.setattr(jaccard, "SKETCHES", 16)
+    dealt, made = jaccard._dealt, {}
+
+    def counted(sets, payload):
+        made[payload] = dealt(sets, payload).count()
+        return dealt(sets, payload)
+
+    monkeypatch.setattr(jaccard, "_dealt", counted)
+    found = {r.id: r.component for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {i: i % 1000 if i < 1040 else i for i, _ in rows}
+    assert made["sketch"] <= 4 * len(rows)
+
+
 def test_edges(frame):
     docs = frame("doc_id bigint, text string, a string, n string, node string", (1, None, "", "", ""), (2, "", "", "", ""), (3, " \t ", "", "", ""), (4, "one two", "", "", ""), (5, "ONE  two", "", "", ""), (6, "one two", "", "", ""), (6, "one two", "", "", ""), (None, "one two", "", "", ""), (None, "alone here", "", "", ""))
     found = sorted((r.id or 0, r.n, r.component or 0) for r in jaccard.jaccard_components(docs, 3, 90).collect())

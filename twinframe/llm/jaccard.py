@@ -7,11 +7,14 @@ Signatures. Sizes are cut into bands whose bounds grow by 1/threshold, so partne
 Two sets of a band, or of it and the next, that reach the threshold differ in at most H elements. The band's scheme hashes
 the universe into segments and gives each an allowance: a segment of allowance 1 must be equal in both sets, one of
 allowance 2 equal up to one element deleted on either side. If the allowances add up to H + 1, partners must agree in a
-segment. Two sets may agree in segments that are empty in both, which says little; so the allowances add up to more by a
-number of spare ones: partners then agree in more segments than that, and a set with no more empty segments of allowance
-1 than that need not emit those. A set emits, under its own band's scheme and that of the band below, a signature per segment, and for allowance
-2 one more for each deletion. How many segments get allowance 2, and how many are spare, is chosen per band by cost: signatures written against
-the chance matches expected among the band's classes, counted over the whole corpus.
+segment. Two sets may agree in segments that are empty in both, or hold a passage of many texts, which says little; so the
+allowances add up to more by a number of spare ones: partners then agree in more segments than that, and each set leaves out
+as many signatures of segments of allowance 1, those that come first in one order of all signatures: empty segments, then by
+how common the rarest element is. Of the signatures that partners share, the last in that order is left out by neither,
+whatever the order; so how common elements are is taken from a bounded sample. A set emits, under its own band's scheme and
+that of the band below, a signature per segment left, and for allowance 2 one more for each deletion. How many segments get
+allowance 2, and how many are spare (a quarter of H at least), is chosen per band by cost: signatures written against the
+chance matches expected among the band's classes, counted over the whole corpus.
 
 Candidates. A task ties its classes that share a signature to one of them and passes each signature on once, so that one
 of a third of all texts is a row per task. After a shuffle by signature, those rows are tied alike. All ties together make
@@ -55,6 +58,8 @@ PARTS = 512
 BLOCK, SKETCHES = 16_384, 256
 #: For the cost only: the chance that one element of a set is a given element of another.
 SHARED = 1e-3
+#: Texts, about, from which the common elements are known, and how many of those.
+SAMPLE, COMMON = 16_384, 65_536
 #: Signatures that a task combines at a time.
 FLUSH = 2_000_000
 #: Text hashes (8 bytes each) that may be broadcast to pick the texts of candidates; beyond it Spark shuffles.
@@ -138,17 +143,17 @@ def allocate(bounds: list[int], counts: dict[int, int], percent: int) -> list[Sc
             few = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(spare + 1)] if mean else [1.0]
             beyond = max(0.0, 1 - sum(few))
             chance = beyond**2 + (segments - double) * SHARED * (each * empty) ** 2 + double * ((1 + each) * empty) ** 2
-            return segments + double * each + near * chance
+            return segments - spare + double * each + near * chance
 
         doubles = sorted({(apart + 1) // 2 * k // 16 for k in range(17)})
-        spares = sorted({0, 1, 2, 3, *(apart * k // 32 for k in range(1, 13))})
+        spares = sorted({s for s in (1, 2, 3, *(apart * k // 32 for k in range(13))) if s >= apart // 4})
         double, spare = min(((d, s) for d in doubles for s in spares), key=cost)
         schemes.append(Scheme(apart + 1 - double + spare, double, spare))
     return schemes
 
 
-def signatures(items: np.ndarray, band: int, scheme: Scheme) -> np.ndarray:
-    """The signatures of a set under the scheme of a band."""
+def signatures(items: np.ndarray, band: int, scheme: Scheme, often: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of a set under the scheme of a band; ``often`` tells how common each element is, alike in all sets."""
     with np.errstate(over="ignore"):
         place = ((items >> np.uint64(32)) * np.uint64(scheme.segments) >> np.uint64(32)).astype(np.int64)
         mixed = mix(items + np.uint64(band * 2 + 1) * _SECOND)
@@ -157,16 +162,47 @@ def signatures(items: np.ndarray, band: int, scheme: Scheme) -> np.ndarray:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
         sums = total[edges[1:]] - total[edges[:-1]]
         salt = mix((np.arange(scheme.segments, dtype=np.uint64) + np.uint64(1)) * _FIRST + np.uint64(band))
-        filled = edges[1:] > edges[:-1]
-        empty = np.count_nonzero(~filled[scheme.double :])
-        filled[: scheme.double] = True
-        out = [mix(sums + salt)[filled | (empty > scheme.spare)]]
+        whole = mix(sums + salt)
+        kept = np.ones(scheme.segments, bool)
+        if scheme.spare:
+            filled = edges[1:] > edges[:-1]
+            rarest = np.full(scheme.segments, np.iinfo(np.int64).max)
+            rarest[filled] = 0 if often is None else np.minimum.reduceat(often, edges[:-1][filled])
+            order = np.lexsort((whole, -rarest))
+            kept[order[order >= scheme.double][: scheme.spare]] = False
+        out = [whole[kept]]
         if scheme.double:
             stop = edges[scheme.double]
             out.append(mix(sums[place[:stop]] - mixed[:stop] + salt[place[:stop]]))
     return np.concatenate(out)
 
 
+def _common(rows: DataFrame, texts: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that are in two or more sets of a sample of the ``texts`` different texts, sorted, and in how many; ``COMMON`` at most."""
+    share = max(1, texts // SAMPLE)
+    picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "t"), F.lit(share)) == 0).select("t", "text").dropDuplicates(["t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                if sets := ngram_sets(data, offsets, n):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["item"])
+
+    counted = picked.select("text").mapInArrow(run, "item bigint").groupBy("item").count().where("count > 1")
+    known = counted.orderBy(F.desc("count"), "item").limit(COMMON).toArrow()
+    items, often = np.asarray(known.column("item")).view(np.uint64), np.asarray(known.column("count"))
+    order = np.argsort(items)
+    return items[order], often[order]
+
+
+def how_common(items: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """In how many sets of the sample the elements are, 0 for those not known."""
+    if not len(known):
+        return np.zeros(len(items), np.int64)
+    at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+    return np.where(known[at] == items, often[at], 0)
+
+
 def _members(docs: DataFrame, n: int) -> DataFrame:
     """(id, text hash, size, digest, sketch) per row."""
 
@@ -199,7 +235,7 @@ def combined(signs: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([signs[fresh], spread]), np.concatenate([owners[fresh], ties[0]]), np.concatenate([owners[fresh], ties[1]])
 
 
-def _signed(docs: DataFrame, n: int, bounds: list[int], schemes: list[Scheme]) -> DataFrame:
+def _signed(docs: DataFrame, n: int, bounds: list[int], schemes: list[Scheme], common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Rows (s, a, b): class ``a`` has signature ``s`` (b = a), or is tied to class ``b``. A task combines what it has, ``FLUSH`` signatures at a time."""
     edges = np.array(bounds)
 
@@ -218,8 +254,9 @@ def _signed(docs: DataFrame, n: int, bounds: list[int], schemes: list[Scheme]) -
                         continue
                     done.add(d)
                     band = int(np.searchsorted(edges, len(items), "right")) - 1
+                    often = how_common(items, *common)
                     for of in range(max(0, band - 1), band + 1):
-                        signs.append(signatures(items, of, schemes[of]).view(np.int64))
+                        signs.append(signatures(items, of, schemes[of], often).view(np.int64))
                         owners.append(np.full(len(signs[-1]), d[0], np.int64))
                         held += len(signs[-1])
                 if held > FLUSH:
@@ -410,7 +447,8 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     counts = {r.band: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
     schemes = allocate(bounds, counts, percent)
 
-    ties = _ties(_signed(rows, n, bounds, schemes))
+    common = _common(rows, sum(counts.values()), n)
+    ties = _ties(_signed(rows, n, bounds, schemes, common))
     clusters = components(ties).select(F.col("node").alias("a"), F.col("label").alias("cluster"))
     kinds = members.where("n > 0").join(clusters, "a").groupBy("cluster", "a", "b", "n")
     near = stored(kinds.agg(F.min("t").alias("t"), F.first("sketch").alias("sketch")).withColumns({"node": _node(), "band": band}), "near")
