@@ -128,6 +128,57 @@ def test_a_passage_of_many_texts_makes_no_cluster(spark, monkeypatch):
     assert made["sketch"] <= 4 * len(rows)
 
 
+def test_a_signature_takes_few_bytes_and_meets_its_likes(spark, monkeypatch):
+    """Over several flushes and buckets, and with a signature that a third of all classes have."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(300)]
+    texts += [t + f" more{i}" for i, t in enumerate(texts[:80])] + [f"{texts[299]} z{i}" for i in range(150)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    monkeypatch.setattr(jaccard, "FLUSH", 1000)
+    bounds = jaccard.bounds_up_to(70, 80)
+    schemes = jaccard.allocate(bounds, {b: 300 for b in range(len(bounds))}, 80)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    classes, having = {}, {}
+    for t in texts:
+        items = jaccard.ngram_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 3)[0]
+        band = int(np.searchsorted(bounds, len(items), "right")) - 1
+        owner = jaccard.digest(items)[0] % (1 << 48)
+        classes[owner] = np.concatenate([jaccard.signatures(items, b, schemes[b]) for b in range(max(0, band - 1), band + 1)])
+        for s in classes[owner]:
+            having.setdefault(int(s), []).append(owner)
+    signed = jaccard._signed(docs, 3, bounds, schemes, none, 50)
+    assert signed.toArrow().nbytes < 14 * sum(map(len, classes.values()))
+    wanted = spark.createDataFrame([(max(o, c[0]), min(o, c[0])) for c in having.values() for o in c if o != c[0]], "a bigint, b bigint")
+    found = [{tuple(r) for r in components(x).collect()} for x in (jaccard._ties(signed), wanted)]
+    assert found[0] == found[1] and len(found[0]) > 200
+
+
+def test_sets_of_a_large_family_are_copied_to_few_blocks(spark, monkeypatch):
+    """Copies of a set stay within a bound as the family grows; the links are those of all pairs."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    monkeypatch.setattr(jaccard, "BLOCK", 1000)
+    monkeypatch.setattr(jaccard, "SKETCHES", 6)
+    rows = []
+    for i in range(240):
+        text = list(base)
+        for _ in range(i % 7):
+            text[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    dealt, made = jaccard._dealt, {}
+
+    def counted(sets, payload):
+        made[payload] = dealt(sets, payload).groupBy("node", "cluster").count().agg({"count": "max"}).first()[0]
+        return dealt(sets, payload)
+
+    monkeypatch.setattr(jaccard, "_dealt", counted)
+    found = {r.id: (r.n, r.component) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()}
+    assert found == brute(rows, 3, 90)
+    assert made["sketch"] <= 8 and made["items"] <= 8
+    assert len({c for _, c in found.values()}) < 150
+
+
 def test_edges(frame):
     docs = frame("doc_id bigint, text string, a string, n string, node string", (1, None, "", "", ""), (2, "", "", "", ""), (3, " \t ", "", "", ""), (4, "one two", "", "", ""), (5, "ONE  two", "", "", ""), (6, "one two", "", "", ""), (6, "one two", "", "", ""), (None, "one two", "", "", ""), (None, "alone here", "", "", ""))
     found = sorted((r.id or 0, r.n, r.component or 0) for r in jaccard.jaccard_components(docs, 3, 90).collect())

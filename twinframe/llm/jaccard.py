@@ -17,16 +17,20 @@ allowance 2, and how many are spare (a quarter of H at least), is chosen per ban
 chance matches expected among the band's classes, counted over the whole corpus.
 
 Candidates. A task ties its classes that share a signature to one of them and passes each signature on once, so that one
-of a third of all texts is a row per task. After a shuffle by signature, those rows are tied alike. All ties together make
-clusters (connected components), which hold all partners whatever their number.
+of a third of all texts passes once per task. Signatures are dealt by their high bits into buckets, and a row is what a task
+has for a bucket: ``SIGN`` bytes of a signature and ``OWNER`` bytes of its class, no more, as these are most of what is
+shuffled. Signatures or classes that those bytes take for one another join two clusters, which loses nothing. After the
+shuffle the signatures of a bucket are tied alike. All ties together make clusters (connected components), which hold all
+partners whatever their number.
 
 Verification. Shared passages chain clusters up, so they are cut first: sketches of 512 bytes bound from below how many
 elements two sets differ in, and only sets connected by pairs that they allow stay together. Then the sets are compared.
 Both times a cluster is cut into pieces of two neighbouring bands, as only sets of these can be partners, and a piece is
 dealt by hash into blocks; every pair of blocks is a group of its own, small enough for any
 executor, in which numpy compares all sets of one with all of the other (intersections by one matrix product). A group
-passes on no pairs, but per set one tie that says what it is connected to, and its number of links. A cluster of g sets
-costs g squared divided by the block's sets in rows.
+passes on no pairs, but per set one tie that says what it is connected to, and its number of links. A cluster of g sets is
+copied to at most ``SPREAD`` pairs of small blocks a set; beyond these its blocks grow up to a bound, and from there on it
+costs g squared divided by the sets of such a block in rows.
 
 A text with fewer than n words is its whole sequence as one n-gram. Null texts and those without words have empty sets
 and no links. Repeated rows are members of one class. Rows with a null id take part and come out with the component of
@@ -56,12 +60,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PARTS = 512
 #: Elements of a block of sets, and sketches of a block; a group of verification has two blocks.
 BLOCK, SKETCHES = 16_384, 256
+#: Blocks of that size that a cluster is cut into, at most, before they grow; and the most that they grow to: elements, sets.
+SPREAD, LARGE_BLOCK, LARGE_SETS = 8, 262_144, 1024
 #: For the cost only: the chance that one element of a set is a given element of another.
 SHARED = 1e-3
 #: Texts, about, from which the common elements are known, and how many of those.
 SAMPLE, COMMON = 16_384, 65_536
 #: Signatures that a task combines at a time.
 FLUSH = 2_000_000
+#: Bytes kept of a signature besides its bucket, and of a class; buckets at least, and elements of sets for one more of them.
+SIGN, OWNER, BUCKETS, BUCKET = 5, 6, 8192, 262_144
 #: Text hashes (8 bytes each) that may be broadcast to pick the texts of candidates; beyond it Spark shuffles.
 BROADCAST_ROWS = 2_000_000
 _FIRST, _SECOND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -235,8 +243,34 @@ def combined(signs: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([signs[fresh], spread]), np.concatenate([owners[fresh], ties[0]]), np.concatenate([owners[fresh], ties[1]])
 
 
-def _signed(docs: DataFrame, n: int, bounds: list[int], schemes: list[Scheme], common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (s, a, b): class ``a`` has signature ``s`` (b = a), or is tied to class ``b``. A task combines what it has, ``FLUSH`` signatures at a time."""
+def low_bytes(numbers: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of 64-bit numbers, a row each."""
+    return np.ascontiguousarray(numbers).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def from_low_bytes(rows: np.ndarray) -> np.ndarray:
+    """Numbers of which :func:`low_bytes` are given, the other bytes 0."""
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view("<i8").ravel()
+
+
+def bucketed(s: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Combined signature rows as a row per bucket: signatures with their class, and ties of two classes, packed."""
+    of = ((s.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    of, s, a, b = of[order], s[order], a[order], b[order]
+    known = np.unique(of)
+    columns = [pa.array(known, pa.int32())]
+    for which, first, width in ((a == b, s, SIGN), (a != b, b, OWNER)):
+        packed = np.concatenate([low_bytes(first[which], width), low_bytes(a[which], OWNER)], axis=1)
+        ends = np.searchsorted(of[which], np.append(known, buckets)) * packed.shape[1]
+        columns.append(pa.Array.from_buffers(pa.binary(), len(known), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed.tobytes())]))
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "signs", "ties"])
+
+
+def _signed(docs: DataFrame, n: int, bounds: list[int], schemes: list[Scheme], common: tuple[np.ndarray, np.ndarray], buckets: int = BUCKETS) -> DataFrame:
+    """Rows (bucket, signs, ties) of :func:`bucketed`. A task combines what it has, ``FLUSH`` signatures at a time."""
     edges = np.array(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +278,7 @@ def _signed(docs: DataFrame, n: int, bounds: list[int], schemes: list[Scheme], c
         signs, owners, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            rows = combined(np.concatenate(signs), np.concatenate(owners))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["s", "a", "b"])
+            return bucketed(*combined(np.concatenate(signs), np.concatenate(owners)), buckets)
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
@@ -265,26 +298,37 @@ def _signed(docs: DataFrame, n: int, bounds: list[int], schemes: list[Scheme], c
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "s bigint, a bigint, b bigint")
+    return docs.select("text").mapInArrow(run, "bucket int, signs binary, ties binary")
 
 
 def _ties(signed: DataFrame) -> DataFrame:
-    """Distinct ties (a, b) of classes that share a signature, each to one of them."""
+    """Distinct ties (a, b) of classes, known by their low bytes, that share a signature, each to one of them."""
+
+    def tied(signs: list[bytes], ties: list[bytes]) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(signs), np.uint8).reshape(-1, SIGN + OWNER)
+        rows = rows[np.argsort(from_low_bytes(rows[:, :SIGN]), kind="stable")]
+        s, a = from_low_bytes(rows[:, :SIGN]), from_low_bytes(rows[:, SIGN:])
+        fresh = np.append(True, s[1:] != s[:-1])[: len(s)]
+        to = a[np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))]
+        pairs = np.frombuffer(b"".join(ties), np.uint8).reshape(-1, 2 * OWNER)
+        a, to = np.append(a, from_low_bytes(pairs[:, OWNER:])), np.append(to, from_low_bytes(pairs[:, :OWNER]))
+        found = np.unique(np.stack([a, to])[:, a != to], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, 0
+        key, signs, ties = None, [], []
         for batch in batches:
-            s, a, b = (np.asarray(batch.column(c)) for c in ("s", "a", "b"))
-            if not len(s):
-                continue
-            fresh = np.append(last is None or s[0] != last, s[1:] != s[:-1])
-            at = np.maximum.accumulate(np.where(fresh, np.arange(len(s)), -1))
-            to = np.where(b != a, b, np.where(at >= 0, a[at], hub))
-            last, hub = s[-1], to[-1]
-            kept = a != to
-            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(to[kept])], ["a", "b"])
+            for bucket, *own in zip(*[batch.column(c).to_pylist() for c in ("bucket", "signs", "ties")], strict=True):
+                if bucket != key:
+                    if signs:
+                        yield tied(signs, ties)
+                    key, signs, ties = bucket, [], []
+                signs.append(own[0])
+                ties.append(own[1])
+        if signs:
+            yield tied(signs, ties)
 
-    return signed.repartition("s").sortWithinPartitions("s").mapInArrow(run, "a bigint, b bigint").distinct()
+    return signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -362,6 +406,12 @@ def _pieces(sets: DataFrame) -> DataFrame:
     return twice.withColumn("upper", F.col("piece") < F.col("band")).withColumn("cluster", F.concat_ws(":", "cluster", "piece"))
 
 
+def _blocks(small, large=None):
+    """Blocks of a cluster that would be cut into ``small`` or ``large`` blocks; one of more than ``SPREAD`` small ones takes larger blocks."""
+    bounds = [F.count("*") / LARGE_SETS] + ([] if large is None else [large])
+    return F.ceil(F.greatest(F.least(small, F.lit(SPREAD)), *bounds)).cast("int")
+
+
 def _dealt(sets: DataFrame, payload: str) -> DataFrame:
     """Sets (cluster, node, n, upper, blocks, payload) dealt by hash into the blocks of their cluster, and a copy to each pair (i, j) that their block is in, these standing together."""
     placed = sets.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -444,23 +494,25 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     classes = members.where("n > 0").select("a", "b", "n").distinct()
     bounds = bounds_up_to(members.agg(F.max("n")).first()[0] or 0, percent)
     band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("n"))) - 1
-    counts = {r.band: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}
+    bands = classes.groupBy(band.alias("band")).agg(F.count("*").alias("classes"), F.sum("n").alias("items")).collect()
+    counts = {r.band: r.classes for r in bands}
     schemes = allocate(bounds, counts, percent)
 
     common = _common(rows, sum(counts.values()), n)
-    ties = _ties(_signed(rows, n, bounds, schemes, common))
-    clusters = components(ties).select(F.col("node").alias("a"), F.col("label").alias("cluster"))
-    kinds = members.where("n > 0").join(clusters, "a").groupBy("cluster", "a", "b", "n")
+    buckets = max(BUCKETS, sum(r["items"] for r in bands) // BUCKET)
+    ties = _ties(_signed(rows, n, bounds, schemes, common, buckets))
+    clusters = components(ties).select(F.col("node").alias("owner"), F.col("label").alias("cluster"))
+    owner = F.col("a").bitwiseAND(F.lit((1 << 8 * OWNER) - 1))
+    kinds = members.where("n > 0").withColumn("owner", owner).join(clusters, "owner").groupBy("cluster", "a", "b", "n")
     near = stored(kinds.agg(F.min("t").alias("t"), F.first("sketch").alias("sketch")).withColumns({"node": _node(), "band": band}), "near")
     pieces = _pieces(near)
-    blocks = F.ceil(F.count("*") / SKETCHES).cast("int").alias("blocks")
-    coarse = pieces.groupBy("cluster").agg(blocks, F.count("*").alias("sets"), F.count_if(~F.col("upper")).alias("own")).where("sets > 1 AND own > 0")
+    coarse = pieces.groupBy("cluster").agg(_blocks(F.count("*") / SKETCHES).alias("blocks"), F.count("*").alias("sets"), F.count_if(~F.col("upper")).alias("own")).where("sets > 1 AND own > 0")
     sketched = pieces.join(coarse, "cluster").select("cluster", "node", "n", "upper", "blocks", "sketch")
     fine = components(_tied_by_sketch(_dealt(sketched, "sketch"), percent)).select("node", F.col("label").alias("cluster"))
 
     left = stored(near.drop("cluster", "sketch").join(fine, "node"), "candidates")
     pieces = _pieces(left)
-    blocks = pieces.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("sets"), F.count_if(~F.col("upper")).alias("own")).where("sets > 1 AND own > 0")
+    blocks = pieces.groupBy("cluster").agg(_blocks(F.sum("n") / BLOCK, F.sum("n") / LARGE_BLOCK).alias("blocks"), F.count("*").alias("sets"), F.count_if(~F.col("upper")).alias("own")).where("sets > 1 AND own > 0")
     wanted = left.select("t").distinct()
     if left.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
