@@ -84,3 +84,44 @@ def test_each_file_is_opened_once(spark, monkeypatch):
     assert read[0] == (1, files) and all(n <= 4 for _, n in read[1:]) and files >= 50
     assert found.total == 5000
     assert [tuple(r) for r in found.page(7, 300).rows.collect()] == sorted((i % 50, i) for i in range(5000))[2100:2400]
+
+
+@pytest.mark.parametrize("most", [250_000, 20])
+def test_rows_are_shuffled_in_order_before_they_are_paired(frame, monkeypatch, most):
+    """All pairs are made where the rows of a range of keys are, unless one key has many; pages are those of a global sort."""
+    from twinframe.operators import paging, pairs
+
+    zero, nan = [-0.0, 0.0], float("nan")
+    keys = [None, nan, *zero, 1.0, 2.0, 2.0, 3.0]
+    a = frame("id double, `a` int, m map<string,int>, only_a int", *[(keys[i % 8], i, {"m": i % 3}, i) for i in range(60)])
+    b = frame("id double, `a` int, m map<string,int>", *[(keys[i * 3 % 8] if i % 5 else 7.0, i % 9, {"m": i % 2}) for i in range(50)])
+    taken = []
+
+    def noting(df, order, path, rows_per_file, ranged):
+        taken.append((ranged, df._jdf.queryExecution().executedPlan().toString()))
+        return paged(df, order, path, rows_per_file, ranged)
+
+    monkeypatch.setattr(paging, "paged", noting)
+    monkeypatch.setattr(pairs, "ONE_TASK_PAIRS", most)
+    comparison = compare(a, b, pk_columns=["id"], on_duplicates="pairs")
+    found = comparison.paged("all", rows_per_file=25)
+    (ranged, plan), = taken
+    assert ranged == (most > 20)
+    if ranged:
+        assert plan.count("Exchange rangepartitioning") == plan.count("Exchange ") == 1 and "Join" not in plan
+    # str tells -0.0 from 0.0 and finds NaN equal to itself; rows that tie in all sortable columns may change places.
+    sortable = [c for c in found.rows.columns if not c.startswith(("m_", "is_"))]
+    text = lambda rows, names: [str([r[c] for c in names]) for r in rows]
+    expected = comparison.rows("all")
+    assert found.total == expected.count() > 250
+    assert sorted(text(found.rows.collect(), expected.columns)) == sorted(text(expected.collect(), expected.columns))
+    assert found.rows.columns == expected.columns
+    ordered = text(expected.orderBy(*[f"`{c}`" for c in sortable]).collect(), [c for c in sortable if not c.startswith("pk_")])
+    assert [x for n in range(found.total // 40 + 1) for x in text(found.page(n, 40).rows.collect(), [c for c in sortable if not c.startswith("pk_")])] == ordered
+
+
+def test_pages_of_all_pairs_with_no_pairs(frame):
+    a, b = frame("id int, v int", (1, 1), (None, 2)), frame("id int, v int", (2, 1), (None, 2))
+    for one, other in ((a, b), (a.limit(0), b), (a.limit(0), b.limit(0))):
+        found = compare(one, other, pk_columns=["id"], on_duplicates="pairs").paged("all")
+        assert (found.total, found.page().rows.count()) == (0, 0)

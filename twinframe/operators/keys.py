@@ -113,6 +113,7 @@ def key_profile(a: Side, b: Side, config: DiffConfig, counts: DataFrame | None =
         "all_null_b": total("in_b", all_null),
         "pairs": total(PAIRS, matched),
         "multiplied": total(PAIRS, f"{matched} AND in_a > 1 AND in_b > 1"),
+        "most_pairs": f"coalesce(max({PAIRS}) FILTER (WHERE {matched}), 0)",
         "keys": "count(1)",
     }
     counts = key_counts(a, b) if counts is None else counts
@@ -142,6 +143,8 @@ class KeyTotals:
     hot_keys: int
     cold_pairs: int
     """Pairs of keys that are not hot."""
+    most_pairs: int
+    """Pairs of the key that has most of them."""
 
     def of(self, fact: str, side: str) -> int:
         return getattr(self, f"{fact}_{side}")
@@ -163,6 +166,7 @@ def key_totals(profile: list[Row], config: DiffConfig) -> KeyTotals:
         hot_from=config.hot_key_rows << (line - 1),
         hot_keys=sum(row["keys"] for row in profile if row.size_class >= line),
         cold_pairs=sum(int(row.pairs) for row in profile if row.size_class < line),
+        most_pairs=max((int(row.most_pairs) for row in profile), default=0),
     )
 
 

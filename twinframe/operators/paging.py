@@ -71,15 +71,18 @@ class PagedRows:
         return self.page(self.page_number(key, page_size), page_size)
 
 
-def paged(df: DataFrame, order: list[str], path: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> PagedRows:
+def paged(
+    df: DataFrame, order: list[str], path: str | None = None, rows_per_file: int = ROWS_PER_FILE, ranged: bool = False
+) -> PagedRows:
     """Store ``df`` sorted by ``order`` and then by every other sortable column, at ``path`` or in the shared folder.
 
     Sorting is a range partitioning, and what is counted of the files is summed up in stretches, so nothing passes through
-    one task. NULLs come first. Rows equal in all columns may stand in several files.
+    one task. NULLs come first. Rows equal in all columns may stand in several files. With ``ranged`` the partitions of
+    ``df`` follow each other by ``order`` already, rows equal in it stand in one, and they are sorted where they are.
     """
     spark, root = df.sparkSession, path or fresh_path(df.sparkSession, "pages")
     by = [F.col(quoted(name)) for name in row_order(df, order)]
-    df.orderBy(*by).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{root}/rows")
+    (df.sortWithinPartitions(*by) if ranged else df.orderBy(*by)).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{root}/rows")
     rows = spark.read.schema(df.schema).parquet(f"{root}/rows")
     place = rows.metadataColumn("_metadata")
     key = F.struct(*[F.col(quoted(name)).alias(name) for name in order])

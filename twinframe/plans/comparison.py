@@ -218,6 +218,12 @@ class Comparison:
         flagged = self._flagged_pairs(changed=which in ("diffs", "minor"))
         return drill.flat(drill.selected(flagged, self.layout, which, column), self.layout, flags)
 
+    def _all_by_range(self, column: str | None) -> DataFrame:
+        """All matched rows, in partitions that follow each other by key."""
+        self._asked_for()
+        flagged = pairs.with_flags(pairs.pairs_by_range(self.a, self.b, self.layout), self.layout)
+        return drill.flat(drill.selected(flagged, self.layout, "all", column), self.layout)
+
     @property
     def order(self) -> list[str]:
         """The key columns of A in the flat result."""
@@ -243,7 +249,10 @@ class Comparison:
     ) -> paging.PagedRows:
         """Store the rows of a class sorted by key, with an index of the files, so that any page is read by its number or key."""
         with self._logged("paged") as outcome:
-            found = paging.paged(self.rows(which, column), self.order, path, rows_per_file)
+            # All pairs are more than the rows they are made of, so these are put in order; chosen pairs are fewer as a rule.
+            ranged = which == "all" and self._stored is None and self.key_totals.most_pairs <= pairs.ONE_TASK_PAIRS
+            rows = self._all_by_range(column) if ranged else self.rows(which, column)
+            found = paging.paged(rows, self.order, path, rows_per_file, ranged)
             outcome.rows = found.total
         return found
 
