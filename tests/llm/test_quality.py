@@ -109,6 +109,14 @@ def test_a_rejected_row_skips_later_counts(spark, frame):
     assert plan.count("split(") == 2  # words once, lines once
 
 
+def test_timings_that_are_alike_do_not_change_the_order():
+    rules = [quality.Rule(name, (), None) for name in "abcd"]
+    for a, b in ((0.24, 0.5), (0.26, 0.42), (0.22, 0.45)):
+        found = [(rules[0], 0.04, a), (rules[1], 0.07, b), (rules[2], 0.06, 9.0), (rules[3], 0.0, 0.01)]
+        assert [r.name for r, _, _ in quality.in_order(found)] == ["b", "a", "c", "d"]
+    assert [r.name for r, _, _ in quality.in_order([(rules[0], 0.07, 1.0), (rules[1], 0.04, 0.1)])] == ["b", "a"]
+
+
 def test_order_is_the_same_in_repeated_runs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rules = [*quality.own_rules(), *quality.base_rules()]

@@ -27,6 +27,8 @@ from twinframe.session import stored
 SAMPLE_ROWS = 2000
 #: How often each rule is timed on each row of the sample.
 REPEATS = 5
+#: Rejections per second that lie this near to each other count as equal, as timings are no better than that.
+ALIKE = 2
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 #: Counts made from the words of a text, and from its lines.
 OF_WORDS, OF_LINES = ("n_words", "word_chars", "n_repeat_words"), ("n_lines", "n_dup_lines")
@@ -150,7 +152,10 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ordered(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> list[tuple[Rule, float, float]]:
-    """(rule, share rejected, seconds) in the order of rejections per second, all taken from the sample."""
+    """(rule, share rejected, seconds) in the order of rejections per second, all taken from the sample.
+
+    Among rules that are ``ALIKE``, the one that rejects more comes first, then the one given first.
+    """
     rows = docs.count()
     if not rows or not rules:
         return [(r, 0.0, 0.0) for r in rules]
@@ -165,7 +170,16 @@ def ordered(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> list[
     if not sums:
         return [(r, 0.0, 0.0) for r in rules]
     found = [(rule, sums[i].gone / sums[i].n, max(sums[i].nanos, 1) / 1e9) for i, rule in enumerate(rules)]
-    return sorted(found, key=lambda x: -x[1] / x[2])
+    return in_order(found)
+
+
+def in_order(found: list[tuple[Rule, float, float]]) -> list[tuple[Rule, float, float]]:
+    out = []
+    while rest := [x for x in found if x not in out]:
+        best = max(share / seconds for _, share, seconds in rest)
+        alike = [x for x in rest if ALIKE * x[1] / x[2] >= best]
+        out += sorted(alike, key=lambda x: -x[1])
+    return out
 
 
 def cascade(measures: DataFrame, rules: list[Rule]) -> DataFrame:
